@@ -157,6 +157,38 @@ class Blocks:
 OUT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
+class Judge:
+    """Hit words and items of slices of documents."""
+
+    def __init__(self, blocks: Blocks):
+        self.blocks = [*blocks] if blocks.path is None else blocks
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[set]]:
+        """Of each text: its words, its hit words, and the ids of items with windows in it."""
+        edges, counts, items = None, np.zeros(len(texts), np.int64), [set() for _ in range(len(texts))]
+        for tests in self.blocks:
+            shard = Shard(texts, tests)
+            counts = shard.n_words
+            edges = np.zeros(len(shard.ranks) + 1, np.int64) if edges is None else edges
+            low, high, _ = shard.search(tests)
+            suffix = np.flatnonzero(tests.whole & (low < high))
+            which, at = _expand(low[suffix], high[suffix])
+            suffix, place = suffix[which], shard.array[at]
+            np.add.at(edges, place, 1)
+            np.add.at(edges, place + tests.length[suffix], -1)
+            doc = np.searchsorted(shard.begin, place, "right") - 1
+            for pair in np.unique(doc * len(tests.ids) + tests.item[suffix]).tolist():
+                d, i = divmod(pair, len(tests.ids))
+                if tests.ids[i] is not None:
+                    items[d].add(tests.ids[i])
+        inside = np.concatenate([[0], np.cumsum(np.cumsum(edges) > 0)])
+        return counts, inside[shard.begin + counts] - inside[shard.begin], items
+
+
+def _contaminated(words_: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    return (hit > 0) & (20 * hit >= words_)
+
+
 def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """Per document: doc_id, n_words, n_hit (words inside any occurrence of a window), n_items (items with such
     windows), items_sha256 (of their ids, sorted as strings, comma-joined) and contaminated (at least a twentieth of
@@ -164,36 +196,29 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     blocks = Blocks(bench, item_col, item_text, window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept = [*blocks] if blocks.path is None else None
+        judge = Judge(blocks)
         for batch in slices(batches, most=SHARD_BYTES):
-            n = batch.num_rows
-            edges, items, counts = None, [set() for _ in range(n)], None
-            for tests in kept or blocks:
-                shard = Shard(batch.column("text"), tests)
-                counts = shard.n_words
-                edges = np.zeros(len(shard.ranks) + 1, np.int64) if edges is None else edges
-                low, high, _ = shard.search(tests)
-                suffix = np.flatnonzero(tests.whole & (low < high))
-                which, at = _expand(low[suffix], high[suffix])
-                suffix, place = suffix[which], shard.array[at]
-                np.add.at(edges, place, 1)
-                np.add.at(edges, place + tests.length[suffix], -1)
-                doc = np.searchsorted(shard.begin, place, "right") - 1
-                for pair in np.unique(doc * len(tests.ids) + tests.item[suffix]).tolist():
-                    d, i = divmod(pair, len(tests.ids))
-                    if tests.ids[i] is not None:
-                        items[d].add(tests.ids[i])
-            inside = np.concatenate([[0], np.cumsum(np.cumsum(edges) > 0)])
-            stop = shard.begin + counts
-            hit = inside[stop] - inside[shard.begin]
+            counts, hit, items = judge(batch.column("text"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts), pa.array(hit), pa.array([len(x) for x in items], pa.int64()), pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]), pa.array((hit > 0) & (20 * hit >= counts))],
+                [batch.column("doc_id"), pa.array(counts), pa.array(hit), pa.array([len(x) for x in items], pa.int64()), pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]), pa.array(_contaminated(counts, hit))],
                 ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
             )
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, OUT)
 
 
+def drop_contaminated(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that aren't contaminated."""
+    blocks = Blocks(bench, item_col, item_text, window)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(blocks)
+        for batch in slices(batches, text=text_col, most=SHARD_BYTES):
+            yield batch.filter(pa.array(~_contaminated(*judge(batch.column(text_col))[:2])))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def longest_matches(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
     """Of every place in a test item where a window stands in some document: item_id, item_word, n_words of the
     longest verbatim match, and the first document and word where it stands."""

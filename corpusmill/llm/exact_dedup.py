@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .store import materialise
 from .textbytes import slices
@@ -147,3 +148,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     owners = materialise(text_owners(docs), "exact-owners")
     digests = docs.mapInArrow(_digests, "doc_id long, text_sha256 string")
     return digests.join(owners, "text_sha256").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+
+
+def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay: one per distinct normalised text."""
+    sha, keep = "__text_sha256", "__keep_id"
+    owners = materialise(text_owners(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))), "exact-owners")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text=text_col):
+            digests = [hashlib.sha256((t or b"").lower()).hexdigest() for t in batch.column(text_col).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.string())], [*batch.schema.names, sha])
+
+    rows = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(sha, StringType())]))
+    rows = rows.join(owners.select(F.col("text_sha256").alias(sha), F.col("keep_id").alias(keep)), sha)
+    return rows.filter(F.col(id_col).cast("long").eqNullSafe(F.col(keep))).dropDuplicates([sha]).select(docs.columns)

@@ -237,3 +237,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows_ = signed.select("doc_id", F.when(F.col("weight") > 0, F.col("same")).alias("same"))
     group = F.coalesce("label", "doc_id")
     return rows_.join(named, "same", "left").select("doc_id", group.alias("group_id"), (F.col("doc_id") == group).alias("kept"), F.coalesce("n", F.lit(0)).alias("n_links"), F.coalesce("node", "doc_id").alias("same_as"))
+
+
+def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, with all their columns, but for documents that are near-duplicates of a kept one."""
+    found = near_dedup(docs, id_col, text_col, **options)
+    gone = materialise(found.groupBy(F.col("doc_id").alias("__gone")).agg(F.bool_or("kept").alias("kept")).filter(~F.col("kept")).select("__gone"), "near-dropped")
+    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
