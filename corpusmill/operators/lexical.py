@@ -77,7 +77,7 @@ def bm25_scores(queries: DataFrame, posted: DataFrame, stats: DataFrame, natural
 def facet_mask(docs: Column | None = None, tag_folder: Callable[[Column], Column] = fold) -> Column:
     """Whether a document row passes the query's facets; null or blank facets pass all. Needs the query columns
     q_domain, q_kind, q_status, q_tag beside the document's domain_prefixes, kind, status, keywords."""
-    clean = lambda c: F.trim(F.lit("/"), F.trim(F.coalesce(F.col(c), F.lit(""))))
+    clean = lambda c: F.trim(F.trim(F.coalesce(F.col(c), F.lit(""))), F.lit("/"))
     free = lambda c: clean(c) == ""
     tags = F.transform(F.coalesce("keywords", F.array().cast("array<string>")), F.lower)
     return (
