@@ -107,7 +107,7 @@ def apply_plan(plan: DataFrame, points: DataFrame, embedded: DataFrame, pruned:
 def sync_report(plan: DataFrame, embedded: DataFrame | None = None, pruned: DataFrame | None = None) -> DataFrame:
     """Per source: counts of every action, failures, prunable and blocked points, and the exit class (1 failure over
     2 needs force over 3 integrity over 0)."""
-    per = plan.groupBy("source").pivot("action", ["unchanged", "payload_update", "rekey", "embed"]).agg(F.count("*")).fillna(0)
+    per = plan.groupBy("source").pivot("action", ["unchanged", "payload_update", "rekey", "embed"]).agg(F.count(F.lit(1))).fillna(0)
     if embedded is not None:
         bad = embedded.filter("error is not null").join(plan.select("identity", "source"), "identity").groupBy("source").agg(F.count("*").alias("failed"))
         per = per.join(bad, "source", "left")
