@@ -101,7 +101,7 @@ def rewrite_references(notes: DataFrame, moves: DataFrame) -> DataFrame:
 
 
 def _replacement(text: Column) -> Column:
-    return F.regexp_replace(text, r"([\\$])", r"\\\\$1")
+    return F.regexp_replace(text, r"([\\$])", r"\\$1")
 
 
 def body_lines(notes: DataFrame, text_col: str = "content") -> DataFrame:
