@@ -16,7 +16,7 @@ def spark():
 
     shared = tempfile.mkdtemp(prefix="corpusmill-test-")
     session = (
-        SparkSession.builder.master("local[*]")
+        SparkSession.builder.master(os.environ.get("TEST_MASTER", "local[*]"))
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
