@@ -1,37 +1,10 @@
-"""Shared storage that every executor and the driver can reach.
-
-Lineage is cut by writing a table under ``spark.checkpoint.dir``; nothing is kept on one executor, so a lost executor
-costs only a re-read. Only where that setting is unset (tests on one machine) does a temporary folder stand in.
-"""
+"""Shared storage for these operators: tables (see ``corpusmill.sources.storage``) and raw files."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local temporary one only where the session names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="corpusmill-"))
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
+from corpusmill.sources.storage import materialise, new_path, shared_dir
 
-def materialise(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["file_system", "materialise", "new_path", "shared_dir"]
 
 
 def file_system(uri: str):
