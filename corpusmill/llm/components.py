@@ -22,7 +22,6 @@ def connected_components(links: DataFrame) -> DataFrame:
     while True:
         offered = both.join(labels, F.col("a") == F.col("node")).groupBy(F.col("b").alias("node")).agg(F.min("label").alias("offer"))
         met = labels.join(offered, "node").select("node", F.least("label", "offer").alias("label"), F.col("label").alias("old"))
-        met = materialise(met, "labels-met")
         up = met.select(F.col("node").alias("label"), F.col("label").alias("above"))
         new = materialise(met.join(up, "label").select("node", F.least("label", "above").alias("label"), (F.least("label", "above") < F.col("old")).alias("fell")), "labels")
         labels = new.select("node", "label")

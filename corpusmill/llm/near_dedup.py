@@ -7,10 +7,12 @@ them. A dart also carries one of k coordinates; the earliest dart of each coordi
 estimates the weighted Jaccard similarity. The work follows the total weight plus the hits, not their product with k.
 
 Signatures are cut into bands. Documents with the same words are one class first. In every band bucket each class is
-linked to the bucket's smallest (its hub), and the pair is checked exactly; classes of the bucket that then still lie
-in different components are paired with each other, in ever finer sub-buckets where a bucket is large (agreement on
-further coordinates), so a bucket never yields all pairs of its rows. Links are exact weighted Jaccard >= threshold;
-a group is a connected component; its smallest identifier names it and stays.
+paired with the bucket's smallest (its hub) and the pair is checked exactly. Where a bucket then still holds several
+components, members outside its largest one become pivots, a few at first and then more: tasks compare a pivot's
+signature with slices of the bucket and pass on only pairs that may be links between components. It ends when each
+bucket is one component or all those members have been pivots, so no link between components is lost, while a large
+bucket of true copies costs one pair a row. Links are exact weighted Jaccard >= threshold; a group is a connected
+component; its smallest identifier names it and stays.
 
 Words: ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. Defined cases: a text of one to four words has one
 shingle (all its words); a null or empty text, or one without words, has none and is a group of its own; rows with a
@@ -36,8 +38,11 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
 #: Signature agreement below which a pair isn't checked: 5 standard deviations below the threshold.
 SLACK = 0.18
-#: Classes of a bucket that are paired directly; larger buckets are cut finer first.
-DIRECT = 24
+#: Members of a bucket that one task compares with its pivots; pivots of a bucket in the first round (then 4, 16, ..
+#: times as many, until every member outside the bucket's largest component has been one).
+SLICE, PIVOTS = 4096, 64
+#: Pairs of a pivot in the first round.
+BEST = 2
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F], U64)
 
 
@@ -147,51 +152,98 @@ def band_keys(classes: DataFrame, bands: int, rows: int) -> DataFrame:
     return classes.select("signature", "node").mapInArrow(run, "key long, node long")
 
 
-def finer_keys(members: DataFrame, classes: DataFrame, bands: int, rows: int, depth: int) -> DataFrame:
-    """Cuts buckets: each member gets, in place of its key, one key per group of three further coordinates. Of classes
-    at the threshold all but 1e-12 share at least one of them."""
-    k = bands * rows
+def pivot_pairs(members: DataFrame, pivots: DataFrame, classes: DataFrame, cells: DataFrame, threshold: float, k: int, best: int | None = None) -> DataFrame:
+    """(a, b): pairs of a bucket's members(key, node, label, size) and pivots(key, node, label, size) in different
+    components whose signatures and weights allow the threshold. With ``best``, so many of each pivot and slice; else
+    all that share enough cells, cut to 32 bits (which can only add pairs, for the exact check to drop).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A bucket is dealt in slices of about SLICE members, each with all pivots of its bucket; a task compares arrays and
+    passes on only the pairs that may be links."""
+    low = max(0.0, threshold - SLACK)
+    sign = classes.select("node", "signature", "weight")
+    sign = sign.withColumn("brief", F.lit(None).cast("binary")) if best else sign.join(cells.select("node", "brief"), "node")
+    slices_ = F.ceil(F.col("size") / SLICE).cast("int")
+    left = members.withColumn("slice", F.pmod(F.xxhash64("node"), slices_)).join(sign, "node")
+    right = pivots.join(sign, "node").withColumn("slice", F.explode(F.sequence(F.lit(0), slices_ - 1))).withColumn("slice", F.col("slice").cast("long"))
+
+    def compare(group: pa.Table, wanted: pa.Table) -> pa.Table:
+        if not group.num_rows or not wanted.num_rows:
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        x, y = _numbers(group, "signature", k), _numbers(wanted, "p_signature", k)
+        node, label, weight = (group.column(c).to_numpy() for c in ("node", "label", "weight"))
+        brief, their_brief = group.column("brief").to_pylist(), wanted.column("p_brief").to_pylist()
+        found = []
+        for i, (n, g, w) in enumerate(zip(*(wanted.column(f"p_{c}").to_pylist() for c in ("node", "label", "weight")))):
+            hit = np.flatnonzero((label != g) & (np.minimum(weight, w) >= threshold * np.maximum(weight, w)))
+            same = (x[hit] == y[i]).mean(axis=1)
+            hit, same = hit[same >= low], same[same >= low]
+            if best:
+                hit = hit[np.argsort(-same, kind="stable")[:best]]
+            else:
+                own = np.frombuffer(their_brief[i], np.uint32)
+                hit = hit[[_alike(own, np.frombuffer(brief[j], np.uint32), threshold) for j in hit.tolist()]] if len(hit) else hit
+            found.append(np.stack([np.minimum(node[hit], n), np.maximum(node[hit], n)]))
+        both = np.concatenate(found, axis=1)
+        return pa.table({"a": both[0], "b": both[1]})
+
+    keys = ["key", "slice"]
+    columns = [*keys, "node", "label", "weight", "signature", "brief"]
+    right = right.select(columns).toDF(*(f"p_{c}" for c in columns))
+    dealt = left.select(columns).groupBy(*keys).cogroup(right.groupBy(*(f"p_{c}" for c in keys)))
+    return dealt.applyInArrow(compare, "a long, b long").distinct()
+
+
+def likely(pairs: DataFrame, classes: DataFrame, threshold: float, k: int) -> DataFrame:
+    """Pairs (a, b) of classes whose weights and signatures allow the threshold."""
+    low = max(0.0, threshold - SLACK)
+
+    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            numbers = _numbers(batch, "signature", k)
-            for i in range(k // 3):
-                part = numbers[:, [(i + j * (k // 3) + depth * (j + 1)) % k for j in range(3)]]
-                with np.errstate(over="ignore"):
-                    key = mix(batch.column("key").to_numpy().view(U64) * U64(31) + _fold(part, i + 1000 * depth).view(U64))
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("node")], ["key", "node"])
+            same = pa.array((_numbers(batch, "sa", k) == _numbers(batch, "sb", k)).mean(axis=1) >= low)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(same), batch.column("b").filter(same)], ["a", "b"])
 
-    return members.join(classes.select("node", "signature"), "node").select("key", "node", "signature").mapInArrow(run, "key long, node long")
+    sign = classes.select("node", "signature", "weight")
+    near = pairs.join(sign.toDF("a", "sa", "wa"), "a").join(sign.toDF("b", "sb", "wb"), "b").filter(F.least("wa", "wb") >= threshold * F.greatest("wa", "wb"))
+    return near.select("a", "b", "sa", "sb").mapInArrow(agree, "a long, b long")
 
 
-def checked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, threshold: float, k: int) -> DataFrame:
-    """Of distinct pairs (a, b) of classes, those whose exact weighted Jaccard similarity reaches the threshold."""
-    low = max(0.0, threshold - SLACK)
+def _alike(x: np.ndarray, y: np.ndarray, threshold: float) -> bool:
+    """Whether two sorted arrays of cells reach the threshold."""
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    if not len(small):
+        return False
+    both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+    return both >= threshold * (len(x) + len(y) - both)
 
-    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            same = (_numbers(batch, "sa", k) == _numbers(batch, "sb", k)).mean(axis=1) >= low
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(same)), batch.column("b").filter(pa.array(same))], ["a", "b"])
+
+def weighted_cells(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, cells, brief): the weighted set of each class as sorted cells, in full and cut to 32 bits."""
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            element, row, _ = shingles(batch.column("text"))
+            cell, row = unit_cells(element, row)
+            order = np.lexsort((cell, row))
+            cell, edge = cell[order], np.searchsorted(row[order], np.arange(batch.num_rows + 1))
+            parts = [cell[a:b] for a, b in zip(edge[:-1], edge[1:])]
+            brief = [np.sort(p.astype(np.uint32)).tobytes() for p in parts]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array(brief, pa.binary())], ["node", "cells", "brief"])
+
+    wanted = nodes.join(classes.select("node", "same"), "node")
+    texts = docs.join(wanted, docs["doc_id"] == F.col("node")).dropDuplicates(["node"]).select("node", "text")
+    return texts.mapInArrow(build, "node long, cells binary, brief binary")
+
+
+def checked(pairs: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
+    """Of a table of pairs (a, b) of classes, those whose exact weighted Jaccard similarity reaches the threshold."""
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text="ta"):
-            parts = []
-            for column in ("ta", "tb"):
-                element, row, _ = shingles(batch.column(column))
-                parts.append(unit_cells(element, row))
-            with np.errstate(over="ignore"):
-                left, right = (mix(cell + row.astype(U64) * U64(0x9E3779B97F4A7C15)) for cell, row in parts)
-            both = np.bincount(parts[0][1][np.isin(left, right)], minlength=batch.num_rows)
-            total = sum(np.bincount(row, minlength=batch.num_rows) for _, row in parts)
-            good = pa.array(both >= threshold * (total - both))
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(good), batch.column("b").filter(good)], ["a", "b"])
+        for batch in slices(batches, text="ca"):
+            good = [_alike(np.frombuffer(a, U64), np.frombuffer(b, U64), threshold) for a, b in zip(*(batch.column(c).to_pylist() for c in ("ca", "cb")))]
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(good, pa.bool_())), batch.column("b").filter(pa.array(good, pa.bool_()))], ["a", "b"])
 
-    sign = classes.select("node", "signature", "weight")
-    near = pairs.join(sign.toDF("a", "sa", "wa"), "a").join(sign.toDF("b", "sb", "wb"), "b").filter(F.least("wa", "wb") >= threshold * F.greatest("wa", "wb"))
-    near = materialise(near.select("a", "b", "sa", "sb").mapInArrow(agree, "a long, b long"), "near-pairs")
-    needed = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-    texts = materialise(docs.join(classes.select("node", "same"), docs["doc_id"] == F.col("node")).join(needed, "node").dropDuplicates(["node"]).select("node", "text"), "near-texts")
-    full = near.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+    own = cells.select("node", "cells")
+    full = pairs.join(own.toDF("a", "ca"), "a").join(own.toDF("b", "cb"), "b").select("a", "b", "ca", "cb")
     return full.mapInArrow(exact, "a long, b long")
 
 
@@ -204,34 +256,35 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     classes = materialise(signed.filter("weight > 0").groupBy("same").agg(F.min("doc_id").alias("node"), F.first("weight").alias("weight"), F.first("signature").alias("signature")), "classes")
     keyed = materialise(band_keys(classes, bands, rows), "bands")
     hubs = materialise(keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("size")).filter("size > 1"), "hubs")
-    pairs = materialise(keyed.join(hubs, "key").filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links = materialise(checked(pairs, classes, docs, threshold, k), "near-links")
-    tested = pairs
-    members, depth = keyed.join(hubs.select("key"), "key"), 0
+    star = keyed.join(hubs, "key").filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    tested = materialise(likely(star, classes, threshold, k), "pairs")
+    members = materialise(keyed.join(hubs.select("key", "hub"), "key"), "members")
+    cells = materialise(weighted_cells(members.select("node").distinct(), classes, docs), "cells")
+    links = materialise(checked(tested, cells, threshold), "near-links")
+    done, most, best = members.filter("node = hub").select("key", "node"), 16 * PIVOTS, BEST
     while True:
         labels = connected_components(links)
-        # what is left: buckets whose classes still lie in several components
         part = members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        open_ = part.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).filter("low < high").select("key", "size")
-        part = materialise(part.join(open_, "key"), "open-buckets")
-        small, large = part.filter(F.col("size") <= DIRECT), part.filter(F.col("size") > DIRECT)
-        a, b = small.toDF("key", "a", "la", "size"), small.toDF("key", "b", "lb", "size2")
-        more = a.join(b, "key").filter("a < b and la <> lb").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti")
-        more = materialise(more, "pairs")
-        found = materialise(checked(more, classes, docs, threshold, k), "near-links")
-        links, tested = links.union(found), tested.union(more)
-        if large.isEmpty():
+        sizes = part.groupBy("key", "label").agg(F.count("*").alias("n"))
+        open_ = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("size"), F.count("*").alias("parts")).filter("parts > 1")
+        part = materialise(part.join(open_, "key"), "open-members")
+        # a link between two components has an end outside the bucket's largest one
+        outside = part.filter("label <> main").join(done, ["key", "node"], "left_anti")
+        share = F.ceil(F.col("left") / most).cast("int")
+        chosen = outside.join(outside.groupBy("key").agg(F.count("*").alias("left")), "key").withColumn("turn", F.pmod(F.xxhash64("key", "node"), share) == 0)
+        chosen = materialise(chosen.select("key", "node", "label", "size", "turn"), "pivots")
+        if chosen.isEmpty():
             break
-        members, depth = large.select("key", "node"), depth + 1
-        members = materialise(finer_keys(members, classes, bands, rows, depth), "bands")
-        hubs = materialise(members.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("size")).filter("size > 1"), "hubs")
-        members = members.join(hubs.select("key"), "key")
-        if depth >= 3:  # what still agrees after three cuts is taken hub by hub
-            pairs = materialise(members.join(hubs, "key").filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-            links, tested = links.union(materialise(checked(pairs, classes, docs, threshold, k), "near-links")), tested.union(pairs)
-            members = materialise(members.join(hubs.filter(F.col("size") > DIRECT), "key").filter("node <> hub").select("key", "node"), "bands")
-    links = materialise(links, "near-links")
-    labels = connected_components(links)
+        chosen = chosen.filter("turn")
+        at = part.join(chosen.select("key").distinct(), "key", "left_semi")
+        more = materialise(pivot_pairs(at, chosen, classes, cells, threshold, k, best).join(tested, ["a", "b"], "left_anti"), "pairs")
+        found = materialise(checked(more, cells, threshold), "near-links")
+        links, tested = links.union(found), tested.union(more)
+        if best:  # the first round joins most components by each pivot's best pairs; the next ones leave nothing out
+            most, best = PIVOTS, None
+        else:
+            done, most = done.union(chosen.select("key", "node")), most * 4
+    links = materialise(links.distinct(), "near-links")
     degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n"))
     named = materialise(classes.select("same", "node").join(labels, "node", "left").join(degree, "node", "left").select("same", "node", F.coalesce("label", "node").alias("label"), F.coalesce("n", F.lit(0)).alias("n")), "near-groups")
     rows_ = signed.select("doc_id", F.when(F.col("weight") > 0, F.col("same")).alias("same"))
