@@ -16,8 +16,8 @@ component; its smallest identifier names it and stays.
 
 Words: ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. Defined cases: a text of one to four words has one
 shingle (all its words); a null or empty text, or one without words, has none and is a group of its own; rows with a
-null identifier are left out (they can't name a link); repeated identifiers count as one document per distinct text;
-other columns are ignored.
+null identifier are left out (they can't name a link); repeated identifiers count as one document per distinct sequence
+of words, each with links of its own, and one that names a group stays with all its texts there; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from .components import connected_components
 from .store import materialise
@@ -128,6 +129,22 @@ def signatures(docs: DataFrame, k: int = BANDS * ROWS) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, same long, weight long, signature binary")
 
 
+@F.arrow_udf(LongType())
+def word_class(texts: pa.Array) -> pa.Array:
+    """The hash of the sequence of words of each text, as ``same`` of its signature."""
+    batch = pa.RecordBatch.from_arrays([texts], ["text"])
+    return pa.array(np.concatenate([np.zeros(0, np.int64), *(shingles(part.column("text"))[2].view(np.int64) for part in slices([batch]))]))
+
+
+def word_classes(signed: DataFrame) -> DataFrame:
+    """(same, doc_id, weight, signature, node): texts with the same words, under their smallest identifier. That is the
+    node too, unless other classes have the same smallest one: of those all but one take their hash."""
+    classes = materialise(signed.filter("weight > 0").groupBy("same").agg(F.min("doc_id").alias("doc_id"), F.first("weight").alias("weight"), F.first("signature").alias("signature")), "classes")
+    shared = materialise(classes.groupBy("doc_id").agg(F.min("same").alias("first"), F.count("*").alias("n")).filter("n > 1").select("doc_id", "first"), "shared-ids")
+    node = F.when(F.col("same") != F.col("first"), F.col("same")).otherwise(F.col("doc_id"))
+    return materialise(classes.join(shared, "doc_id", "left").select("same", "doc_id", "weight", "signature", node.alias("node")), "nodes")
+
+
 def _numbers(batch: pa.RecordBatch, column: str, k: int) -> np.ndarray:
     return np.frombuffer(b"".join(batch.column(column).to_pylist()), np.uint32).reshape(-1, k)
 
@@ -229,8 +246,8 @@ def weighted_cells(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> Dat
             brief = [np.sort(p.astype(np.uint32)).tobytes() for p in parts]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array(brief, pa.binary())], ["node", "cells", "brief"])
 
-    wanted = nodes.join(classes.select("node", "same"), "node")
-    texts = docs.join(wanted, docs["doc_id"] == F.col("node")).dropDuplicates(["node"]).select("node", "text")
+    wanted = nodes.join(classes.select("node", "same", "doc_id"), "node")
+    texts = docs.withColumn("same", word_class("text")).join(wanted, ["doc_id", "same"]).dropDuplicates(["doc_id", "same"]).select("node", "text")
     return texts.mapInArrow(build, "node long, cells binary, brief binary")
 
 
@@ -247,13 +264,12 @@ def checked(pairs: DataFrame, cells: DataFrame, threshold: float) -> DataFrame:
     return full.mapInArrow(exact, "a long, b long")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """Per document: doc_id, group_id (smallest identifier of its group), kept (it is that one), n_links (checked
-    links of its class) and same_as (smallest identifier with the same words)."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, threshold: float, bands: int, rows: int) -> DataFrame:
+    """Per document: doc_id, same (its word class; null without words), group_id and same_as."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter(F.col("doc_id").isNotNull())
     k = bands * rows
     signed = materialise(signatures(docs, k), "signatures")
-    classes = materialise(signed.filter("weight > 0").groupBy("same").agg(F.min("doc_id").alias("node"), F.first("weight").alias("weight"), F.first("signature").alias("signature")), "classes")
+    classes = word_classes(signed)
     keyed = materialise(band_keys(classes, bands, rows), "bands")
     hubs = materialise(keyed.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("size")).filter("size > 1"), "hubs")
     star = keyed.join(hubs, "key").filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
@@ -284,16 +300,25 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             most, best = PIVOTS, None
         else:
             done, most = done.union(chosen.select("key", "node")), most * 4
-    links = materialise(links.distinct(), "near-links")
-    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("n"))
-    named = materialise(classes.select("same", "node").join(labels, "node", "left").join(degree, "node", "left").select("same", "node", F.coalesce("label", "node").alias("label"), F.coalesce("n", F.lit(0)).alias("n")), "near-groups")
+    linked = materialise(labels.join(classes.select("node", "same", "doc_id"), "node"), "linked")
+    heads = linked.groupBy("label").agg(F.min("doc_id").alias("head"))
+    named = classes.select("same", "doc_id").join(linked.join(heads, "label").select("same", "head"), "same", "left")
+    named = materialise(named.select("same", F.col("doc_id").alias("least"), F.coalesce("head", "doc_id").alias("head")), "near-groups")
     rows_ = signed.select("doc_id", F.when(F.col("weight") > 0, F.col("same")).alias("same"))
-    group = F.coalesce("label", "doc_id")
-    return rows_.join(named, "same", "left").select("doc_id", group.alias("group_id"), (F.col("doc_id") == group).alias("kept"), F.coalesce("n", F.lit(0)).alias("n_links"), F.coalesce("node", "doc_id").alias("same_as"))
+    return rows_.join(named, "same", "left").select("doc_id", "same", F.coalesce("head", "doc_id").alias("group_id"), F.coalesce("least", "doc_id").alias("same_as"))
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """Per document: doc_id, group_id (smallest identifier of its group), kept (it is that one) and same_as (smallest
+    identifier with the same words)."""
+    found = _grouped(docs, id_col, text_col, threshold, bands, rows)
+    return found.select("doc_id", "group_id", (F.col("doc_id") == F.col("group_id")).alias("kept"), "same_as")
 
 
-def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def keep_one_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """The rows of ``docs``, with all their columns, but for documents that are near-duplicates of a kept one."""
-    found = near_dedup(docs, id_col, text_col, **options)
-    gone = materialise(found.groupBy(F.col("doc_id").alias("__gone")).agg(F.bool_or("kept").alias("kept")).filter(~F.col("kept")).select("__gone"), "near-dropped")
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    found = _grouped(docs, id_col, text_col, threshold, bands, rows)
+    gone = materialise(found.filter("doc_id <> group_id").select(F.col("doc_id").alias("__gone"), F.col("same").alias("__words")).distinct(), "near-dropped")
+    rows_ = docs.withColumns({"__id": F.col(id_col).cast("long"), "__class": word_class(F.col(text_col).cast("string"))})
+    left = rows_.join(gone, (F.col("__id") == F.col("__gone")) & (F.col("__class") == F.col("__words")), "left_anti")
+    return left.drop("__id", "__class")

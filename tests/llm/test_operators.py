@@ -127,6 +127,18 @@ def test_no_link_is_lost_in_a_straddling_bucket(spark):
     assert [r.group_id for r in got.orderBy("doc_id").collect()] == label
 
 
+def test_near_groups_of_repeated_identifiers(spark):
+    """Different texts under one doc_id have links of their own."""
+    x, y, z = (prose(200, s) for s in (31, 32, 33))
+    near = lambda t: t + " tail"
+    data = [(5, x), (5, y), (5, z), (5, None), (5, ""), (6, near(x)), (7, near(y)), (3, near(z)), (8, z.replace("Gamma", "GAMMA"))]
+    table = spark.createDataFrame(data, "doc_id long, text string")
+    got = near_dedup.near_dedup(table).collect()
+    assert Counter((r.doc_id, r.group_id, r.kept) for r in got) == Counter({(5, 5, True): 4, (5, 3, False): 1, (6, 5, False): 1, (7, 5, False): 1, (3, 3, True): 1, (8, 3, False): 1})
+    kept = near_dedup.keep_one_each(table).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(5, x), (5, y), (5, None), (5, ""), (3, near(z))])
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 7), (200, 201), (201, 200), (300, 300)]
     got = {r.node: r.label for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
