@@ -27,20 +27,27 @@ def slug(title: Column) -> Column:
 
 
 def plan_captures(inbox: DataFrame, taken: DataFrame | None = None) -> DataFrame:
-    """inbox(source, ts timestamp, title, body, origin) -> (source, path, content, problem): dated paths, numbered on
-    collision after those in ``taken(source, path)``."""
+    """inbox(source, ts timestamp, title, body, origin) -> (source, path, content, problem): distinct dated paths, numbered
+    on collision by the first numbers that ``taken(source, path)`` leaves."""
     title, origin = collapse(F.coalesce("title", F.lit(""))), collapse(F.coalesce("origin", F.lit("")))
     rows = inbox.withColumns({"title": title, "origin": F.when(origin == "", "manual").otherwise(origin)})
     base = F.concat(F.lit(f"{RAW_DIR}/"), F.date_format("ts", "yyyy/MM/dd/HHmmss"), F.lit("-"), slug(F.col("title")))
     rows = rows.withColumn("base", base)
-    if taken is not None:
-        used = taken.select("source", F.regexp_replace(F.regexp_replace("path", r"\.md\z", ""), r"-\d{2}\z", "").alias("base")).groupBy("source", "base").agg(F.count("*").alias("used"))
-        rows = rows.join(used, ["source", "base"], "left").fillna(0, ["used"])
-    else:
-        rows = rows.withColumn("used", F.lit(0))
-    n = F.row_number().over(Window.partitionBy("source", "base").orderBy("title", "body", "origin")) + F.col("used")
-    rows = rows.withColumn("n", n)
-    path = F.concat("base", F.when(F.col("n") > 1, F.concat(F.lit("-"), F.lpad(F.col("n").cast("string"), 2, "0"))).otherwise(""), F.lit(".md"))
+    stems = taken.select("source", F.regexp_replace("path", r"\.md\z", "").alias("base")).distinct() if taken is not None else rows.select("source", "base").limit(0)
+    rows = rows.join(stems.withColumn("held", F.lit(True)), ["source", "base"], "left")
+    place = F.row_number().over(Window.partitionBy("source", "base").orderBy("title", "body", "origin"))
+    rows = rows.withColumn("i", place - F.when(F.col("held"), 0).otherwise(1))
+    # numbers that would give the path of another title, or one that is taken, are left out
+    numbered = r"\A(.+)-(\d{2}|[1-9]\d{2,17})\z"
+    names = rows.select("source", "base").union(stems).distinct()
+    names = names.select("source", F.regexp_extract("base", numbered, 1).alias("base"), F.expr(f"try_cast(regexp_extract(base, r'{numbered}', 2) as long)").alias("r")).filter("r >= 2")
+    names = names.select("source", "base", (F.col("r") - F.row_number().over(Window.partitionBy("source", "base").orderBy("r"))).alias("i"), F.lit(1).alias("skip"))
+    rows = rows.withColumn("skip", F.lit(0)).unionByName(names, allowMissingColumns=True)
+    # before the i-th number there are the left out ones with fewer than i free numbers below them
+    skipped = F.sum("skip").over(Window.partitionBy("source", "base").orderBy("i", F.desc("skip")).rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("n", F.col("i") + 1 + skipped).filter("skip = 0")
+    digits = F.col("n").cast("string")
+    path = F.concat("base", F.when(F.col("i") > 0, F.concat(F.lit("-"), F.when(F.col("n") < 100, F.lpad(digits, 2, "0")).otherwise(digits))).otherwise(""), F.lit(".md"))
     quoted = lambda c: F.get_json_object(F.to_json(F.struct(c.alias("v"))), "$").substr(6, 1 << 30)
     json_ = lambda c: F.regexp_replace(quoted(c), r"\}\z", "")
     content = F.concat(F.lit("---\nstatus: raw\ncaptured_at: "), json_(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ssXXX")), F.lit("\nsource: "), json_(F.col("origin")), F.lit("\n---\n\n# "), "title", F.lit("\n\n"), F.trim(F.coalesce("body", F.lit(""))), F.lit("\n"))

@@ -208,6 +208,19 @@ def test_captures_number_collisions(spark):
     assert got == [("", "capture title cannot be empty"), ("000-raw/2024/01/02/030405-A-b-02.md", ""), ("000-raw/2024/01/02/030405-A-b.md", "")]
 
 
+def test_captures_of_one_title_have_distinct_paths(spark):
+    box = spark.createDataFrame([("s", "A", str(i)) for i in range(130)] + [("s", "A-12", "x"), ("s", "A-105", "x"), ("s", "B-2024", "x")], "source string, title string, body string").selectExpr("*", "timestamp'2024-01-02 03:04:05' as ts", "'' as origin")
+    base = "000-raw/2024/01/02/030405-"
+    taken = spark.createDataFrame([("s", f"{base}{t}.md") for t in ("A", "A-03", "A-100", "B-2024")], "source string, path string")
+    free = [n for n in range(2, 200) if n not in (3, 12, 100, 105)][:129]
+    first = {f"{base}A-12.md", f"{base}A-105.md", f"{base}A.md", f"{base}B-2024.md"}
+    got = [r.path for r in lifecycle.plan_captures(box).collect()]
+    assert len(got) == len(set(got)) == 133 and first <= set(got) and f"{base}A-100.md" in got and f"{base}A-132.md" in got
+    got = [r.path for r in lifecycle.plan_captures(box, taken).collect()]
+    free = free + [next(n for n in range(free[-1] + 1, 300))]
+    assert sorted(got) == sorted([f"{base}A-{n:02d}.md" for n in free] + [f"{base}A-12.md", f"{base}A-105.md", f"{base}B-2024-02.md"])
+
+
 def test_metrics(spark):
     ranks = spark.createDataFrame([(r, q) for r, q in ((1, "x"), (10, "x"), (0, "y"), (4, None))], "rank int, qtype string")
     got = {r.slice: r for r in evaluate.slices(ranks, ["qtype"]).collect()}
