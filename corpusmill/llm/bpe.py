@@ -8,8 +8,9 @@ together, position by position, in array operations; back-pointers then give the
 
 Files: BPE with an end-of-word suffix, NFC and lower case first, words by the usual contraction/letter/digit/other
 pattern, white space dropped, no decoder. Strings of added tokens in a text stand for those tokens. Decoding joins the
-tokens' strings with one space. Defined cases: a null or empty text has no tokens; an empty table gives an empty
-result; other columns are ignored; repeated rows are encoded each.
+tokens' strings with one space. Defined cases: a null or empty text has no tokens; very long texts are encoded in parts
+cut at white space, with the same ids; texts with code points that Python's Unicode tables don't know are normalised and
+cut by the library; an empty table gives an empty result; other columns are ignored; repeated rows are encoded each.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretokens import PieceCache, Pieces
+from .pretokens import PART, PieceCache, Pieces, parts
 from .textbytes import slices
 
 #: Separates words in the automaton's input; a byte is chr(byte), at a word's end chr(256 + byte).
@@ -180,8 +181,8 @@ class BpeEncoder:
     """Encodes slices of texts; of each distinct word it keeps (number of ids, ids as text, tokens as text)."""
 
     def __init__(self, path: str):
-        self.bpe = bpe(path)
-        self.cache = PieceCache(self._values)
+        self.path, self.bpe, self.values = path, bpe(path), []
+        self.cache = PieceCache(lambda pieces: self.values.extend(self._values(pieces)), self.values.clear)
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.bpe.added, key=len, reverse=True))) + ")") if self.bpe.added else None
 
     def _value(self, ids: list[int]) -> tuple[int, bytes, bytes]:
@@ -190,33 +191,62 @@ class BpeEncoder:
     def _values(self, pieces: list[str]) -> list[tuple[int, bytes, bytes]]:
         return list(map(self._value, self.bpe.encode_words(pieces)))
 
+    def _library_words(self, text: str) -> list[str]:
+        """Words by the library's own Unicode tables, for texts with code points that Python's don't know."""
+        normaliser, cutter, byte_of = library_cutter(self.path)
+        return [bytes(map(byte_of.__getitem__, letters)).decode() for letters, _ in cutter.pre_tokenize_str(normaliser.normalize_str(text))]
+
     def encode(self, texts: list[str]) -> list[list[tuple[int, bytes, bytes]]]:
         """Of each text, the values of its words in order."""
-        parts, owner, fixed = [], [], {}
+        out, waiting, size = [[] for _ in texts], [], 0
         for i, text in enumerate(texts):
-            cut = self.cut.split(text) if self.cut and any(a in text for a in self.bpe.added) else [text]
-            for k, part in enumerate(cut):
-                if k % 2:
-                    fixed[len(parts)] = self.bpe.added[part]
-                parts.append("" if k % 2 else self.bpe.normalise(part))
-                owner.append(i)
-        pieces = Pieces(parts, leading_space=False)
-        slot, first = self.cache.look_up(pieces).tolist(), pieces.first.tolist()
-        value, out = self.cache.values.__getitem__, [[] for _ in texts]
-        for k, i in enumerate(owner):
-            out[i] += [self._value([fixed[k]])] if k in fixed else map(value, slot[first[k] : first[k + 1]])
+            for k, part in enumerate(self.cut.split(text) if self.cut and any(a in text for a in self.bpe.added) else [text]):
+                for own in [self.bpe.added[part]] if k % 2 else parts(part):
+                    waiting.append((out[i], own))
+                    size += 0 if k % 2 else len(own)
+                    if size > 2 * PART:
+                        self._put(waiting)
+                        waiting, size = [], 0
+        self._put(waiting)
         return out
 
+    def _put(self, waiting: list[tuple[list, str | int]]) -> None:
+        """Appends the values of each part to its list; a number is an added token."""
+        pieces = Pieces(["" if isinstance(part, int) else self.bpe.normalise(part) for _, part in waiting], leading_space=False)
+        number, first, value = self.cache.look_up(pieces).tolist(), pieces.first.tolist(), self.values.__getitem__
+        unknown = set(pieces.unknown)
+        for k, (out, part) in enumerate(waiting):
+            if isinstance(part, int):
+                out.append(self._value([part]))
+            elif k in unknown:
+                out += self._values(self._library_words(part))
+            else:
+                out += map(value, number[first[k] : first[k + 1]])
+
+
+@functools.cache
+def library_cutter(path: str):
+    """(normaliser, pre-tokeniser, byte of each of its letters) of a file."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    return tokenizer.normalizer, tokenizer.pre_tokenizer, {letter: byte for byte, letter in enumerate(byte_letters())}
+
+
+@functools.cache
+def encoder(path: str) -> BpeEncoder:
+    """The process's encoder of a file, with the words it knows."""
+    return BpeEncoder(path)
+
 
 def encode_decode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", with_output: bool = False) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256 (decimal ids joined by one space), decoded_sha256 and, on request,
     ids and decoded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = BpeEncoder(tokenizer_path)
         for batch in slices(batches):
             n, ids, decoded, texts = [], [], [], []
-            for values in encoder.encode([t or "" for t in batch.column("text").to_pylist()]):
+            for values in encoder(tokenizer_path).encode([t or "" for t in batch.column("text").to_pylist()]):
                 n.append(sum([v[0] for v in values]))
                 id_text, text = b" ".join([v[1] for v in values]), b" ".join([v[2] for v in values])
                 ids.append(hashlib.sha256(id_text).hexdigest())

@@ -10,7 +10,8 @@ of all documents share costs no more than any other.
 Words: ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` after lower-casing A-Z. A window is 13 consecutive words of an item, or the
 whole item where it has fewer (but some). Defined cases: a null or empty text has no words and is clean; items without
 words match nothing; repeated item ids count once; an empty test set leaves everything clean; null item ids are
-ignored in the list of items but their windows count as hits; other columns are ignored.
+ignored in the list of items but their windows count as hits; a very long text is a shard of its own; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import file_system, materialise
-from .textbytes import slices, text_buffers, words
+from .textbytes import Words, same_runs, slices, text_buffers
 
 WINDOW = 13
 #: A test set up to this size is broadcast; a larger one is read by the tasks in blocks of about this size.
@@ -38,8 +39,14 @@ class TestSuffixes:
     __test__ = False  # not a test case
 
     def __init__(self, ids: list, texts: pa.Array, window: int = WINDOW):
-        hashes, _, first = words(*text_buffers(texts))
-        self.vocabulary, ranks = np.unique(hashes, return_inverse=True)
+        data = text_buffers(texts)
+        for self.seed in range(100):  # until no two different words have one hash
+            found = Words(*data, self.seed)
+            hashes, first = found.hashes, found.first
+            self.vocabulary, index, ranks = np.unique(hashes, return_index=True, return_inverse=True)
+            self.low, self.at, self.sizes = found.low, found.starts[index], (found.ends - found.starts)[index]
+            if self.same(found, ranks).all():
+                break
         size = np.diff(first)
         #: Each item's words, then zeros: no lookup runs into the next item.
         at = first[:-1] + window * np.arange(len(size))
@@ -54,6 +61,21 @@ class TestSuffixes:
         self.ids, self.window = ids, window
         self.shortest = int(np.minimum(size, window)[size > 0].min()) if len(hashes) else 0
 
+    def same(self, found: Words, ranks: np.ndarray) -> np.ndarray:
+        """Whether each word is, byte by byte, the one of that rank of the vocabulary."""
+        size = found.ends - found.starts
+        good = size == self.sizes[ranks]
+        good[good] = same_runs(found.low, found.starts[good], self.low, self.at[ranks[good]], size[good])
+        return good
+
+    def ranks(self, found: Words) -> np.ndarray:
+        """Of each word, its place in the vocabulary, from 1 on; 0 for others."""
+        out = np.zeros(len(found.hashes), np.int64)
+        if len(self.vocabulary) and len(out):
+            near = np.minimum(np.searchsorted(self.vocabulary, found.hashes), len(self.vocabulary) - 1)
+            out = np.where((self.vocabulary[near] == found.hashes) & self.same(found, near), near + 1, 0)
+        return out
+
 
 def narrowed(array: np.ndarray, low: np.ndarray, high: np.ndarray, key: np.ndarray, depth: int, ranks: np.ndarray, right: bool) -> np.ndarray:
     """Vectorised binary search: first place in [low, high) whose word at ``depth`` is not below (right: is above) key."""
@@ -71,13 +93,12 @@ class Shard:
     """Suffix array of some documents' words, by their first ``window`` words."""
 
     def __init__(self, texts: pa.Array, tests: TestSuffixes):
-        hashes, row, first = words(*text_buffers(texts))
+        found = Words(*text_buffers(texts), tests.seed)
+        first = found.first
         self.n_words = np.diff(first)
-        ranks = np.zeros(len(hashes) + len(self.n_words) + tests.window, np.int64)
-        self.place = np.arange(len(hashes)) + row  # a zero stands after each document
-        if len(tests.vocabulary) and len(hashes):
-            found = np.minimum(np.searchsorted(tests.vocabulary, hashes), len(tests.vocabulary) - 1)
-            ranks[self.place] = np.where(tests.vocabulary[found] == hashes, found + 1, 0)
+        ranks = np.zeros(len(found.hashes) + len(self.n_words) + tests.window, np.int64)
+        self.place = np.arange(len(found.hashes)) + found.row  # a zero stands after each document
+        ranks[self.place] = tests.ranks(found)
         self.ranks, self.begin = ranks, first[:-1] + np.arange(len(self.n_words))
         stop = np.flatnonzero(ranks == 0)
         known = np.flatnonzero(ranks)
@@ -163,8 +184,8 @@ class Judge:
     def __init__(self, blocks: Blocks):
         self.blocks = [*blocks] if blocks.path is None else blocks
 
-    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[set]]:
-        """Of each text: its words, its hit words, and the ids of items with windows in it."""
+    def __call__(self, texts: pa.Array, with_items: bool = True) -> tuple[np.ndarray, np.ndarray, list[set]]:
+        """Of each text: its words, its hit words, and the ids of items with windows in it (none where not asked for)."""
         edges, counts, items = None, np.zeros(len(texts), np.int64), [set() for _ in range(len(texts))]
         for tests in self.blocks:
             shard = Shard(texts, tests)
@@ -172,13 +193,21 @@ class Judge:
             edges = np.zeros(len(shard.ranks) + 1, np.int64) if edges is None else edges
             low, high, _ = shard.search(tests)
             suffix = np.flatnonzero(tests.whole & (low < high))
-            which, at = _expand(low[suffix], high[suffix])
-            suffix, place = suffix[which], shard.array[at]
+            # equal windows of several suffixes have one range of the array: each place is looked at once a window
+            ranges, window = np.unique(np.stack([low[suffix], high[suffix], tests.length[suffix]], axis=1), axis=0, return_inverse=True)
+            window = window.ravel()
+            which, at = _expand(ranges[:, 0], ranges[:, 1])
+            place = shard.array[at]
             np.add.at(edges, place, 1)
-            np.add.at(edges, place + tests.length[suffix], -1)
+            np.add.at(edges, place + ranges[which, 2], -1)
+            if not with_items:
+                continue
             doc = np.searchsorted(shard.begin, place, "right") - 1
-            for pair in np.unique(doc * len(tests.ids) + tests.item[suffix]).tolist():
-                d, i = divmod(pair, len(tests.ids))
+            doc, which = np.divmod(np.unique(doc * max(1, len(ranges)) + which), max(1, len(ranges)))
+            window, item = np.divmod(np.unique(window * len(tests.ids) + tests.item[suffix]), max(1, len(tests.ids)))
+            edge = np.searchsorted(window, np.arange(len(ranges) + 1))
+            whose, at = _expand(edge[which], edge[which + 1])
+            for d, i in zip(doc[whose].tolist(), item[at].tolist()):
                 if tests.ids[i] is not None:
                     items[d].add(tests.ids[i])
         inside = np.concatenate([[0], np.cumsum(np.cumsum(edges) > 0)])
@@ -214,7 +243,7 @@ def drop_contaminated(docs: DataFrame, bench: DataFrame, text_col: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = Judge(blocks)
         for batch in slices(batches, text=text_col, most=SHARD_BYTES):
-            yield batch.filter(pa.array(~_contaminated(*judge(batch.column(text_col))[:2])))
+            yield batch.filter(pa.array(~_contaminated(*judge(batch.column(text_col), with_items=False)[:2])))
 
     return docs.mapInArrow(run, docs.schema)
 

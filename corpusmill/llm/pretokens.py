@@ -13,27 +13,46 @@ import unicodedata
 
 import numpy as np
 
-from .textbytes import U64, mix
+from .textbytes import U64, run_hashes, same_runs
 
-LETTER, NUMBER, SPACE, OTHER, END = 0, 1, 2, 3, 4
+LETTER, NUMBER, SPACE, OTHER, END, UNKNOWN = 0, 1, 2, 3, 4, 5
 #: The code points of the Unicode property White_Space.
 WHITE_SPACE = (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 #: What may follow an apostrophe in a token of its own.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
-BASE = 0xD6E8FEB86659FD93
+#: Characters of a text that are cut into pieces at once.
+PART = 1 << 20
 
 
 @functools.cache
 def classes() -> np.ndarray:
-    """The class of every code point."""
+    """The class of every code point; UNKNOWN where this Python's Unicode tables have none (a library's may)."""
     first = {"L": LETTER, "N": NUMBER}
-    out = np.array([first.get(unicodedata.category(chr(c))[0], OTHER) for c in range(sys.maxunicode + 1)], np.uint8)
+    kinds = [unicodedata.category(chr(c)) for c in range(sys.maxunicode + 1)]
+    out = np.array([UNKNOWN if k == "Cn" else first.get(k[0], OTHER) for k in kinds], np.uint8)
     out[list(WHITE_SPACE)] = SPACE
     return out
 
 
+def parts(text: str, most: int = PART) -> list[str]:
+    """The text in parts of about ``most`` characters, each but the first from a white space after another character:
+    pieces never span that border, and what stands on one side doesn't change pieces on the other."""
+    out, begin = [], 0
+    while len(text) - begin > most:
+        at = begin + most
+        while at < len(text) and not (ord(text[at]) in _WHITE and ord(text[at - 1]) not in _WHITE):
+            at += 1
+        out.append(text[begin:at])
+        begin = at
+    return [*out, text[begin:]]
+
+
+_WHITE = frozenset(WHITE_SPACE)
+
+
 class Pieces:
-    """Tokens of some texts: ``starts``/``ends`` in ``points``, ``first`` token of each text, and a hash of each."""
+    """Tokens of some texts: ``starts``/``ends`` in ``points``, ``first`` token of each text, a hash of each, and
+    ``unknown``, the texts with code points that have no class here (their tokens don't count)."""
 
     def __init__(self, texts: list[str], leading_space: bool):
         """leading_space: whitespace is kept and one space joins the piece after it; else whitespace is dropped and
@@ -41,9 +60,10 @@ class Pieces:
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         #: A zero after each text keeps texts apart.
         self.joined = "\0".join(texts) + "\0"
-        points = np.frombuffer(self.joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.points = points = np.frombuffer(self.joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         begin = np.cumsum(sizes + 1) - sizes - 1
         kind = classes()[points]
+        self.unknown = np.unique(np.searchsorted(begin, np.flatnonzero(kind == UNKNOWN), "right") - 1).tolist()
         kind[begin + sizes] = END
         n = len(points)
         start = np.ones(n, bool)
@@ -76,44 +96,79 @@ class Pieces:
             wanted &= kind[starts] != SPACE
         self.starts, self.ends = starts[wanted], ends[wanted]
         self.first = np.searchsorted(self.starts, np.append(begin, n))
-        power = np.full(n + 1, BASE, U64)
-        power[0] = 1
-        inverse = np.full(n + 1, pow(BASE, -1, 1 << 64), U64)
-        inverse[0] = 1
-        with np.errstate(over="ignore"):
-            np.cumprod(power, out=power)
-            np.cumprod(inverse, out=inverse)
-            sums = np.zeros(n + 1, U64)
-            np.cumsum(mix(points.astype(U64) + U64(0x51ED27)) * power[:n], out=sums[1:])
-            self.hashes = mix((sums[self.ends] - sums[self.starts]) * inverse[self.starts] + (self.ends - self.starts).astype(U64))
+        self.hashes = run_hashes(points, self.starts, self.ends)
+
+
+class Growing:
+    """An array that grows at its end."""
+
+    def __init__(self, kind):
+        self.room, self.size = np.zeros(1 << 12, kind), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        size = self.size + len(values)
+        if size > len(self.room):
+            self.room = np.concatenate([self.room[: self.size], np.zeros(max(size, self.size // 2), self.room.dtype)])
+        self.room[self.size : size] = values
+        self.size = size
+
+    @property
+    def array(self) -> np.ndarray:
+        return self.room[: self.size]
 
 
 class PieceCache:
-    """Remembers what an encoder gave for each distinct piece, up to a number of pieces; then it starts anew."""
+    """Gives every distinct piece a number, once.
+
+    Pieces are looked up by hash and then compared with the piece of that number, character by character; different
+    pieces with one hash get numbers of their own. Above so many characters it starts anew."""
+
+    def __init__(self, learn, forget, most: int = 8 << 20):
+        """learn(list of new pieces, in order of their numbers); forget() when numbers start at 0 again."""
+        self.learn, self.forget, self.most = learn, forget, most
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known, self.numbers = np.zeros(0, U64), np.zeros(0, np.int64)
+        self.points, self.begin, self.size = Growing(np.uint32), Growing(np.int64), Growing(np.int64)
+        self.others: dict[str, int] = {}
 
-    def __init__(self, encode, most: int = 400_000):
-        """encode(list of distinct pieces) -> list of values."""
-        self.encode, self.most = encode, most
-        self.known: np.ndarray = np.zeros(0, U64)
-        self.slots: np.ndarray = np.zeros(0, np.int64)
-        self.values: list = []
+    def _add(self, pieces: Pieces, which: np.ndarray) -> np.ndarray:
+        """Numbers for these pieces, which are new and distinct."""
+        starts, size, old = pieces.starts[which], pieces.ends[which] - pieces.starts[which], self.points.size
+        ends = np.cumsum(size)
+        self.begin.extend(old + ends - size)
+        self.size.extend(size)
+        self.points.extend(pieces.points[np.arange(ends[-1]) + np.repeat(starts - ends + size, size)])
+        text = pieces.joined
+        self.learn([text[a:b] for a, b in zip(starts.tolist(), (starts + size).tolist())])
+        return np.arange(self.size.size - len(which), self.size.size)
 
     def look_up(self, pieces: Pieces) -> np.ndarray:
-        """Of each piece, the index of its value in ``values``."""
-        if len(self.values) > self.most:
-            self.known, self.slots, self.values = np.zeros(0, U64), np.zeros(0, np.int64), []
+        """The number of each piece."""
+        if self.points.size > self.most:
+            self._clear()
+            self.forget()
+        if not len(pieces.hashes):
+            return np.zeros(0, np.int64)
         distinct, index, back = np.unique(pieces.hashes, return_index=True, return_inverse=True)
-        slot = np.full(len(distinct), -1, np.int64)
+        number = np.full(len(distinct), -1, np.int64)
+        at = np.searchsorted(self.known, distinct)
         if len(self.known):
-            at = np.minimum(np.searchsorted(self.known, distinct), len(self.known) - 1)
-            same = self.known[at] == distinct
-            slot[same] = self.slots[at[same]]
-        new = np.flatnonzero(slot < 0)
+            near = np.minimum(at, len(self.known) - 1)
+            same = self.known[near] == distinct
+            number[same] = self.numbers[near[same]]
+        new = np.flatnonzero(number < 0)
         if len(new):
-            text, starts, ends = pieces.joined, pieces.starts[index[new]].tolist(), pieces.ends[index[new]].tolist()
-            slot[new] = np.arange(len(self.values), len(self.values) + len(new))
-            self.values.extend(self.encode([text[a:b] for a, b in zip(starts, ends)]))
-            known = np.concatenate([self.known, distinct[new]])
-            order = np.argsort(known, kind="stable")
-            self.known, self.slots = known[order], np.concatenate([self.slots, slot[new]])[order]
-        return slot[back]
+            number[new] = self._add(pieces, index[new])
+            self.known, self.numbers = np.insert(self.known, at[new], distinct[new]), np.insert(self.numbers, at[new], number[new])
+        number = number[back]
+        size = pieces.ends - pieces.starts
+        good = size == self.size.array[number]
+        good[good] = same_runs(pieces.points, pieces.starts[good], self.points.array, self.begin.array[number[good]], size[good])
+        for i in np.flatnonzero(~good).tolist():
+            text = pieces.joined[pieces.starts[i] : pieces.ends[i]]
+            if text not in self.others:
+                self.others[text] = int(self._add(pieces, np.array([i]))[0])
+            number[i] = self.others[text]
+        return number

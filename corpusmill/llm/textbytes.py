@@ -13,8 +13,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-#: Odd multipliers of the two polynomial fingerprints modulo 2**64, and the seed of their byte tables.
-BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
+#: Two primes below 2**31 and, for each of two families of fingerprints, a base modulo each; the seed of byte tables.
+PRIMES = (2147483647, 2147483629)
+BASES = ((1103515245, 1664525013), (1812433253, 1566083941))
 SEED = 20240607
 
 
@@ -54,41 +55,70 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 @functools.cache
-def _table(which: int) -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(SEED + which)).integers(0, 2**64, 256, dtype=U64)
+def _table(which: int, k: int) -> np.ndarray:
+    return np.random.Generator(np.random.PCG64(SEED + 2 * which + k)).integers(1, PRIMES[k], 256, dtype=U64)
 
 
-_powers: dict[tuple[int, bool], np.ndarray] = {}
+_powers: dict[tuple[int, int], np.ndarray] = {}
 
 
-def powers(n: int, which: int, inverse: bool = False) -> np.ndarray:
-    """The first n powers of a base or of its inverse, modulo 2**64."""
-    got = _powers.get((which, inverse))
-    if got is None or len(got) < n:
-        base = pow(BASES[which], -1, 1 << 64) if inverse else BASES[which]
-        size = max(n, 1 << 16)
-        got = np.full(size, base, U64)
-        got[0] = 1
-        with np.errstate(over="ignore"):
-            np.cumprod(got, out=got)
-        if size <= 1 << 22:
-            _powers[which, inverse] = got
+def powers(n: int, base: int, prime: int) -> np.ndarray:
+    """The first n powers of a base modulo a prime."""
+    got = _powers.get((base, prime), np.ones(1, U64))
+    while len(got) < n:
+        got = np.concatenate([got, got * U64(pow(base, len(got), prime)) % U64(prime)])
+    if len(got) <= 1 << 22:
+        _powers[base, prime] = got
     return got[:n]
 
 
 class Fingerprints:
-    """Polynomial fingerprints of every substring of a byte array, in constant time each."""
+    """Polynomial fingerprints of every substring of a byte array, in constant time each: a pair modulo two primes, as
+    polynomials modulo a power of two can't tell some regular strings apart."""
 
     def __init__(self, data: np.ndarray, which: int = 0):
-        self.which, n = which, len(data)
-        self.sums = np.zeros(n + 1, U64)
-        with np.errstate(over="ignore"):
-            np.cumsum(_table(which)[data] * powers(n, which), out=self.sums[1:])
-        self.inverse = powers(n + 1, which, inverse=True)
+        self.parts, n = [], len(data)
+        for k, (prime, base) in enumerate(zip(PRIMES, BASES[which])):
+            sums = np.zeros(n + 1, U64)  # of numbers below 2**31: no overflow below 2**33 bytes
+            np.cumsum(_table(which, k)[data] * powers(n, base, prime) % U64(prime), out=sums[1:])
+            self.parts.append((sums, powers(n + 1, pow(base, -1, prime), prime), U64(prime)))
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mix((self.sums[ends] - self.sums[starts]) * self.inverse[starts])
+        first, second = ((sums[ends] - sums[starts]) % prime * inverse[starts] % prime for sums, inverse, prime in self.parts)
+        return mix(first << U64(32) | second)
+
+
+def run_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of each run of symbols (below 2**21); runs don't overlap and stand in order.
+
+    Every (place in the run, symbol) has a pseudo-random number and a run has their sum, so no structure within a run
+    makes two of them collide, as it can in polynomials modulo a power of two."""
+    if not len(starts):
+        return np.zeros(0, U64)
+    place = np.arange(len(symbols) + 1)
+    size = ends - starts
+    edge = np.append(starts, len(symbols) + 1)
+    edge[0] = 0
+    place -= np.repeat(starts, np.diff(edge))
+    with np.errstate(over="ignore"):
+        code = place.astype(U64) << U64(21)
+        code[:-1] |= symbols
+        code = mix(code + U64(seed) * U64(0xA0761D6478BD642F) + U64(0xE7037ED1A0B428DB))
+        sums = np.add.reduceat(code, np.stack([starts, ends], axis=1).ravel())[::2]
+        return mix(sums + size.astype(U64))
+
+
+def same_runs(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether a[a_starts[i]:a_starts[i] + size[i]] equals that many elements of b from b_starts[i]."""
+    good = np.ones(len(size), bool)
+    ends = np.cumsum(size)
+    if not len(ends) or not ends[-1]:
+        return good
+    at = np.arange(ends[-1])
+    shift = ends - size
+    unlike = np.flatnonzero(a[at + np.repeat(a_starts - shift, size)] != b[at + np.repeat(b_starts - shift, size)])
+    good[np.searchsorted(ends, unlike, "right")] = False
+    return good
 
 
 _byte = np.arange(256)
@@ -97,23 +127,31 @@ LOWER = np.where((_byte >= 65) & (_byte <= 90), _byte + 32, _byte).astype(np.uin
 WORD = ((_byte >= 48) & (_byte <= 57)) | ((_byte >= 97) & (_byte <= 122)) | (_byte >= 128)
 
 
+class Words:
+    """Maximal runs ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of texts with A-Z in lower case.
+
+    ``low[starts[i]:ends[i]]`` is word i, ``row[i]`` its text, ``first[r]`` the first word of text r and ``hashes[i]`` a sum
+    of one random number per (place, byte). Equal words have equal hashes; who must not take two different words for
+    one compares bytes too (``same_runs``)."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, seed: int = 0):
+        n = len(data)
+        self.low = low = LOWER[data]
+        inside = WORD[low]
+        first, last = inside.copy(), inside.copy()
+        first[1:] &= ~inside[:-1]
+        last[:-1] &= ~inside[1:]
+        begin = offsets[:-1][offsets[:-1] < n]
+        first[begin] = inside[begin]
+        end = offsets[1:][offsets[1:] > 0] - 1
+        last[end] = inside[end]
+        self.starts, self.ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        self.hashes = run_hashes(low, self.starts, self.ends, seed)
+        self.row = np.searchsorted(offsets, self.starts, "right") - 1
+        self.first = np.searchsorted(self.starts, offsets, "left")
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, row, first index of each row's words): maximal runs ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of the
-    texts with A-Z in lower case. Two words have one hash only if they are equal (but for a 64-bit collision)."""
-    n = len(data)
-    if not n:
-        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    low = LOWER[data]
-    inside = WORD[low]
-    first, last = inside.copy(), inside.copy()
-    first[1:] &= ~inside[:-1]
-    last[:-1] &= ~inside[1:]
-    begin = offsets[:-1][offsets[:-1] < n]
-    first[begin] = inside[begin]
-    end = offsets[1:][offsets[1:] > 0] - 1
-    last[end] = inside[end]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    with np.errstate(over="ignore"):
-        hashes = mix(Fingerprints(low).of(starts, ends) + (ends - starts).astype(U64))
-    row = np.searchsorted(offsets, starts, "right") - 1
-    return hashes, row, np.searchsorted(starts, offsets, "left")
+    """(hash, row, first index of each row's words) of the words of texts."""
+    found = Words(data, offsets)
+    return found.hashes, found.row, found.first

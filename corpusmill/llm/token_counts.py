@@ -5,13 +5,14 @@ many documents and tokens are at least L long, and how many tokens remain when e
 run in two levels (within blocks of 4,096 lengths, then over the blocks), so no task holds all lengths.
 
 Defined cases: a null or empty text has length 0 and is counted; an empty table gives an empty histogram; identifiers
-play no part, so repeated rows count as often as they stand.
+play no part, so repeated rows count as often as they stand; very long texts are encoded in parts, with the same ids.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,16 +20,16 @@ from pyspark.sql.window import Window
 
 from .store import materialise
 from .textbytes import slices
-from .tokens import Encoder
+from .tokens import encoder
 
 BLOCK = 4096
 
 
 def encoded_lengths(docs: DataFrame, tokenizer_path: str, text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer_path, len)
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(encoder.lengths([t or "" for t in batch.column("text").to_pylist()]))], ["length"])
+            _, edge = encoder(tokenizer_path).encode([t or "" for t in batch.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([pa.array(np.diff(edge))], ["length"])
 
     return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "length long")
 

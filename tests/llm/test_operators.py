@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe, chat, decontaminate, exact_dedup, near_dedup, quality, suffix_dedup, token_counts, token_files, warc
+from corpusmill.llm import bpe, chat, decontaminate, exact_dedup, near_dedup, pretokens, quality, suffix_dedup, textbytes, token_counts, token_files, tokens, warc
 from corpusmill.llm.components import connected_components
 from corpusmill.llm.pretokens import Pieces
 from corpusmill.llm.store import new_path
@@ -225,6 +225,47 @@ def test_pieces_keep_every_character():
     assert ["".join(p.joined[a:b] for a, b in zip(p.starts[i:j], p.ends[i:j])) for i, j in zip(p.first[:-1], p.first[1:])] == texts
 
 
+def thue_morse(n, flip=False):
+    return "".join("ab"[(i.bit_count() + flip) % 2] for i in range(n))
+
+
+@pytest.fixture(scope="module")
+def hard_texts():
+    """Words that polynomials modulo 2**64 can't tell apart, and texts of all assigned and unassigned code points."""
+    a, b = thue_morse(2048), thue_morse(2048, True)
+    marks = ["".join(f"a{chr(c)}b {chr(c)}{chr(c)}1{chr(c)}'s " for c in range(low, low + 2048) if not 0xD800 <= c <= 0xDFFF) for low in range(0, 0x18000, 2048)]
+    return [a, b, f"x {a} {b} y", f"{b} {a}", *marks, "\U000e0fff x\U0010fffe'll", "a\u1c89\ua7cb Z<|endoftext|> \u1c8a"]
+
+
+def test_hard_texts_encode_as_the_library_does(hard_texts, library):
+    for tok in library.values():
+        tok.no_truncation()
+        tok.no_padding()
+    ids, edge = tokens.Encoder(BYTE_BPE).encode(hard_texts)
+    words_ = bpe.BpeEncoder(WORD_BPE).encode(hard_texts)
+    for i, t in enumerate(hard_texts):
+        assert ids[edge[i] : edge[i + 1]].tolist() == library[BYTE_BPE].encode(t, add_special_tokens=False).ids
+        assert b" ".join(v[1] for v in words_[i]).split() == [str(x).encode() for x in library[WORD_BPE].encode(t, add_special_tokens=False).ids]
+
+
+def test_long_texts_encode_as_the_library_does(library):
+    long = "\n  ".join(prose(2000, i) for i in range(40)) + " " + "é" * 3000 + "\t" * 2000
+    long = long * 10 + "x"
+    assert len(long.encode()) > 5_000_000 and len(pretokens.parts(long)) > 3
+    ids, edge = tokens.Encoder(BYTE_BPE).encode(["a b", long, ""])
+    assert ids[edge[1] : edge[2]].tolist() == library[BYTE_BPE].encode(long, add_special_tokens=False).ids and edge[3] == edge[2]
+    got = bpe.BpeEncoder(WORD_BPE).encode([long])[0]
+    assert b" ".join(v[1] for v in got) == " ".join(map(str, library[WORD_BPE].encode(long, add_special_tokens=False).ids)).encode()
+
+
+def test_pieces_of_one_hash_keep_apart(monkeypatch, library):
+    monkeypatch.setattr(pretokens, "run_hashes", lambda points, starts, ends, seed=0: (ends - starts).astype(np.uint64) % np.uint64(3))
+    text = prose(300, 50) + " it's " + prose(50, 51)
+    encoder = tokens.Encoder(BYTE_BPE)
+    for _ in range(2):
+        assert encoder.encode([text])[0].tolist() == library[BYTE_BPE].encode(text, add_special_tokens=False).ids
+
+
 # 5
 
 
@@ -301,6 +342,22 @@ def contaminated_by_force(text, items, window=13):
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)
 
 
+def test_words_of_one_hash_keep_apart(spark, hard_texts, monkeypatch):
+    d = spark.createDataFrame(list(enumerate(hard_texts[:4])), "doc_id long, text string")
+    b = spark.createDataFrame([(1, hard_texts[0]), (2, hard_texts[1] + " q")], "item_id long, text string")
+    want = [(i, *contaminated_by_force(t, [(r.item_id, r.text) for r in b.collect()])) for i, t in enumerate(hard_texts[:4])]
+    assert sorted(tuple(r) for r in decontaminate.contamination(d, b).collect()) == want
+    hashes = textbytes.run_hashes
+    monkeypatch.setattr(textbytes, "run_hashes", lambda low, starts, ends, seed=0: hashes(low, starts, ends) % np.uint64(2 + seed * 50))
+    items = [(1, prose(40, 2)), (2, prose(30, 3)), (3, "alpha1")]
+    judge = decontaminate.Judge.__new__(decontaminate.Judge)
+    judge.blocks = [decontaminate.TestSuffixes([str(i) for i, _ in items], pa.array([t for _, t in items]))]
+    texts = [prose(40, 2) + prose(20, 9), prose(50, 7), prose(30, 3)]
+    counts, hit, found = judge(pa.array(texts))
+    for i, t in enumerate(texts):
+        assert (counts[i], hit[i], len(found[i])) == contaminated_by_force(t, items)[:3]
+
+
 @pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 100])
 def test_contamination_equals_brute_force(spark, docs, empty, rows, monkeypatch, block):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
