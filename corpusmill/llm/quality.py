@@ -8,7 +8,8 @@ lines, those with the least hash of their id); features and scores cover every l
 
 Only the text feeds a score. Defined cases: a null or empty text, or one of blank lines, is one empty line; null ids
 are scored but never learned from; repeated rows are scored each; labels that are null are ignored, of several labels
-of a document the largest counts; without labels of both kinds every score is 0.5; other columns are ignored.
+of a document the largest counts; without labels of both kinds every score is 0.5; a very long text is one chain, in
+memory with some 300 bytes a line; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .textbytes import U64, Fingerprints, mix, slices, text_buffers, words
 
 SAMPLE_DOCS, SAMPLE_LINES = 4000, 400
 THRESHOLD, HELD_OUT = 0.3, 5
+#: Lines whose features are in memory at once.
+BLOCK = 1 << 14
 _code = np.arange(256)
 
 
@@ -57,8 +60,41 @@ def _share_repeated(hashes: np.ndarray, group: np.ndarray, owner: np.ndarray, n:
     return np.bincount(owner, count[back] > 1, n) / np.maximum(total, 1)
 
 
+class Lines:
+    """The lines of some texts, of at least one byte that isn't blank: ``shares`` and ``n_words`` of each, its bytes in
+    ``size``, its text in ``doc``, and the ``first`` line of each text. Their many features are made for a range of
+    lines at a time, so memory follows the shares."""
+
+    def __init__(self, shares: np.ndarray, size: np.ndarray, n_words: np.ndarray, doc: np.ndarray, n_docs: int):
+        self.shares, self.size, self.n_words, self.doc = shares, size, n_words, doc
+        self.first = np.searchsorted(doc, np.arange(n_docs + 1))
+
+    def features(self, low: int, high: int) -> np.ndarray:
+        at = slice(low, high)
+        shares, size = self.shares[at], self.size[at]
+        length = np.log1p(size) / 5
+        own = [shares, np.sqrt(shares), shares > 0.05, shares > 0.3, length[:, None], (self.n_words[at] / np.maximum(size, 1) < 0.1)[:, None], (size < 30)[:, None]]
+        return np.concatenate([*own, self._beside(low, high, -1), self._beside(low, high, 1), np.ones((high - low, 1))], axis=1).astype(np.float64)
+
+    def _beside(self, low: int, high: int, step: int) -> np.ndarray:
+        """Shares and length of the line before or after, zero where that is of another text."""
+        at = np.clip(np.arange(low, high) + step, 0, len(self.doc) - 1)
+        same = (self.doc[at] == self.doc[low:high]) & (at != np.arange(low, high))
+        return np.where(same[:, None], np.concatenate([self.shares[at], (np.log1p(self.size[at]) / 5)[:, None]], axis=1), 0.0)
+
+    def evidence(self, weights: np.ndarray) -> np.ndarray:
+        """Features times weights."""
+        n = len(self.doc)
+        return np.concatenate([np.zeros(0), *(self.features(low, min(low + BLOCK, n)) @ weights for low in range(0, n, BLOCK))])
+
+
 def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(features, bytes of each line, first line of each text): lines of at least one byte that isn't blank."""
+    """(features, bytes of each line, first line of each text)."""
+    lines = text_lines(texts)
+    return lines.features(0, len(lines.doc)), lines.size, lines.first
+
+
+def text_lines(texts: pa.Array) -> Lines:
     data, offsets = text_buffers(texts)
     n_docs = len(offsets) - 1
     breaks = np.flatnonzero(data == 10)
@@ -94,13 +130,7 @@ def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         shares[:, -2] = np.bincount(line_of, minlength=n) / np.maximum(size, 1) * 4
     prints = Fingerprints(data).of(start, end) if len(data) else np.zeros(n, U64)
     shares[:, -1] = _share_repeated(prints, doc, np.arange(n), n)
-    length = np.log1p(size) / 5
-    own = [shares, np.sqrt(shares), shares > 0.05, shares > 0.3, length[:, None], (n_words / np.maximum(size, 1) < 0.1)[:, None], (size < 30)[:, None]]
-    near = np.concatenate([shares, length[:, None]], axis=1)
-    before, after = np.zeros_like(near), np.zeros_like(near)
-    same = np.flatnonzero(doc[1:] == doc[:-1])
-    before[same + 1], after[same] = near[same], near[same + 1]
-    return np.concatenate([*own, before, after, np.ones((n, 1))], axis=1).astype(np.float64), size, np.searchsorted(doc, np.arange(n_docs + 1))
+    return Lines(shares, size, n_words, doc, n_docs)
 
 
 def _word_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -128,18 +158,22 @@ class Field:
 
     def marginals(self, features: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         """(P(good) of each line, expected transitions, sum of log partition functions), all chains in step."""
-        unary = np.zeros((len(features), 2))
-        unary[:, 1] = np.clip(features @ self.weights, -30, 30)
+        return self.chained(features @ self.weights, first)
+
+    def chained(self, evidence: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """``marginals`` from each line's evidence for good."""
+        unary = np.zeros((len(evidence), 2))
+        unary[:, 1] = np.clip(evidence, -30, 30)
         order, live = self.chains(first)
         begin, potential = first[:-1][order], np.exp(self.steps)
-        alpha, scale = np.zeros((len(features), 2)), np.zeros(len(features))
+        alpha, scale = np.zeros((len(evidence), 2)), np.zeros(len(evidence))
         push = np.exp(unary - unary.max(axis=1, keepdims=True))
         for t, n in enumerate(live):
             at = begin[:n] + t
             a = push[at] if t == 0 else (alpha[at - 1] @ potential) * push[at]
             scale[at] = a.sum(axis=1)
             alpha[at] = a / scale[at][:, None]
-        beta, pairs = np.ones((len(features), 2)), np.zeros((2, 2))
+        beta, pairs = np.ones((len(evidence), 2)), np.zeros((2, 2))
         for t in range(len(live) - 1, 0, -1):
             at = begin[: live[t]] + t
             back = push[at] * beta[at] / scale[at][:, None]
@@ -148,15 +182,17 @@ class Field:
         good = alpha * beta
         return good[:, 1] / good.sum(axis=1), pairs, float(np.log(scale).sum() + unary.max(axis=1).sum())
 
-    def document_logit(self, features: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
+    def document_logit(self, evidence: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Log odds of each document's length-weighted mean marginal."""
-        good, weight = self.marginals(features, first)[0], size + 1.0
+        good, weight = self.chained(evidence, first)[0], size + 1.0
         mean = np.add.reduceat(good * weight, first[:-1]) / np.add.reduceat(weight, first[:-1]) if len(first) > 1 else np.zeros(0)
         mean = np.clip(mean, 1e-6, 1 - 1e-6)
         return np.log(mean / (1 - mean))
 
-    def score(self, features: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * self.document_logit(features, size, first) + self.offset, -40, 40)))
+    def score(self, texts: pa.Array) -> np.ndarray:
+        lines = text_lines(texts)
+        logit = self.document_logit(lines.evidence(self.weights), lines.size, lines.first)
+        return 1 / (1 + np.exp(-np.clip(self.slope * logit + self.offset, -40, 40)))
 
 
 def fit(features: np.ndarray, size: np.ndarray, first: np.ndarray, label: np.ndarray, rounds: int = 120, ridge: float = 1e-4) -> Field:
@@ -175,7 +211,7 @@ def fit(features: np.ndarray, size: np.ndarray, first: np.ndarray, label: np.nda
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
         theta = theta + 0.1 * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-8)
         field = Field(theta[:-4], np.clip(theta[-4:].reshape(2, 2), -4, 4))
-    x, a, b = field.document_logit(features, size, first), 1.0, 0.0
+    x, a, b = field.document_logit(features @ field.weights, size, first), 1.0, 0.0
     for _ in range(50):  # Newton's method, slightly damped
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -40, 40)))
         w, g = p * (1 - p) + 1e-6, label - p
@@ -215,7 +251,7 @@ def score_quality(docs: DataFrame, field: Field, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(field.score(*line_features(batch.column("text"))))], ["doc_id", "held_out", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(field.score(batch.column("text")))], ["doc_id", "held_out", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("held_out", held_out("doc_id"))
     return rows.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, score double").withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
@@ -226,6 +262,6 @@ def keep_good(docs: DataFrame, field: Field, text_col: str = "text") -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text=text_col):
-            yield batch.filter(pa.array(field.score(*line_features(batch.column(text_col))) >= THRESHOLD))
+            yield batch.filter(pa.array(field.score(batch.column(text_col)) >= THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
