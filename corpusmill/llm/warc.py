@@ -10,8 +10,8 @@ returned manifest count, so tasks may run again.
 
 Defined cases: a null html is an empty payload; null page ids are written without an id (read back as null) and rank
 below all others; rows that repeat an id with an equal payload are all the response, or all revisits; a null url has
-no target line and control characters in urls are percent-encoded; an empty table gives no files; other columns are
-ignored.
+no target line and control characters in urls are percent-encoded; a very long html is one record, held whole; an empty
+table gives no files; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -126,6 +126,12 @@ def write_archives(records: DataFrame, out: str, date: str = "2024-01-01T00:00:0
     return materialise(records.mapInArrow(run, FILES), "archives")
 
 
+def one_task_each(files: DataFrame) -> DataFrame:
+    """Rows of file names dealt to as many tasks: a number that adaptive execution keeps, as names are short and files
+    long."""
+    return files.repartitionByRange(max(1, files.count()), "name")
+
+
 def normalise_archives(files: DataFrame, source: str, out: str) -> DataFrame:
     """Rewrites each file of ``source`` with one gzip member per record, and an index file beside it: a line of offset,
     length and record id per record. Returns (name, n_records)."""
@@ -146,7 +152,7 @@ def normalise_archives(files: DataFrame, source: str, out: str) -> DataFrame:
                         at, n = at + len(member), n + 1
                 yield pa.RecordBatch.from_pydict({"name": [new], "n_records": [n]})
 
-    return materialise(files.repartition("name").mapInArrow(run, FILES), "archives")
+    return materialise(one_task_each(files).mapInArrow(run, FILES), "archives")
 
 
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, offset long, length long"
@@ -192,7 +198,7 @@ def read_archives(files: DataFrame, source: str, with_payload: bool = False) ->
         last = len(names) if with_payload else len(names) - 1
         return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in list(zip(zip(*rows), kinds))[:last]], names[:last])
 
-    return files.repartition("name").mapInArrow(run, READ + ", payload binary" * with_payload)
+    return one_task_each(files).mapInArrow(run, READ + ", payload binary" * with_payload)
 
 
 def archive_pages(spark: SparkSession, pages: DataFrame) -> DataFrame:
