@@ -27,3 +27,13 @@ def connected_components(links: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
         if new.filter("fell").isEmpty():
             return labels
+
+
+def joined_components(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels(node, label) after more links(a, b): only components that these join are looked at again."""
+    name = lambda c: F.coalesce(F.col(f"label_{c}"), F.col(c)).alias(c)
+    between = links.join(labels.toDF("a", "label_a"), "a", "left").join(labels.toDF("b", "label_b"), "b", "left").select(name("a"), name("b"))
+    new = connected_components(between).toDF("label", "above")
+    known = labels.join(new, "label", "left").select("node", F.coalesce("above", "label").alias("label"))
+    added = new.toDF("node", "label").join(labels.select("node"), "node", "left_anti")
+    return materialise(known.union(added), "labels")
