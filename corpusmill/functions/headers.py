@@ -157,75 +157,54 @@ def parse_strict(header: str) -> list[tuple[str, Value]]:
     return fields
 
 
-#: The lenient grammar: lines it can't read are skipped, a later key replaces an earlier one.
-_LOOSE_FIELD = re.compile(r"([A-Za-z_][\w-]*)\s*:(.*)\Z", re.S)
-
-
-def _loose_uncommented(text: str) -> str:
-    m = re.match(r"""(?:"[^"]*"|'[^']*'|(?<![ \t])#|[^"'#]|["'])*?(?=(?:(?<=[ \t])|\A)#|\Z)""", text, re.S)
-    return (m[0] if m else text).strip()
-
-
-def _loose_unquoted(text: str) -> str:
-    text = text.strip()
-    if len(text) > 1 and text[0] == text[-1] and text[0] in "\"'":
-        return re.sub(r"\\([\"\\])", r"\1", text[1:-1]) if text[0] == '"' else text[1:-1]
-    return text
+#: The lenient grammar as one expression: a field with all the lines of its value, or one line of no field.
+LOOSE = re.compile(
+    r"""
+    ^(?P<key>[A-Za-z_][\w-]*)\s*?:[ \t]*
+    (?:
+        (?P<block>[|>][^\n]*(?:\n|\Z)(?:[ \t]+[^\n]*(?:\n|\Z)|[ \t\r]*\n)*)
+      | (?P<flow>\[(?:{code}(?:\#[^\n]*)?\n)*?{code}\][ \t]*(?:\#[^\n]*)?\r?(?:\n|\Z) | \[(?!{code}\][ \t]*(?:\#[^\n]*)?\r?$)(?s:.*))
+      | (?P<items>(?:\#[^\n]*)?\r?\n(?:[ \t]+-[ ][^\n]*(?:\n|\Z))+)
+      | (?P<plain>[^\n]*(?:\n|\Z))
+    )
+    | ^[^\n]*(?:\n|\Z)
+    """.replace("{code}", r"""(?:"[^"\n]*"|[^\s\#"]\#|[^\n\#"])*?"""),
+    re.M | re.X,
+)
+_COMMENT = re.compile(r"""((?:"[^"]*"|'[^']*'|\S\#|[^\#])*?)(?:(?:(?<=\s)|\A)\#.*)?\Z""")
+_ITEM = re.compile(r"""\s*((?:"[^"]*"|'[^']*'|[^,"']|["'])+?)\s*(?:,|\Z)""")
+#: What stands for no value.
+NOTHING = ("", "~", "null", "Null", "NULL")
+
+
+def loose_spans(header: str) -> list[re.Match]:
+    """The header cut into fields and lines of no field; their texts joined are the header."""
+    return [m for m in LOOSE.finditer(header) if m[0]]
 
 
 def _loose_scalar(text: str) -> str | None:
-    text = text.strip()
-    return None if text in ("", "~", "null", "Null", "NULL") else _loose_unquoted(text)
-
-
-def field_spans(header: str) -> list[tuple[str | None, list[str]]]:
-    """The header cut into (key, its lines); lines of no field have key None. A field takes its continuation along."""
-    lines, at, spans = header.splitlines(keepends=True), 0, []
-    while at < len(lines):
-        line = lines[at]
-        at += 1
-        m = None if not line.strip() or line.lstrip().startswith("#") or line[:1] in " \t" else _LOOSE_FIELD.match(line.rstrip("\r\n"))
-        if not m:
-            spans.append((None, [line]))
-            continue
-        own, text = [line], m[2].strip()
-        indented = lambda: at < len(lines) and lines[at][:1] in (" ", "\t")
-        if text[:1] in ("|", ">"):
-            while at < len(lines) and (not lines[at].strip() or indented()):
-                own.append(lines[at])
-                at += 1
-        elif (plain := _loose_uncommented(text)).startswith("[") and not plain.endswith("]"):
-            while at < len(lines):
-                own.append(lines[at])
-                at += 1
-                if _loose_uncommented(own[-1].strip()).endswith("]"):
-                    break
-        elif not plain:
-            while indented() and lines[at].strip().startswith("- "):
-                own.append(lines[at])
-                at += 1
-        spans.append((m[1], own))
-    return spans
+    """A value without its comment and quotes; None where it stands for none."""
+    text = _COMMENT.match(text.strip())[1].strip()
+    if text in NOTHING:
+        return None
+    quote = re.fullmatch(r"""(["'])(.*)\1""", text, re.S)
+    return text if not quote else re.sub(r'\\(["\\])', r"\1", quote[2]) if quote[1] == '"' else quote[2]
 
 
-def loose_value(lines: list[str]) -> Value:
-    """Value of a field from its lines."""
-    text = lines[0].split(":", 1)[1].strip()
-    if text[:1] in ("|", ">"):
-        folded = " ".join(x.strip() for x in lines[1:] if x.strip())
+def loose_value(field: re.Match) -> Value:
+    if field["block"]:
+        folded = " ".join(field["block"].split("\n", 1)[1].split())
         return ("scalar", folded, None) if folded else ("null", None, None)
-    text = _loose_uncommented(text)
-    if text.startswith("["):
-        text = " ".join([text, *(_loose_uncommented(x.strip()) for x in lines[1:])]).rstrip()
+    if field["items"]:
+        return "list", None, [_loose_scalar(line.strip()[2:]) for line in field["items"].splitlines()[1:]]
+    if field["flow"]:
+        text = " ".join(_COMMENT.match(line.strip())[1].strip() for line in field["flow"].splitlines()).strip()
         if text.endswith("]"):
-            inner = text[1:-1].strip()
-            items = re.findall(r"""((?:"[^"]*"|'[^']*'|[^,"']|["'])+?)(?:,|\Z)""", inner)
-            return "list", None, [_loose_unquoted(x) for x in items]
-    elif not text and len(lines) > 1:
-        return "list", None, [_loose_scalar(_loose_uncommented(x.strip()[2:])) for x in lines[1:]]
-    value = _loose_scalar(text)
+            return "list", None, [_loose_scalar(x) or "" for x in _ITEM.findall(text[1:-1].strip())]
+    value = _loose_scalar(field["plain"] or field["flow"])
     return ("null", None, None) if value is None else ("scalar", value, None)
 
 
 def parse_loose(header: str) -> list[tuple[str, Value]]:
-    return list({key: loose_value(lines) for key, lines in field_spans(header) if key}.items())
+    """Lines that can't be read are skipped, a later key replaces an earlier one."""
+    return list({m["key"]: loose_value(m) for m in loose_spans(header) if m["key"]}.items())

@@ -10,6 +10,7 @@ from ..functions.text import nfc, prefixes, stem
 from .conform import ASSET_PREFIXES, asset_prefix
 
 STRINGS = "array<string>"
+#: The markers of a generated region; the messages of findings below that name links, code, assets, indexes.
 START, END = "<!-- generated-index:start -->", "<!-- generated-index:end -->"
 REUSE = 3
 
@@ -135,9 +136,9 @@ def asset_reconcile(notes: DataFrame, asset_prefixes: tuple[str, ...] = ASSET_PR
 
 
 def asset_reuse(notes: DataFrame, least: int = REUSE) -> DataFrame:
-    """(asset, n_notes, paths): assets that several decisions list."""
-    rows = notes.filter(F.col("kind") == "decision").select("path", F.explode("assets").alias("asset")).filter("trim(asset) <> ''")
-    return rows.groupBy("asset").agg(F.count_distinct("path").alias("n_notes"), F.sort_array(F.collect_set("path")).alias("paths")).filter(F.col("n_notes") >= least)
+    """(asset, n_notes, path): a row per decision that lists an asset which at least ``least`` of them list."""
+    rows = notes.filter(F.col("kind") == "decision").select("path", F.explode("assets").alias("asset")).filter("trim(asset) <> ''").distinct()
+    return rows.join(rows.groupBy("asset").agg(F.count("*").alias("n_notes")).filter(F.col("n_notes") >= least), "asset").select("asset", "n_notes", "path")
 
 
 def diagram_blocks(notes: DataFrame, language: str = "mermaid") -> DataFrame:
@@ -168,7 +169,9 @@ def diagram_blocks(notes: DataFrame, language: str = "mermaid") -> DataFrame:
 
 
 def catalog(notes: DataFrame) -> DataFrame:
-    """(source, catalog): a heading per domain and a line per note that isn't an index, in order of domain and path."""
+    """(source, catalog): a heading per domain and a line per note that isn't an index, in order of domain and path. A
+    catalog is the text of one file, so its lines (some 100 bytes a note, no bodies) meet in one row per source: up to
+    some ten million notes a source."""
     rows = notes.filter(~F.col("is_domain_index"))
     line = F.concat(F.lit("- ["), "identity", F.lit("]("), "path", F.lit(") — "), "description")
     per = rows.groupBy("source", "domain").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"))

@@ -8,7 +8,9 @@ from pyspark.sql.window import Window
 
 from ..functions.text import CJK, collapse, point_id
 
+#: The constant of the fusion, how many hits of a lane count, how many a bounded vector search gives.
 RRF_K, DEPTH = 60, 320
+RAW_DEPTH = 5 * DEPTH
 LOW_ANCHOR_WEIGHT = STRONG_ANCHOR_WEIGHT = 2.0
 STRONG_TOKENS = 2
 #: Tiers of the kind prior.
@@ -29,7 +31,7 @@ def query_features(queries: DataFrame, protect: bool = True) -> DataFrame:
 
 def stale_reason() -> Column:
     """Why a semantic hit (h_* columns) is stale against its document (d_* columns, d_identity null if missing); null
-    keeps it. Conditions hold in this order."""
+    keeps it. Fixed values: these reasons, in this order."""
     return (
         F.when(F.col("h_unit_mode").isNull() & F.col("h_text_hash").isNull(), None)
         .when(F.col("d_identity").isNull(), "compiled_doc_missing")

@@ -44,10 +44,6 @@ def field_stats(fields: DataFrame, posted: DataFrame, profile: str = "v1") -> Da
     return total.join(n, "corpus").select("corpus", "field", "n_docs", (F.col("total") / F.col("n_docs")).alias("avgdl"))
 
 
-def document_lengths(posted: DataFrame) -> DataFrame:
-    return posted.groupBy("corpus", "field", "source", "identity").agg(F.sum("tf").alias("dl"))
-
-
 def document_frequencies(posted: DataFrame) -> DataFrame:
     return posted.groupBy("corpus", "field", "term").agg(F.count("*").alias("df"))
 
@@ -60,18 +56,32 @@ def query_terms(queries: DataFrame, natural: Callable[[Column], Column] = natura
     return rows.groupBy("query_id", "field", "term").agg(F.count("*").alias("n"))
 
 
-def bm25_scores(queries: DataFrame, posted: DataFrame, stats: DataFrame, natural: Callable[[Column], Column] = natural_tokens, weights: dict[str, float] = WEIGHTS, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, source, identity, score) of every document with a query term; scores above zero only."""
+def token_lists(fields: DataFrame, natural: Callable[[Column], Column] = natural_tokens, weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """(source, identity, field, terms, dl): the tokens of each field of each document and their number. Lengths,
+    statistics and postings of any profile come from this one table, so texts are tokenised once."""
+    token = lambda f: (slug_tokens if f in SLUG_FIELDS else natural)(F.coalesce(F.col(f), F.lit("")))
+    every = F.array(*(F.struct(F.lit(f).alias("field"), token(f).alias("terms")) for f in weights))
+    return fields.select("source", "identity", F.inline(every)).withColumn("dl", F.size("terms"))
+
+
+def bm25_scores(queries: DataFrame, tokens: DataFrame, profile: str = "v1", natural: Callable[[Column], Column] = natural_tokens, weights: dict[str, float] = WEIGHTS, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, source, identity, score) of every document with a query term; scores above zero only.
+
+    Only tokens that are query terms leave the scan. Each posting gets its share of a score once, whatever the number of
+    queries; postings are then dealt by document, so that sums over a query's terms need no further shuffle where
+    the query terms are small enough for Spark to broadcast."""
     terms = query_terms(queries, natural, weights)
-    hit = posted.join(terms, ["field", "term"])
     wanted = terms.select("field", "term").distinct()
-    df = document_frequencies(posted.join(wanted, ["field", "term"], "left_semi"))
-    dl = document_lengths(posted)
-    rows = hit.join(df, ["corpus", "field", "term"]).join(stats, ["corpus", "field"]).join(dl, ["corpus", "field", "source", "identity"])
+    corpus = F.col("source") if profile == "v1" else F.lit(GLOBAL)
+    stats = tokens.groupBy(corpus.alias("corpus"), "field").agg(F.count("*").alias("n_docs"), (F.sum("dl") / F.count("*")).alias("avgdl"))
+    posted = tokens.select("source", "identity", "field", "dl", F.explode("terms").alias("term")).join(wanted, ["field", "term"], "left_semi")
+    posted = posted.groupBy("source", "identity", "field", "term", "dl").agg(F.count("*").alias("tf")).withColumn("corpus", corpus)
+    rows = posted.join(document_frequencies(posted), ["corpus", "field", "term"]).join(stats, ["corpus", "field"])
     weight = F.create_map(*(F.lit(x) for pair in weights.items() for x in pair))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("n") * weight[F.col("field")] * idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return rows.groupBy("query_id", "source", "identity").agg(F.sum(part).alias("score")).filter("score > 0")
+    part = weight[F.col("field")] * idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    dealt = rows.select("source", "identity", "field", "term", part.alias("part")).repartition("source", "identity")
+    return dealt.join(terms, ["field", "term"]).groupBy("query_id", "source", "identity").agg(F.sum(F.col("n") * F.col("part")).alias("score")).filter("score > 0")
 
 
 def facet_mask(docs: Column | None = None, tag_folder: Callable[[Column], Column] = fold) -> Column:

@@ -16,6 +16,8 @@ from pyspark.sql.window import Window
 
 #: Bytes of query vectors that one pass broadcasts; more queries take more passes.
 QUERY_BYTES = 64 << 20
+#: Scores that a task has in memory at once.
+TILE = 4 << 20
 
 
 def _blocks(queries: DataFrame, dim_bytes: int) -> list[DataFrame]:
@@ -40,6 +42,7 @@ def cosine_top(query_vectors: DataFrame, points: DataFrame, k: int, keys: list[s
 
         def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             names, matrix = held.value
+            order, ascending = ["query_id", "score", *keys], [True, False, *[True] * len(keys)]
             best: pd.DataFrame | None = None
             for batch in batches:
                 batch = batch[batch["vector"].notna()]
@@ -48,16 +51,21 @@ def cosine_top(query_vectors: DataFrame, points: DataFrame, k: int, keys: list[s
                 if not len(batch) or not names:
                     continue
                 vectors = np.array(batch["vector"].tolist(), np.float64)
-                scores = (vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)) @ matrix.T
-                keep = batch[keys].reset_index(drop=True)
-                found = []
-                for i, name in enumerate(names):
-                    one = keep.assign(score=scores[:, i])
+                vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+                keep, found = batch[keys].reset_index(drop=True), [best] if best is not None else []
+                step = max(1, TILE // len(vectors))
+                for low in range(0, len(names), step):
+                    scores = matrix[low : low + step] @ vectors.T
+                    if not per_object and scores.shape[1] > k:
+                        # all points as good as the k-th best of a query, ties with it too
+                        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
+                        query, point = np.nonzero(scores >= least[:, None])
+                    else:
+                        query, point = (x.ravel() for x in np.indices(scores.shape))
+                    found.append(keep.iloc[point].assign(score=scores[query, point], query_id=[names[low + i] for i in query.tolist()]))
                     if per_object:
-                        one = one.sort_values(["score", *keys], ascending=[False, *[True] * len(keys)]).drop_duplicates(per_object)
-                    found.append(one.nlargest(k, "score", keep="all").assign(query_id=name))
-                best = pd.concat([*([best] if best is not None else []), *found])
-                best = best.sort_values(["score", *keys], ascending=[False, *[True] * len(keys)])
+                        found[-1] = found[-1].sort_values(order, ascending=ascending).drop_duplicates(["query_id", per_object]).groupby("query_id").head(k)
+                best = pd.concat(found).sort_values(order, ascending=ascending)
                 if per_object:
                     best = best.drop_duplicates(["query_id", per_object])
                 best = best.groupby("query_id").head(k)
@@ -74,6 +82,30 @@ def cosine_top(query_vectors: DataFrame, points: DataFrame, k: int, keys: list[s
     return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= k)
 
 
+def search_depth(k: int) -> int:
+    """Fixed value: how many points a bounded search looks at for k results."""
+    return max(5 * k, 50)
+
+
+def cosine_top_within(query_vectors: DataFrame, points: DataFrame, k: int, keys: list[str], per_object: str | None = None, depth: int | None = None) -> DataFrame:
+    """``cosine_top`` as a bounded search gives it: only the ``depth`` nearest points are looked at before objects fold
+    and the cut to k, so fewer than k may be left."""
+    hits = cosine_top(query_vectors, points, depth or search_depth(k), keys).drop("rank")
+    order = [F.desc("score"), *keys]
+    if per_object:
+        hits = hits.filter(F.coalesce(F.col(per_object).cast("string"), F.lit("")) != "")
+        hits = hits.withColumn("n", F.row_number().over(Window.partitionBy("query_id", per_object).orderBy(*order))).filter("n = 1").drop("n")
+    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= k)
+
+
+def narrowed_hits(hits: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """hits(query_id, identity, score) of the source that a query asks for (``<source>:`` begins the identity), where it
+    asks for one; the best k of what is left."""
+    asked = queries.select("query_id", F.nullif(F.trim("source"), F.lit("")).alias("asked"))
+    rows = hits.drop("rank").join(asked, "query_id", "left").filter(F.col("asked").isNull() | F.startswith("identity", F.concat("asked", F.lit(":")))).drop("asked")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "identity"))).filter(F.col("rank") <= k)
+
+
 def managed_points(points: DataFrame, index_profile: str, embedding_profile: str, point_kind: str = "note") -> DataFrame:
     """Points that a search may see."""
     return points.filter((F.col("point_kind") == point_kind) & (F.col("index_profile") == index_profile) & (F.col("embedding_profile") == embedding_profile))

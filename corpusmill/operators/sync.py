@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import embedding_text, point_id, prefixes, sha256_hex
 
+#: Names of the payload.
 PAYLOAD = ("identity", "domain", "domain_prefixes", "kind", "kind_explicit", "status", "keywords", "source_path", "source_hash", "compiled_hash", "index_profile", "embedding_profile", "point_kind", "commit_time", "unit_mode", "text_hash")
 MASS_PRUNE = 0.5
 
@@ -104,22 +105,30 @@ def apply_plan(plan: DataFrame, points: DataFrame, embedded: DataFrame, pruned:
     return rows.unionByName(rest.select("point_id", "vector", *PAYLOAD))
 
 
-def sync_report(plan: DataFrame, embedded: DataFrame | None = None, pruned: DataFrame | None = None) -> DataFrame:
+def sync_report(plan: DataFrame, embedded: DataFrame | None = None, pruned: DataFrame | None = None, integrity: DataFrame | None = None, broken: DataFrame | None = None) -> DataFrame:
     """Per source: counts of every action, failures, prunable and blocked points, and the exit class (1 failure over
-    2 needs force over 3 integrity over 0)."""
+    2 needs force over 3 integrity over 0).
+
+    integrity(source, code): findings that don't stop a run; adds n_integrity. broken(source, error): sources whose
+    run failed as a whole; they are rows of class 1 and stop no other; adds error."""
     per = plan.groupBy("source").pivot("action", ["unchanged", "payload_update", "rekey", "embed"]).agg(F.count(F.lit(1))).fillna(0)
+    add = lambda rows, more, how: rows.join(more, "source", how)
     if embedded is not None:
-        bad = embedded.filter("error is not null").join(plan.select("identity", "source"), "identity").groupBy("source").agg(F.count("*").alias("failed"))
-        per = per.join(bad, "source", "left")
+        per = add(per, embedded.filter("error is not null").join(plan.select("identity", "source"), "identity").groupBy("source").agg(F.count("*").alias("failed")), "left")
     else:
         per = per.withColumn("failed", F.lit(0).cast("long"))
     if pruned is not None:
-        cut = pruned.groupBy("source").agg(F.count_if("allowed").alias("prunable"), F.count_if(~F.col("allowed")).alias("blocked"))
-        per = per.join(cut, "source", "full")
+        per = add(per, pruned.groupBy("source").agg(F.count_if("allowed").alias("prunable"), F.count_if(~F.col("allowed")).alias("blocked")), "full")
     else:
         per = per.withColumns({"prunable": F.lit(0).cast("long"), "blocked": F.lit(0).cast("long")})
+    if integrity is not None:
+        per = add(per, integrity.groupBy("source").agg(F.count("*").alias("n_integrity")), "full")
+    if broken is not None:
+        per = add(per, broken.groupBy("source").agg(F.min("error").alias("error")), "full")
     per = per.fillna(0)
-    return per.withColumn("exit_class", F.when(F.col("failed") > 0, 1).when(F.col("blocked") > 0, 2).otherwise(0))
+    bad = (F.col("failed") > 0) | (F.col("error").isNotNull() if broken is not None else F.lit(False))
+    unsound = F.col("n_integrity") > 0 if integrity is not None else F.lit(False)
+    return per.withColumn("exit_class", F.when(bad, 1).when(F.col("blocked") > 0, 2).when(unsound, 3).otherwise(0))
 
 
 def fleet_exit(reports: DataFrame) -> DataFrame:

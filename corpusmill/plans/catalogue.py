@@ -9,9 +9,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import retrieval, structure, upkeep
+from . import options, retrieval, structure, upkeep
 
-_MODULES = (structure, retrieval, upkeep)
+_MODULES = (structure, retrieval, upkeep, options)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
 

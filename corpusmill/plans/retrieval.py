@@ -13,10 +13,10 @@ from ..sources.export import export_hits
 from ..sources.storage import materialise
 from .standins import DOCS_SQL, docs, table
 
-K, POOL = 10, 50
+K = 10
 
 
-def _asked(spark, sf_dir) -> DataFrame:
+def asked(spark, sf_dir) -> DataFrame:
     """Every benchmark text, with facets by its number."""
     b = table(spark, sf_dir, "benchmark")
     i = F.col("item_id")
@@ -42,65 +42,68 @@ def field_stats(spark, sf_dir):
     return lexical.field_stats(fields, lexical.postings(fields)).select("corpus", "field", "n_docs", F.round("avgdl", 6).alias("avgdl"))
 
 
-def _scored(spark, sf_dir, profile="v1"):
-    fields = _fields(spark, sf_dir)
-    posted = materialise(lexical.postings(fields, profile), "postings")
-    return lexical.bm25_scores(_asked(spark, sf_dir), posted, lexical.field_stats(fields, posted, profile))
+def scored(spark, sf_dir, profile="v1", tokens=None):
+    return lexical.bm25_scores(asked(spark, sf_dir), tokens or _tokens(spark, sf_dir), profile)
+
+
+def _tokens(spark, sf_dir):
+    return materialise(lexical.token_lists(_fields(spark, sf_dir)), "tokens")
 
 
-def _rounded(hits):
+def rounded(hits):
     return hits.withColumn("score", F.round("score", 6))
 
 
 def bm25_topk(spark, sf_dir):
     """Ten best of all sources, each scored within its source."""
-    return lexical.search(_rounded(_scored(spark, sf_dir)), K)
+    return lexical.search(rounded(scored(spark, sf_dir)), K)
 
 
 def bm25_per_source(spark, sf_dir):
-    return lexical.top_k(_rounded(_scored(spark, sf_dir)), 3, ["source"])
+    return lexical.top_k(rounded(scored(spark, sf_dir)), 3, ["source"])
 
 
 def bm25_global(spark, sf_dir):
-    return lexical.top_k(_rounded(_scored(spark, sf_dir, "v2")), K)
+    return lexical.top_k(rounded(scored(spark, sf_dir, "v2")), K)
 
 
 def bm25_facets(spark, sf_dir):
-    scored = _rounded(_scored(spark, sf_dir))
-    return lexical.search(lexical.with_facets(scored, _asked(spark, sf_dir), docs(spark, sf_dir)), K)
+    found = rounded(scored(spark, sf_dir))
+    return lexical.search(lexical.with_facets(found, asked(spark, sf_dir), docs(spark, sf_dir)), K)
 
 
 def query_features(spark, sf_dir):
-    return fusion.plan_trace(_asked(spark, sf_dir))
+    return fusion.plan_trace(asked(spark, sf_dir))
 
 
-def _points(spark, sf_dir):
+def points(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"), "label")
 
 
-def _vectors(spark, sf_dir):
+def vectors(spark, sf_dir):
     """The stated query set: every point whose id is divisible by 50."""
-    return _points(spark, sf_dir).filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "vector")
+    return points(spark, sf_dir).filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "vector")
 
 
 def knn_topk(spark, sf_dir):
-    return semantic.cosine_top(_vectors(spark, sf_dir), _points(spark, sf_dir), K, ["vec_id"]).select("query_id", "vec_id", "rank", F.round("score", 5).alias("score"))
+    return semantic.cosine_top(vectors(spark, sf_dir), points(spark, sf_dir), K, ["vec_id"]).select("query_id", "vec_id", "rank", F.round("score", 5).alias("score"))
 
 
 def knn_filtered(spark, sf_dir):
-    return semantic.cosine_top(_vectors(spark, sf_dir), _points(spark, sf_dir).filter("label in (1, 3, 5)"), K, ["vec_id"]).select("query_id", "vec_id", "rank", F.round("score", 5).alias("score"))
+    return semantic.cosine_top(vectors(spark, sf_dir), points(spark, sf_dir).filter("label in (1, 3, 5)"), K, ["vec_id"]).select("query_id", "vec_id", "rank", F.round("score", 5).alias("score"))
 
 
 def knn_dedup(spark, sf_dir):
     """Best point of each label."""
-    return semantic.cosine_top(_vectors(spark, sf_dir), _points(spark, sf_dir), K, ["label", "vec_id"], per_object="label").select("query_id", "label", "vec_id", "rank", F.round("score", 5).alias("score"))
+    return semantic.cosine_top(vectors(spark, sf_dir), points(spark, sf_dir), K, ["label", "vec_id"], per_object="label").select("query_id", "label", "vec_id", "rank", F.round("score", 5).alias("score"))
 
 
-def _lanes(spark, sf_dir):
-    """Lexical: the per-source profile; the other lane: the global profile, with hashes as an index would hold them."""
-    d = docs(spark, sf_dir)
-    a = lexical.top_k(_rounded(_scored(spark, sf_dir)), POOL).drop("rank")
-    b = lexical.top_k(_rounded(_scored(spark, sf_dir, "v2")), POOL).drop("rank")
+def lanes(spark, sf_dir):
+    """Lexical: the per-source profile; the other lane: the global profile, with hashes as an index would hold them. Cut
+    where a bounded search cuts: hits beyond these depths can't be fused."""
+    d, tokens = docs(spark, sf_dir), _tokens(spark, sf_dir)
+    a = lexical.top_k(rounded(scored(spark, sf_dir, "v1", tokens)), fusion.DEPTH).drop("rank")
+    b = lexical.top_k(rounded(scored(spark, sf_dir, "v2", tokens)), fusion.RAW_DEPTH).drop("rank")
     n = F.col("doc_id")
     held = d.select(
         "source", "identity",
@@ -112,20 +115,20 @@ def _lanes(spark, sf_dir):
     return d, a, b.join(held, ["source", "identity"])
 
 
-def _published(d):
+def published(d):
     """Documents that are still there: every thirteenth is gone."""
     return d.filter("doc_id % 13 <> 0")
 
 
 def stale_gate(spark, sf_dir):
-    d, _, b = _lanes(spark, sf_dir)
-    return fusion.gate(b, _published(d)).select("query_id", "identity", "reason")
+    d, _, b = lanes(spark, sf_dir)
+    return fusion.gate(b, published(d)).select("query_id", "identity", "reason")
 
 
 def _fused(spark, sf_dir, prior):
-    d, a, b = _lanes(spark, sf_dir)
-    kept = fusion.gate(b, _published(d)).filter("reason is null")
-    return fusion.fuse(a, kept, fusion.query_features(_asked(spark, sf_dir)), K, d if prior else None)
+    d, a, b = lanes(spark, sf_dir)
+    kept = fusion.gate(b, published(d)).filter("reason is null")
+    return fusion.fuse(a, kept, fusion.query_features(asked(spark, sf_dir)), K, d if prior else None)
 
 
 def rrf_fusion(spark, sf_dir):
@@ -137,15 +140,15 @@ def kind_prior(spark, sf_dir):
 
 
 def recall_health(spark, sf_dir):
-    d, a, b = _lanes(spark, sf_dir)
-    health = fusion.recall(_asked(spark, sf_dir), a, b, _published(d), K)[1]
+    d, a, b = lanes(spark, sf_dir)
+    health = fusion.recall(asked(spark, sf_dir), a, b, published(d), K)[1]
     reasons = F.array_join(F.transform(F.array_sort(F.map_entries("stale_reasons")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
     return health.select("query_id", "status", "semantic_on", "freshness", reasons.alias("stale_reasons"), F.size("stale_dropped").alias("n_stale"), "missing_kind", "n_hits", "has_signal")
 
 
 def export_ranked(spark, sf_dir):
     hits = bm25_topk(spark, sf_dir)
-    return export_hits(hits, docs(spark, sf_dir), 400).select("query_id", "rank", "identity", F.sha2("text", 256).alias("text_sha256"), "n_chars", "truncated")
+    return export_hits(hits, docs(spark, sf_dir)).select("query_id", "rank", "identity", F.sha2("text", 256).alias("text_sha256"), "n_chars", "truncated")
 
 
 def _gold(spark, sf_dir):
@@ -162,32 +165,37 @@ def _gold(spark, sf_dir):
     return materialise(hit.select(F.col("item_id").alias("query_id"), F.col("identity").alias("gold_key"), "source", kind.alias("qtype"), F.concat(F.lit("s"), F.col("item_id") % 3).alias("_slice")), "gold")
 
 
-def _ranks(spark, sf_dir, profile):
-    gold = _gold(spark, sf_dir)
-    scored = _rounded(_scored(spark, sf_dir, profile))
+def _ranks(gold, found):
     own = gold.select("query_id", "source").distinct()
-    hits = lexical.top_k(scored.join(own, ["query_id", "source"], "left_semi"), K, ["source"])
+    hits = lexical.top_k(rounded(found).join(own, ["query_id", "source"], "left_semi"), K, ["source"])
     return materialise(evaluate.gold_ranks(gold, hits), "gold-ranks")
 
 
+def both_ranks(spark, sf_dir, profiles=("v1", "v2")):
+    """Ranks of the gold under each profile, from one gold set and one table of tokens."""
+    gold, tokens = _gold(spark, sf_dir), _tokens(spark, sf_dir)
+    return [_ranks(gold, scored(spark, sf_dir, p, tokens)) for p in profiles]
+
+
 def gold_metrics(spark, sf_dir):
-    return evaluate.metrics(_ranks(spark, sf_dir, "v1"))
+    return evaluate.metrics(*both_ranks(spark, sf_dir, ["v1"]))
 
 
 BY = ["qtype", "_slice", "source"]
 
 
 def gold_slices(spark, sf_dir):
-    return evaluate.slices(_ranks(spark, sf_dir, "v1"), BY)
+    return evaluate.slices(*both_ranks(spark, sf_dir, ["v1"]), BY)
 
 
 def gates(spark, sf_dir):
     """Per-source profile against the global one as baseline."""
-    return evaluate.lexical_gate(evaluate.slices(_ranks(spark, sf_dir, "v1"), BY), evaluate.slices(_ranks(spark, sf_dir, "v2"), BY))
+    return evaluate.lexical_gate(*(evaluate.slices(ranks, BY) for ranks in both_ranks(spark, sf_dir)))
 
 
 def ab_verdict(spark, sf_dir):
-    return evaluate.ab_verdict(evaluate.slices(_ranks(spark, sf_dir, "v2"), BY), evaluate.slices(_ranks(spark, sf_dir, "v1"), BY))
+    default, candidate = (evaluate.slices(ranks, BY) for ranks in both_ranks(spark, sf_dir))
+    return evaluate.ab_verdict(candidate, default)
 
 
 QUERIES = {f.__name__: f for f in (postings, postings_rows, field_stats, bm25_topk, bm25_per_source, bm25_global, bm25_facets, query_features, knn_topk, knn_filtered, knn_dedup, stale_gate, rrf_fusion, kind_prior, recall_health, export_ranked, gold_metrics, gold_slices, gates, ab_verdict)}
@@ -214,12 +222,12 @@ def _bm25(name: str, corpus: str) -> str:
 
 
 _Q = rf"q AS (SELECT item_id AS query_id, term, count(*) AS qn FROM (SELECT item_id, unnest({_RUNS.format('text')}) AS term FROM benchmark) GROUP BY 1, 2)"
-_V1 = f"WITH {POSTINGS_SQL}, {_Q}, {_bm25('v1', 'source')}"
-_BOTH = f"{_V1}, {_bm25('v2', chr(39) + '*' + chr(39))}"
+V1_SQL = f"WITH {POSTINGS_SQL}, {_Q}, {_bm25('v1', 'source')}"
+_BOTH = f"{V1_SQL}, {_bm25('v2', chr(39) + '*' + chr(39))}"
 _ORDER = "ORDER BY score DESC, source, identity"
 
 
-def _search(scored: str, k: int) -> str:
+def search_sql(scored: str, k: int) -> str:
     return f"SELECT query_id, source, identity, score, row_number() OVER (PARTITION BY query_id {_ORDER}) AS rank FROM (SELECT * FROM {scored} QUALIFY row_number() OVER (PARTITION BY query_id, source {_ORDER}) <= {k}) QUALIFY rank <= {k}"
 
 
@@ -227,25 +235,25 @@ def _knn(where: str, extra: str = "") -> str:
     return f"SELECT q.vec_id AS query_id, p.label, p.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], p.embedding::DOUBLE[]) AS s FROM embeddings q, embeddings p WHERE q.vec_id % 50 = 0 {where}{extra}"
 
 
-_LANES = f"""{_BOTH},
-la AS (SELECT * FROM v1 QUALIFY row_number() OVER (PARTITION BY query_id {_ORDER}) <= {POOL}),
-sb AS (SELECT v2.*, split_part(identity, ':', 3)::BIGINT AS doc_id FROM v2 QUALIFY row_number() OVER (PARTITION BY query_id {_ORDER}) <= {POOL}),
+LANES_SQL = f"""{_BOTH},
+la AS (SELECT * FROM v1 QUALIFY row_number() OVER (PARTITION BY query_id {_ORDER}) <= {fusion.DEPTH}),
+sb AS (SELECT v2.*, split_part(identity, ':', 3)::BIGINT AS doc_id FROM v2 QUALIFY row_number() OVER (PARTITION BY query_id {_ORDER}) <= {fusion.RAW_DEPTH}),
 gated AS (SELECT *, CASE WHEN doc_id % 7 = 6 THEN NULL WHEN doc_id % 13 = 0 THEN 'compiled_doc_missing' WHEN doc_id % 7 = 1 THEN 'embedding_unit_mismatch'
    WHEN doc_id % 7 = 2 THEN 'text_hash_missing' WHEN doc_id % 7 = 3 THEN 'source_hash_mismatch' WHEN doc_id % 7 = 4 THEN 'compiled_hash_mismatch' END AS reason FROM sb),
 ra AS (SELECT query_id, source, identity, row_number() OVER (PARTITION BY query_id {_ORDER}) AS lexical_rank FROM la),
-rb AS (SELECT query_id, source, identity, row_number() OVER (PARTITION BY query_id {_ORDER}) AS semantic_rank FROM gated WHERE reason IS NULL),
+rb AS (SELECT query_id, source, identity, row_number() OVER (PARTITION BY query_id {_ORDER}) AS semantic_rank FROM gated WHERE reason IS NULL QUALIFY semantic_rank <= {fusion.DEPTH}),
 runs AS (SELECT item_id AS query_id, text, list_filter(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_:-]*'), lambda t: regexp_matches(t, '[0-9_:-]') OR (regexp_matches(t, '[a-z]') AND regexp_matches(t, '[A-Z]')) OR (regexp_matches(t, '[A-Z]') AND NOT regexp_matches(t, '[a-z]') AND length(t) >= 2)) AS code FROM benchmark),
 w AS (SELECT query_id, CASE WHEN len(code) >= 2 THEN 2.0 ELSE 1.0 END AS wl FROM runs)"""
 
 
 def _fuse(prior: str) -> str:
-    return f"""{_LANES}, f AS (SELECT query_id, source, identity, round((coalesce(wl / (60 + lexical_rank), 0) + coalesce(1.0 / (60 + semantic_rank), 0){prior})::DOUBLE, 9) AS score,
+    return f"""{LANES_SQL}, f AS (SELECT query_id, source, identity, round((coalesce(wl / (60 + lexical_rank), 0) + coalesce(1.0 / (60 + semantic_rank), 0){prior})::DOUBLE, 9) AS score,
       coalesce(wl::DOUBLE / (60 + lexical_rank), 0) + coalesce(1.0::DOUBLE / (60 + semantic_rank), 0){prior} AS raw, lexical_rank, semantic_rank
       FROM ra FULL JOIN rb USING (query_id, source, identity) JOIN w USING (query_id) JOIN docs USING (source, identity))
     SELECT query_id, source, identity, score, lexical_rank, semantic_rank, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, source, identity) AS rank FROM f QUALIFY rank <= {K}"""
 
 
-_TIER = " + 1.0::DOUBLE / (60 + CASE kind WHEN 'spec' THEN 1 WHEN 'reference' THEN 1 WHEN 'runbook' THEN 1 WHEN 'decision' THEN 2 WHEN 'index' THEN 2 WHEN 'research' THEN 3 ELSE 4 END)"
+TIER_SQL = " + 1.0::DOUBLE / (60 + CASE kind WHEN 'spec' THEN 1 WHEN 'reference' THEN 1 WHEN 'runbook' THEN 1 WHEN 'decision' THEN 2 WHEN 'index' THEN 2 WHEN 'research' THEN 3 ELSE 4 END)"
 _GOLD = r"gold AS (SELECT item_id AS query_id, source || ':' || lang || ':' || doc_id AS gold_key, source, CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS qtype, 's' || (item_id % 3) AS _slice FROM benchmark b JOIN documents d ON contains(d.text, b.text) AND len(regexp_split_to_array(trim(b.text), '\s+')) >= 5)"
 _METRICS = "count(*) AS n, count(*) FILTER (rank = 0) AS no_hit, " + ", ".join(f"round(avg(CASE WHEN rank BETWEEN 1 AND {k} THEN 1.0 ELSE 0.0 END), 4) AS gold_at_{k}" for k in evaluate.CUTS) + ", round(avg(CASE WHEN rank > 0 THEN 1.0 / rank ELSE 0.0 END), 4) AS mrr"
 
@@ -258,27 +266,27 @@ def _slices_sql(name: str, ranks: str) -> str:
     return f"{name} AS (SELECT CASE WHEN grouping(qtype) = 0 THEN 'qtype:' || qtype WHEN grouping(_slice) = 0 THEN '_slice:' || _slice WHEN grouping(source) = 0 THEN 'source:' || source ELSE 'overall' END AS slice, {_METRICS} FROM {ranks} GROUP BY GROUPING SETS ((), (qtype), (_slice), (source)))"
 
 
-_EVAL = f"{_BOTH}, {_GOLD}, {_ranks_sql('r1', 'v1')}, {_ranks_sql('r2', 'v2')}, {_slices_sql('s1', 'r1')}, {_slices_sql('s2', 'r2')}"
+EVAL_SQL = f"{_BOTH}, {_GOLD}, {_ranks_sql('r1', 'v1')}, {_ranks_sql('r2', 'v2')}, {_slices_sql('s1', 'r1')}, {_slices_sql('s2', 'r2')}"
 _FACET = "CASE query_id % 4 WHEN 0 THEN domain = 'en' WHEN 1 THEN kind = 'spec' WHEN 2 THEN doc_id % 3 = 1 ELSE coalesce(status, '') = 'frozen' END"
 ORACLE_SQL = {
     "postings": f"WITH {POSTINGS_SQL} SELECT source AS corpus, field, count(DISTINCT term) AS n_terms, count(*) AS n_entries, sum(tf)::BIGINT AS n_tokens FROM post GROUP BY 1, 2",
     "postings_rows": f"WITH {POSTINGS_SQL} SELECT field, term, identity, tf FROM post",
     "field_stats": f"WITH {POSTINGS_SQL}, n AS (SELECT source, count(*) AS n FROM docs GROUP BY 1) SELECT source AS corpus, field, any_value(n) AS n_docs, round(sum(tf) / any_value(n)::DOUBLE, 6) AS avgdl FROM post JOIN n USING (source) GROUP BY 1, 2",
-    "bm25_topk": f"{_V1} {_search('v1', K)}",
-    "bm25_per_source": f"{_V1} SELECT query_id, source, identity, score, row_number() OVER (PARTITION BY query_id, source {_ORDER}) AS rank FROM v1 QUALIFY rank <= 3",
+    "bm25_topk": f"{V1_SQL} {search_sql('v1', K)}",
+    "bm25_per_source": f"{V1_SQL} SELECT query_id, source, identity, score, row_number() OVER (PARTITION BY query_id, source {_ORDER}) AS rank FROM v1 QUALIFY rank <= 3",
     "bm25_global": f"{_BOTH} SELECT query_id, source, identity, score, row_number() OVER (PARTITION BY query_id {_ORDER}) AS rank FROM v2 QUALIFY rank <= {K}",
-    "bm25_facets": f"{_V1}, kept AS (SELECT v1.* FROM v1 JOIN docs USING (source, identity) WHERE {_FACET}) {_search('kept', K)}",
+    "bm25_facets": f"{V1_SQL}, kept AS (SELECT v1.* FROM v1 JOIN docs USING (source, identity) WHERE {_FACET}) {search_sql('kept', K)}",
     "query_features": r"SELECT item_id AS query_id, len(regexp_extract_all(text, '[\x{4E00}-\x{9FFF}]'))::INT AS n_cjk, len(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_:-]*'))::INT AS n_identifiers, len(code)::INT AS n_code, false AS low_anchor, len(code) >= 2 AS strong_anchor, CASE WHEN len(code) >= 2 THEN 2.0 ELSE 1.0 END::DOUBLE AS w_lexical, 1.0::DOUBLE AS w_semantic, NULL::INT AS semantic_depth FROM (SELECT *, list_filter(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_:-]*'), lambda t: regexp_matches(t, '[0-9_:-]') OR (regexp_matches(t, '[a-z]') AND regexp_matches(t, '[A-Z]')) OR (regexp_matches(t, '[A-Z]') AND NOT regexp_matches(t, '[a-z]') AND length(t) >= 2)) AS code FROM benchmark)",
     "knn_topk": f"SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank, round(s, 5) AS score FROM ({_knn('')}) QUALIFY rank <= {K}",
     "knn_filtered": f"SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank, round(s, 5) AS score FROM ({_knn('AND p.label IN (1, 3, 5)')}) QUALIFY rank <= {K}",
     "knn_dedup": f"SELECT query_id, label, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, label, vec_id) AS rank, round(s, 5) AS score FROM (SELECT * FROM ({_knn('')}) QUALIFY row_number() OVER (PARTITION BY query_id, label ORDER BY s DESC, vec_id) = 1) QUALIFY rank <= {K}",
-    "stale_gate": f"{_LANES} SELECT query_id, identity, reason FROM gated",
+    "stale_gate": f"{LANES_SQL} SELECT query_id, identity, reason FROM gated",
     "rrf_fusion": _fuse(""),
-    "kind_prior": _fuse(_TIER),
-    "recall_health": f"{_LANES}, hits AS (SELECT query_id, least(count(*), {K}) AS n_hits FROM ra FULL JOIN rb USING (query_id, source, identity) GROUP BY 1), reasons AS (SELECT query_id, string_agg(reason || '=' || c, ',' ORDER BY reason) AS stale_reasons, sum(c) AS n_stale FROM (SELECT query_id, reason, count(*) AS c FROM gated WHERE reason IS NOT NULL GROUP BY 1, 2) GROUP BY 1) SELECT item_id AS query_id, CASE WHEN coalesce(n_hits, 0) = 0 THEN 'empty' ELSE 'ok' END AS status, coalesce(n_hits, 0) > 0 AS semantic_on, CASE WHEN n_stale > 0 THEN 'stale' ELSE 'fresh' END AS freshness, coalesce(stale_reasons, '') AS stale_reasons, coalesce(n_stale, 0)::INT AS n_stale, (SELECT count(*) FROM documents WHERE doc_id % 13 <> 0 AND doc_id % 3 = 0) AS missing_kind, coalesce(n_hits, 0)::BIGINT AS n_hits, true AS has_signal FROM benchmark LEFT JOIN hits ON item_id = hits.query_id LEFT JOIN reasons ON item_id = reasons.query_id",
-    "export_ranked": f"{_V1}, h AS ({_search('v1', K)}), t AS (SELECT query_id, rank, identity, concat_ws(chr(10) || chr(10), nullif(trim(title), ''), trim(description), nullif(trim(body_text), '')) AS text FROM h JOIN docs USING (source, identity)) SELECT query_id, rank, identity, sha256(left(text, 400)) AS text_sha256, length(text)::INT AS n_chars, length(text) > 400 AS truncated FROM t",
-    "gold_metrics": f"{_EVAL} SELECT {_METRICS} FROM r1",
-    "gold_slices": f"{_EVAL} SELECT * FROM s1",
-    "gates": f"{_EVAL} SELECT s2.slice, s1.gold_at_10 AS value, s2.gold_at_10 AS base, coalesce(s1.gold_at_10 >= s2.gold_at_10 - 0.01, false) AS ok, s2.gold_at_10 = 0 AS rebaseline FROM s2 LEFT JOIN s1 USING (slice)",
-    "ab_verdict": f"{_EVAL}, d AS (SELECT unnest([round(s2.gold_at_10 - s1.gold_at_10, 4), round(s2.gold_at_5 - s1.gold_at_5, 4), round(s2.mrr - s1.mrr, 4)]) AS delta FROM s2 JOIN s1 USING (slice)) SELECT count(*) FILTER (delta < -0.01) AS regressed, count(*) FILTER (delta > 0) AS improved, count(*) FILTER (delta < -0.01) = 0 AND count(*) FILTER (delta > 0) > 0 AS flip_on FROM d",
+    "kind_prior": _fuse(TIER_SQL),
+    "recall_health": f"{LANES_SQL}, hits AS (SELECT query_id, least(count(*), {K}) AS n_hits FROM ra FULL JOIN rb USING (query_id, source, identity) GROUP BY 1), reasons AS (SELECT query_id, string_agg(reason || '=' || c, ',' ORDER BY reason) AS stale_reasons, sum(c) AS n_stale FROM (SELECT query_id, reason, count(*) AS c FROM gated WHERE reason IS NOT NULL GROUP BY 1, 2) GROUP BY 1) SELECT item_id AS query_id, CASE WHEN coalesce(n_hits, 0) = 0 THEN 'empty' ELSE 'ok' END AS status, coalesce(n_hits, 0) > 0 AS semantic_on, CASE WHEN n_stale > 0 THEN 'stale' ELSE 'fresh' END AS freshness, coalesce(stale_reasons, '') AS stale_reasons, coalesce(n_stale, 0)::INT AS n_stale, (SELECT count(*) FROM documents WHERE doc_id % 13 <> 0 AND doc_id % 3 = 0) AS missing_kind, coalesce(n_hits, 0)::BIGINT AS n_hits, true AS has_signal FROM benchmark LEFT JOIN hits ON item_id = hits.query_id LEFT JOIN reasons ON item_id = reasons.query_id",
+    "export_ranked": f"{V1_SQL}, h AS ({search_sql('v1', K)}), t AS (SELECT query_id, rank, identity, concat_ws(chr(10) || chr(10), nullif(trim(title), ''), trim(description), nullif(trim(body_text), '')) AS text FROM h JOIN docs USING (source, identity)) SELECT query_id, rank, identity, sha256(text) AS text_sha256, length(text)::INT AS n_chars, false AS truncated FROM t",
+    "gold_metrics": f"{EVAL_SQL} SELECT {_METRICS} FROM r1",
+    "gold_slices": f"{EVAL_SQL} SELECT * FROM s1",
+    "gates": f"{EVAL_SQL} SELECT s2.slice, s1.gold_at_10 AS value, s2.gold_at_10 AS base, coalesce(s1.gold_at_10 >= s2.gold_at_10 - 0.01, false) AS ok, s2.gold_at_10 = 0 AS rebaseline FROM s2 LEFT JOIN s1 USING (slice)",
+    "ab_verdict": f"{EVAL_SQL}, d AS (SELECT unnest([round(s2.gold_at_10 - s1.gold_at_10, 4), round(s2.gold_at_5 - s1.gold_at_5, 4), round(s2.mrr - s1.mrr, 4)]) AS delta FROM s2 JOIN s1 USING (slice)) SELECT count(*) FILTER (delta < -0.01) AS regressed, count(*) FILTER (delta > 0) AS improved, count(*) FILTER (delta < -0.01) = 0 AND count(*) FILTER (delta > 0) > 0 AS flip_on FROM d",
 }

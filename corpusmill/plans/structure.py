@@ -12,51 +12,51 @@ from ..operators import conform, corpus
 from .standins import DOCS_SQL, EMBED_SQL, HEADERS, NOTES_SQL, PATHS_SQL, docs, notes, paths, table
 
 
-def _domains(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def domains(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     found = paths(spark, sf_dir)
     return found, corpus.discover_domains(corpus.index_directories(found))
 
 
 def domain_tree(spark, sf_dir):
-    return _domains(spark, sf_dir)[1]
+    return domains(spark, sf_dir)[1]
 
 
 def nearest_domain(spark, sf_dir):
-    return corpus.nearest_domain(*_domains(spark, sf_dir))
+    return corpus.nearest_domain(*domains(spark, sf_dir))
 
 
 def domain_prefixes(spark, sf_dir):
-    return _domains(spark, sf_dir)[1].select("source", "dir", F.explode(prefixes(F.col("domain"))).alias("prefix"))
+    return domains(spark, sf_dir)[1].select("source", "dir", F.explode(prefixes(F.col("domain"))).alias("prefix"))
 
 
 def domain_capacity(spark, sf_dir):
-    found, domains = _domains(spark, sf_dir)
-    return corpus.domain_capacity(corpus.locate_notes(found, domains, normalise=False), domains)
+    found, tree = domains(spark, sf_dir)
+    return corpus.domain_capacity(corpus.locate_notes(found, tree, normalise=False), tree)
 
 
 def empty_domains(spark, sf_dir):
-    found, domains = _domains(spark, sf_dir)
-    located = corpus.locate_notes(found, domains, normalise=False)
-    return corpus.empty_domains(domains, located.filter(~F.col("is_domain_index")))
+    found, tree = domains(spark, sf_dir)
+    located = corpus.locate_notes(found, tree, normalise=False)
+    return corpus.empty_domains(tree, located.filter(~F.col("is_domain_index")))
 
 
 def stray_notes(spark, sf_dir):
-    return corpus.stray_notes(*_domains(spark, sf_dir))
+    return corpus.stray_notes(*domains(spark, sf_dir))
 
 
 def corpus_stats(spark, sf_dir):
-    found, domains = _domains(spark, sf_dir)
-    return corpus.corpus_stats(corpus.locate_notes(found, domains, normalise=False), domains)
+    found, tree = domains(spark, sf_dir)
+    return corpus.corpus_stats(corpus.locate_notes(found, tree, normalise=False), tree)
 
 
 def duplicate_domains(spark, sf_dir):
-    return corpus.duplicate_domains(_domains(spark, sf_dir)[1])
+    return corpus.duplicate_domains(domains(spark, sf_dir)[1])
 
 
 def source_health(spark, sf_dir):
-    found, domains = _domains(spark, sf_dir)
-    stray = corpus.stray_notes(found, domains).select("source", F.when(F.col("n_stray") > 6, "error").otherwise("warning").alias("severity"))
-    return corpus.source_health(found, domains, stray)
+    found, tree = domains(spark, sf_dir)
+    stray = corpus.stray_notes(found, tree).select("source", F.when(F.col("n_stray") > 6, "error").otherwise("warning").alias("severity"))
+    return corpus.source_health(found, tree, stray)
 
 
 def identity(spark, sf_dir):
@@ -64,8 +64,8 @@ def identity(spark, sf_dir):
 
 
 def identity_collisions(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"^[\x00-\x7F]*$"))
-    rows = d.select("source", F.col("doc_id").cast("string").alias("path"), F.concat_ws(":", "source", "lang", F.substring("text", 1, 20)).alias("identity"))
+    """Whole texts as slugs: equal after normalization and case folding."""
+    rows = table(spark, sf_dir, "documents").select("source", F.col("doc_id").cast("string").alias("path"), F.concat_ws(":", "source", "lang", F.coalesce("text", F.lit(""))).alias("identity"))
     return corpus.identity_collisions(rows)
 
 
@@ -85,8 +85,14 @@ def legacy_diagnostics(spark, sf_dir):
     return conform.legacy_diagnostics(conform.parse_headers(conform.with_envelope(notes(spark, sf_dir)), "v1")).select("source", "path", "code", "severity", "field")
 
 
+def with_odd_fences(spark, sf_dir):
+    """Notes of which every fourth begins with a byte order mark and a fence that ends in CRLF."""
+    fence = F.when(F.col("doc_id") % 4 == 0, F.regexp_replace("content", r"\A---\n", "\ufeff---\r\n")).otherwise(F.col("content"))
+    return notes(spark, sf_dir).withColumn("content", fence)
+
+
 def migrate_headers(spark, sf_dir):
-    return conform.strip_fields(notes(spark, sf_dir)).select("doc_id", F.concat_ws(",", "removed").alias("removed"), F.sha2("new_content", 256).alias("content_sha256"))
+    return conform.strip_fields(with_odd_fences(spark, sf_dir)).select("doc_id", F.concat_ws(",", "removed").alias("removed"), F.sha2("new_content", 256).alias("content_sha256"))
 
 
 def render_notes(spark, sf_dir):
@@ -96,23 +102,22 @@ def render_notes(spark, sf_dir):
 
 
 def slug_excess(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", conform.slug_excess_words(F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 80), " ", "-")).alias("excess"))
+    return table(spark, sf_dir, "documents").select("doc_id", conform.slug_excess_words(F.regexp_replace(F.coalesce("text", F.lit("")), " ", "-")).alias("excess"))
 
 
-def _compiled_rows(spark, sf_dir):
+def compiled_rows(spark, sf_dir):
     parsed = _parsed(spark, sf_dir)
     bad = conform.note_diagnostics(parsed).select("source", "path").distinct().withColumn("bad", F.lit(True))
     return parsed.join(bad, ["source", "path"], "left").withColumns({"domain": F.col("lang"), "slug": F.col("doc_id").cast("string"), "identity": F.concat_ws(":", "source", "lang", "doc_id")})
 
 
 def compile_docs(spark, sf_dir):
-    good = _compiled_rows(spark, sf_dir).filter("bad is null")
+    good = compiled_rows(spark, sf_dir).filter("bad is null")
     return compile_.compile_notes(good).select("identity", "domain", "title", "description", F.array_join("keywords", ",").alias("keywords"), "kind", "kind_explicit", "source_path", "source_hash", F.sha2("body_text", 256).alias("body_sha256"), F.length("compiled_hash").alias("hash_chars"))
 
 
 def compiled_hashes(spark, sf_dir):
-    d = docs(spark, sf_dir).filter(F.col("body_text").rlike(r"^[^\x00-\x09\x0B-\x1F\x7F]*$"))
-    return d.select("doc_id", "compiled_hash")
+    return docs(spark, sf_dir).select("doc_id", "compiled_hash")
 
 
 def embedding_texts(spark, sf_dir):
@@ -124,7 +129,7 @@ def source_hash(spark, sf_dir):
 
 
 def _report(spark, sf_dir):
-    rows = _compiled_rows(spark, sf_dir)
+    rows = compiled_rows(spark, sf_dir)
     facts = rows.select("source", "domain", F.col("bad").isNull().alias("compiled"), F.element_at("fields", "kind").isNotNull().alias("kind_explicit"), F.lit(None).cast("string").alias("kind_downgraded_from"), F.lit(None).cast("string").alias("status"), F.lit(False).alias("error"))
     domains = table(spark, sf_dir, "documents").select("source", F.col("lang").alias("domain")).distinct()
     return compile_.compile_report(facts.withColumn("kind_explicit", F.coalesce("kind_explicit", F.lit(False))), domains)
@@ -165,6 +170,14 @@ def _values(rows) -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows) + ")"
 
 
+def _noted(header: str) -> str:
+    """SQL of a note with a header, in the fences of ``with_odd_fences``."""
+    lines = " || chr(10) || ".join("'" + x.replace("'", "''") + "'" for x in header.split("\n"))
+    return f"CASE WHEN doc_id % 4 = 0 THEN chr(65279) || '---' || chr(13) ELSE '---' END || chr(10) || {lines} || '---' || chr(10) || chr(10) || body"
+
+
+_ODD = "CASE WHEN doc_id % 4 = 0 AND doc_id % 6 > 0 THEN chr(65279) || '---' || chr(13) || substr(content, 4) ELSE content END"
+_EVIDENCE = 'evidence: ["a", "b \\"c\\""]\n'
 _VALID = "doc_id % 6 = 2"
 ORACLE_SQL = {
     "domain_tree": f"WITH {PATHS_SQL} SELECT source, dir, domain FROM dom",
@@ -177,13 +190,16 @@ ORACLE_SQL = {
     "duplicate_domains": f"WITH {PATHS_SQL} SELECT source, 'KBV2-DOMAIN-DUPLICATE' AS code, 'error' AS severity, dir || '/INDEX.md' AS path, 'domain' AS field, 'domain collides after normalization and case folding' AS message FROM dom QUALIFY count(*) OVER (PARTITION BY source, lower(domain)) > 1",
     "source_health": f"WITH {PATHS_SQL}, {_STRAY}, n AS (SELECT source, count(*) AS n_domains FROM dom GROUP BY 1) SELECT s.source, coalesce(n_domains, 0) AS n_domains, CASE WHEN n_stray > 6 THEN 1 ELSE 0 END::BIGINT AS n_errors, coalesce(n_domains, 0) > 0 AND NOT coalesce(n_stray > 6, false) AS ok FROM (SELECT DISTINCT source FROM files) s LEFT JOIN n USING (source) LEFT JOIN stray USING (source)",
     "identity": "SELECT doc_id, source || ':' || lang || ':' || doc_id AS identity FROM documents",
-    "identity_collisions": r"SELECT source, 'KBV2-IDENTITY-COLLISION' AS code, 'error' AS severity, doc_id::VARCHAR AS path, 'identity' AS field, 'note identity collides after normalization and case folding' AS message FROM documents WHERE regexp_full_match(text, '[\x00-\x7F]*') QUALIFY count(*) OVER (PARTITION BY source, lower(lang || ':' || left(text, 20))) > 1",
+    "identity_collisions": r"SELECT source, 'KBV2-IDENTITY-COLLISION' AS code, 'error' AS severity, doc_id::VARCHAR AS path, 'identity' AS field, 'note identity collides after normalization and case folding' AS message FROM documents QUALIFY count(*) OVER (PARTITION BY source, nfc_normalize(lower(lang || ':' || coalesce(text, '')))) > 1",
     "envelope_state": f"WITH {NOTES_SQL} SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'missing' WHEN 1 THEN 'unterminated' ELSE 'ok' END AS state, CASE doc_id % 6 {' '.join(f'WHEN {i} THEN {len(h)}' for i, h in enumerate(HEADERS) if h)} END AS header_chars, CASE WHEN doc_id % 6 > 1 THEN length(body) + 1 END AS body_chars FROM notes",
     "doc_diagnostics": f"SELECT source, lang || '/' || doc_id || '.md' AS path, code, field FROM documents JOIN {_values(_EXPECTED)} v(m, code, field) ON doc_id % 6 = m",
     "legacy_diagnostics": f"SELECT source, lang || '/' || doc_id || '.md' AS path, code, severity, field FROM documents JOIN {_values(_LEGACY + ((5, 'V1-X', '', ''),))} v(m, code, severity, field) ON doc_id % 6 = m WHERE code <> 'V1-X'",
-    "slug_excess": "SELECT doc_id, greatest(0, len(string_split(regexp_replace(trim(replace(left(coalesce(text, ''), 80), ' ', '-')), '^adr-\\d+-', ''), '-')) - 6)::INT AS excess FROM documents",
+    "migrate_headers": f"WITH {NOTES_SQL} SELECT doc_id, CASE doc_id % 6 WHEN 3 THEN 'status' WHEN 4 THEN 'title' ELSE '' END AS removed, sha256(CASE doc_id % 6 WHEN 3 THEN {_noted(HEADERS[3].replace('status: draft' + chr(10), ''))} WHEN 4 THEN {_noted(HEADERS[4].replace('title: t' + chr(10), ''))} ELSE {_ODD} END) AS content_sha256 FROM notes",
+    "rewrite_headers": f"WITH {NOTES_SQL} SELECT doc_id, sha256(CASE doc_id % 6 " + " ".join(f"WHEN {i} THEN {_noted(h.replace('status: draft', 'status: derived') + ('' if i == 3 else 'status: derived' + chr(10)) + _EVIDENCE)}" for i, h in enumerate(HEADERS) if h) + " END) AS content_sha256 FROM notes WHERE doc_id % 6 > 1",
+    "render_notes": f"""WITH {DOCS_SQL} SELECT doc_id, sha256('---' || chr(10) || 'description: "' || description || '"' || chr(10) || 'keywords: [' || replace(keywords, ' ', ', ') || ']' || chr(10) || 'kind: ' || kind || chr(10) || 'code: ["src/a b.py"]' || chr(10) || coalesce('status: ' || status || chr(10), '') || '---' || chr(10) || chr(10) || CASE WHEN body_text <> '' THEN body_text || chr(10) ELSE '' END) AS note_sha256 FROM docs""",
+    "slug_excess": "SELECT doc_id, greatest(0, len(string_split(regexp_replace(trim(replace(coalesce(text, ''), ' ', '-')), '^adr-\\d+-', ''), '-')) - 6)::INT AS excess FROM documents",
     "compile_docs": rf"WITH {NOTES_SQL} SELECT source || ':' || lang || ':' || doc_id AS identity, lang AS domain, CASE WHEN doc_id % 2 = 0 THEN 'Title ' || doc_id ELSE doc_id::VARCHAR END AS title, 'first' AS description, 'a,b' AS keywords, 'spec' AS kind, true AS kind_explicit, path AS source_path, sha256(regexp_replace(content, '\r\n?', chr(10), 'g')) AS source_hash, sha256(trim(regexp_replace(body, '\r\n?', chr(10), 'g'), chr(10))) AS body_sha256, 64 AS hash_chars FROM notes WHERE {_VALID}",
-    "compiled_hashes": rf"WITH {DOCS_SQL} SELECT doc_id, sha256(json_object('schema', 'knowledge-doc-v2', 'identity', identity, 'source', source, 'domain', domain, 'domain_prefixes', [domain], 'title', title, 'description', description, 'keywords', [lang, 'k' || (doc_id % 3)], 'kind', kind, 'kind_explicit', kind_explicit, 'status', status, 'body_text', body_text, 'source_path', source_path, 'source_hash', source_hash, 'commit_time', NULL)::VARCHAR) AS compiled_hash FROM docs WHERE regexp_full_match(body_text, '[^\x00-\x09\x0B-\x1F\x7F]*')",
+    "compiled_hashes": rf"WITH {DOCS_SQL} SELECT doc_id, sha256(json_object('schema', 'knowledge-doc-v2', 'identity', identity, 'source', source, 'domain', domain, 'domain_prefixes', [domain], 'title', title, 'description', description, 'keywords', [lang, 'k' || (doc_id % 3)], 'kind', kind, 'kind_explicit', kind_explicit, 'status', status, 'body_text', body_text, 'source_path', source_path, 'source_hash', source_hash, 'commit_time', NULL)::VARCHAR) AS compiled_hash FROM docs",
     "embedding_texts": f"WITH {DOCS_SQL} SELECT doc_id, sha256({EMBED_SQL}) AS text_hash FROM docs",
     "source_hash": r"SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g')) AS source_hash FROM documents",
     "compile_report": f"SELECT source, count(DISTINCT lang) AS n_domains, count(DISTINCT lang) - count(DISTINCT CASE WHEN {_VALID} THEN lang END) AS empty_domains, count(*) FILTER ({_VALID}) AS indexed, count(*) FILTER (NOT ({_VALID})) AS skipped, 0::BIGINT AS kind_missing, 0::BIGINT AS downgraded, 0::BIGINT AS n_errors FROM documents GROUP BY 1",

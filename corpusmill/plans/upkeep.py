@@ -12,8 +12,8 @@ from ..operators import audit, checks, conform, lifecycle, semantic, sync, telem
 from ..sources import ndjson, snapshots
 from ..sources.storage import materialise, new_path
 from ..streaming import inbox, incremental
-from .standins import DOCS_SQL, EMBED_SQL, docs, notes, table
-
+from .standins import DOCS_SQL, EMBED_SQL, docs, table
+from .structure import with_odd_fences
 
 
 def _n():
@@ -28,12 +28,12 @@ def blob_digests(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", blob_sha256(F.coalesce("text", F.lit(""))).alias("blob_sha256"))
 
 
-def _wanted(spark, sf_dir):
+def wanted(spark, sf_dir):
     """Documents that are still there; every eleventh is gone."""
     return sync.desired_points(docs(spark, sf_dir).filter("doc_id % 11 <> 0"))
 
 
-def _points(spark, sf_dir):
+def points(spark, sf_dir):
     """The index before: no point for every tenth document, other texts, kinds and units for some; two sources retired
     under new names and points without documents."""
     d = docs(spark, sf_dir)
@@ -45,25 +45,25 @@ def _points(spark, sf_dir):
 
 
 def sync_actions(spark, sf_dir):
-    return sync.plan_actions(_wanted(spark, sf_dir), _points(spark, sf_dir)).select("identity", "action")
+    return sync.plan_actions(wanted(spark, sf_dir), points(spark, sf_dir)).select("identity", "action")
 
 
 def vector_reuse(spark, sf_dir):
-    return sync.plan_actions(_wanted(spark, sf_dir), _points(spark, sf_dir)).filter("action = 'rekey'").select("identity", "reuse_id")
+    return sync.plan_actions(wanted(spark, sf_dir), points(spark, sf_dir)).filter("action = 'rekey'").select("identity", "reuse_id")
 
 
 def sync_report(spark, sf_dir):
-    wanted, points = _wanted(spark, sf_dir), _points(spark, sf_dir)
-    return sync.sync_report(sync.plan_actions(wanted, points), None, sync.prune_plan(points, wanted))
+    new, old = wanted(spark, sf_dir), points(spark, sf_dir)
+    return sync.sync_report(sync.plan_actions(new, old), None, sync.prune_plan(old, new))
 
 
 def prune_plan(spark, sf_dir):
-    return sync.prune_plan(_points(spark, sf_dir), _wanted(spark, sf_dir)).drop("point_id")
+    return sync.prune_plan(points(spark, sf_dir), wanted(spark, sf_dir)).drop("point_id")
 
 
 def retired_sources(spark, sf_dir):
-    points = _points(spark, sf_dir).select(sync.source_of(F.col("identity")).alias("source"))
-    return sync.retired_sources(points, table(spark, sf_dir, "documents").select("source"), by="rows")
+    rows = points(spark, sf_dir).select(sync.source_of(F.col("identity")).alias("source"))
+    return sync.retired_sources(rows, table(spark, sf_dir, "documents").select("source"), by="rows")
 
 
 def stale_compiled(spark, sf_dir):
@@ -72,7 +72,7 @@ def stale_compiled(spark, sf_dir):
 
 
 def orphans(spark, sf_dir):
-    return sync.orphans(_points(spark, sf_dir), docs(spark, sf_dir)).select("identity")
+    return sync.orphans(points(spark, sf_dir), docs(spark, sf_dir)).select("identity")
 
 
 def coverage_diff(spark, sf_dir):
@@ -85,11 +85,11 @@ def coverage_diff(spark, sf_dir):
 
 def apply_sync(spark, sf_dir):
     """The point table after a run with an embedder of two numbers: a second run finds nothing to do."""
-    wanted, points = _wanted(spark, sf_dir), materialise(_points(spark, sf_dir), "points")
-    plan = sync.plan_actions(wanted, points)
+    asked, old = wanted(spark, sf_dir), materialise(points(spark, sf_dir), "points")
+    plan = sync.plan_actions(asked, old)
     done = materialise(semantic.embed_rows(plan.filter("action = 'embed'"), _embed, 2), "embedded")
-    new = materialise(sync.apply_plan(plan, points, done, sync.prune_plan(points, wanted, force=True)), "points")
-    return sync.plan_actions(wanted, new).groupBy("action").agg(F.count("*").alias("n"))
+    new = materialise(sync.apply_plan(plan, old, done, sync.prune_plan(old, asked, force=True)), "points")
+    return sync.plan_actions(asked, new).groupBy("action").agg(F.count("*").alias("n"))
 
 
 def _embed(texts: list[str]) -> list[list[float]]:
@@ -107,10 +107,9 @@ def embed_rows(spark, sf_dir):
 def _linked(spark, sf_dir):
     """Documents as notes with links, code pointers and assets by doc_id."""
     d = docs(spark, sf_dir)
-    slug = lambda k, m: (_n() * k + 3) % m
-    links = F.array(slug(7, 1500).cast("string"), F.when(_n() % 3 == 0, F.concat_ws(":", "source", "domain", _n())).otherwise(F.concat_ws(":", "source", "domain", _n() + 1)))
-    code = F.array(F.concat(F.lit("en/"), slug(3, 1200), F.lit(".md")), F.when(_n() % 2 == 0, "symbol").otherwise("fr"))
-    assets = F.array(F.concat(F.lit("repo:r"), _n() % 40), F.lit("img:base"))
+    links = F.array((_n() * 2 + 1).cast("string"), F.when(_n() % 3 == 0, F.concat_ws(":", "source", "domain", _n())).otherwise(F.concat_ws(":", "source", "domain", _n() + 1)))
+    code = F.array(F.concat(F.lit("en/"), _n() * 2 + 1, F.lit(".md")), F.when(_n() % 2 == 0, "symbol").otherwise("fr"))
+    assets = F.array(F.concat(F.lit("repo:r"), F.floor(_n() / 8)), F.concat(F.lit("img:"), "domain"))
     return d.select("doc_id", "source", F.col("source_path").alias("path"), "domain", "identity", "status", "kind", _n().cast("string").alias("slug"), links.alias("links"), code.alias("code"), assets.alias("assets"), "description", "body_text", F.lit(False).alias("is_domain_index"))
 
 
@@ -128,9 +127,9 @@ def code_pointers(spark, sf_dir):
 
 
 def _wiki(spark, sf_dir):
-    linked = _linked(spark, sf_dir)
-    text = F.concat(F.lit("see [["), (_n() * 5) % 900, F.lit("#part]], [["), (_n() + 1) % 900, F.lit("|name]] and [[x]]"))
-    return linked.withColumn("content", text)
+    """Whole texts with links behind them."""
+    text = F.concat("body_text", F.lit("\nsee [["), _n() + 5, F.lit("#part]], [["), _n() + 1, F.lit("|name]] and [[x]]"))
+    return _linked(spark, sf_dir).withColumn("content", text)
 
 
 def reference_scan(spark, sf_dir):
@@ -142,20 +141,22 @@ def _moves(spark, sf_dir):
 
 
 def rewrite_links(spark, sf_dir):
-    return checks.rewrite_references(_wiki(spark, sf_dir), _moves(spark, sf_dir)).select("source", "path", F.array_join("new_links", ",").alias("new_links"), "new_content", "n_replaced")
+    return checks.rewrite_references(_wiki(spark, sf_dir), _moves(spark, sf_dir)).select("source", "path", F.array_join("new_links", ",").alias("new_links"), F.sha2("new_content", 256).alias("content_sha256"), "n_replaced")
 
 
 def asset_reconcile(spark, sf_dir):
-    text = F.concat(F.lit("# Title\n## Touched Assets\n| `repo:r"), _n() % 37, F.lit("` | img:base |\n```\nimg:fenced\n```\n## Next\n- svc:late\n"))
+    """Whole texts with a section of assets behind them."""
+    text = F.concat("body_text", F.lit("\n# Title\n## Touched Assets\n| `repo:r"), F.floor(_n() / 9), F.lit("` | img:"), "domain", F.lit(" |\n```\nimg:fenced\n```\n## Next\n- svc:late\n"))
     return checks.asset_reconcile(_linked(spark, sf_dir).withColumn("content", text)).select("source", "path", "message")
 
 
 def asset_reuse(spark, sf_dir):
-    return checks.asset_reuse(_linked(spark, sf_dir)).select("asset", "n_notes", F.array_join("paths", ",").alias("paths"))
+    return checks.asset_reuse(_linked(spark, sf_dir)).select("asset", "n_notes", "path")
 
 
 def diagram_blocks(spark, sf_dir):
-    text = F.concat(F.substring_index(F.coalesce("text", F.lit("")), "\n", 2), F.lit("\n```mermaid\ngraph "), "doc_id", F.lit("\n```\n~~~text\n```mermaid\n~~~\n```Mermaid\nopen"))
+    """Whole texts with fences behind them."""
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit("\n```mermaid\ngraph "), "doc_id", F.lit("\n```\n~~~text\n```mermaid\n~~~\n```Mermaid\nopen"))
     d = table(spark, sf_dir, "documents").select("source", F.col("doc_id").cast("string").alias("path"), text.alias("content"))
     return checks.diagram_blocks(d)
 
@@ -188,7 +189,7 @@ def check_rollup(spark, sf_dir):
     return checks.check_all(failed, [checks.broken_links(linked), checks.code_pointers(linked, linked.select("source", "path"))]).groupBy("source", "code").agg(F.count("*").alias("n"))
 
 
-def _orders(spark, sf_dir):
+def orders(spark, sf_dir):
     """Orders as committed notes: frozen where the status is F, a decision where it is P."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     header = F.when(F.col("o_orderstatus") == "F", "---\nstatus: frozen\n---\n").when(F.col("o_orderstatus") == "P", "---\nkind: decision\n---\n").otherwise("---\nkind: note\n---\n")
@@ -200,7 +201,7 @@ OID = "0" * 40
 
 def _history(spark, sf_dir):
     """(head, staged, changes, ledger): every third order changes, by kind of its key; records for some of them."""
-    head = _orders(spark, sf_dir)
+    head = orders(spark, sf_dir)
     k = F.col("o_orderkey")
     touched = head.filter("o_orderkey % 3 = 0")
     target = F.concat(F.lit("a/"), k, F.lit(".md"))
@@ -229,7 +230,7 @@ def unused_records(spark, sf_dir):
 
 
 def unapproved_edits(spark, sf_dir):
-    head = _orders(spark, sf_dir)
+    head = orders(spark, sf_dir)
     work = head.withColumn("content", F.when(F.col("o_orderkey") % 2 == 0, F.concat("content", F.lit("?"))).otherwise(F.col("content")))
     approvals = head.filter("o_orderkey % 6 = 0").select("source", "path", F.when(F.col("o_orderkey") % 4 == 0, "fine").otherwise(" ").alias("reason"))
     return audit.unapproved_edits(head, work, approvals).select("path")
@@ -275,7 +276,7 @@ def capture_lines(spark, sf_dir):
 
 def capture_notes(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    box = c.select(F.col("role").alias("source"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("conv_id") % 5).alias("ts"), F.substring("text", 1, 12).alias("title"), F.col("text").alias("body"), F.lit("").alias("origin"))
+    box = c.select(F.col("role").alias("source"), F.timestamp_seconds(F.lit(1_700_000_000) + F.col("conv_id") % 5).alias("ts"), F.col("text").alias("title"), F.col("text").alias("body"), F.lit("").alias("origin"))
     return lifecycle.plan_captures(box).select("source", "path", F.sha2("content", 256).alias("content_sha256"))
 
 
@@ -293,7 +294,7 @@ def promotion_gate(spark, sf_dir):
 def rewrite_headers(spark, sf_dir):
     value = lambda s, many: F.struct(F.lit(s).cast("string").alias("scalar"), F.lit(many).cast("array<string>").alias("items"))
     updates = F.create_map(F.lit("status"), value("derived", None), F.lit("evidence"), value(None, None).withField("items", F.array(F.lit("a"), F.lit('b "c"'))))
-    rows = notes(spark, sf_dir).withColumn("updates", updates)
+    rows = with_odd_fences(spark, sf_dir).withColumn("updates", updates)
     return conform.rewrite_fields(rows).select("doc_id", F.sha2("new_content", 256).alias("content_sha256"))
 
 
@@ -331,8 +332,7 @@ def stream_sync(spark, sf_dir):
 
     changes = spark.readStream.schema(d.drop("doc_id").schema).option("maxFilesPerTrigger", 4).parquet(drop)
     incremental.stream_sync(changes, lambda: spark.read.parquet(at["path"]), publish, lambda t: [[float(len(x))] for x in t], 1, new_path(spark, "sync-checkpoint")).awaitTermination()
-    wanted = sync.desired_points(docs(spark, sf_dir))
-    return sync.plan_actions(wanted, spark.read.parquet(at["path"])).select("identity", "action")
+    return sync.plan_actions(sync.desired_points(docs(spark, sf_dir)), spark.read.parquet(at["path"])).select("identity", "action")
 
 
 def snapshot_publish(spark, sf_dir):
@@ -373,11 +373,11 @@ plan AS (SELECT w.identity, w.source, w.text_hash, CASE WHEN p.identity IS NOT N
 own AS (SELECT split_part(identity, ':', 1) AS source, identity FROM points),
 stale AS (SELECT * FROM own WHERE source IN (SELECT source FROM wanted) AND identity NOT IN (SELECT identity FROM wanted)),
 prune AS (SELECT source, identity, n_stale, n_points, NOT n_stale > 0.5 * n_points AS allowed FROM stale JOIN (SELECT source, count(*) AS n_stale FROM stale GROUP BY 1) USING (source) JOIN (SELECT source, count(*) AS n_points FROM own GROUP BY 1) USING (source))"""
-_SYNC = f"WITH {DOCS_SQL}, {_T}, {_OLD}"
-_EDGES = """linked AS (SELECT *, [((doc_id * 7 + 3) % 1500)::VARCHAR, source || ':' || domain || ':' || CASE WHEN doc_id % 3 = 0 THEN doc_id ELSE doc_id + 1 END] AS links FROM docs),
+SYNC_SQL = f"WITH {DOCS_SQL}, {_T}, {_OLD}"
+_EDGES = """linked AS (SELECT *, [(doc_id * 2 + 1)::VARCHAR, source || ':' || domain || ':' || CASE WHEN doc_id % 3 = 0 THEN doc_id ELSE doc_id + 1 END] AS links FROM docs),
 edge AS (SELECT source, source_path AS path, domain, status, kind, doc_id, unnest(links) AS link FROM linked)"""
 _LIVE = "coalesce(status, '') <> 'frozen'"
-_HEAD = """head AS (SELECT o_orderkey AS k, 'd/' || o_orderkey || '.md' AS path, o_orderstatus IN ('F', 'P') AS frozen,
+HEAD_SQL = """head AS (SELECT o_orderkey AS k, 'd/' || o_orderkey || '.md' AS path, o_orderstatus IN ('F', 'P') AS frozen,
   CASE o_orderstatus WHEN 'F' THEN '---' || chr(10) || 'status: frozen' || chr(10) || '---' || chr(10) WHEN 'P' THEN '---' || chr(10) || 'kind: decision' || chr(10) || '---' || chr(10) ELSE '---' || chr(10) || 'kind: note' || chr(10) || '---' || chr(10) END || 'order ' || o_orderkey AS content FROM orders),
 c AS (SELECT *, CASE k % 4 WHEN 0 THEN 'D' WHEN 1 THEN 'R100' WHEN 2 THEN 'M' ELSE 'T' END AS status, k % 5 < 3 AND k % 4 < 3 AS recorded, k % 5 <> 1 AS right_blob FROM head WHERE k % 3 = 0)"""
 _LINE = "'2024-01-0' || (turn % 9 + 1)"
@@ -388,32 +388,32 @@ _IDX = "(substr(source, 4)::INT % 5)"
 ORACLE_SQL = {
     "point_ids": f"WITH {DOCS_SQL} SELECT doc_id, {_pid('identity')} AS point_id FROM docs",
     "blob_digests": "SELECT doc_id, sha256(encode('blob ' || octet_length(encode(coalesce(text, '')))) || '\\x00'::BLOB || encode(coalesce(text, ''))) AS blob_sha256 FROM documents",
-    "sync_actions": f"{_SYNC} SELECT identity, action FROM plan",
-    "vector_reuse": f"{_SYNC}, ids AS (SELECT old_hash, {_pid('identity')} AS pid FROM points) SELECT identity, min(pid) AS reuse_id FROM plan JOIN ids ON old_hash = text_hash WHERE action = 'rekey' GROUP BY 1",
-    "sync_report": f"{_SYNC} SELECT source, coalesce(unchanged, 0)::BIGINT AS unchanged, coalesce(payload_update, 0)::BIGINT AS payload_update, coalesce(rekey, 0)::BIGINT AS rekey, coalesce(embed, 0)::BIGINT AS embed, 0::BIGINT AS failed, coalesce(prunable, 0)::BIGINT AS prunable, coalesce(blocked, 0)::BIGINT AS blocked, CASE WHEN blocked > 0 THEN 2 ELSE 0 END AS exit_class FROM (SELECT source, count(*) FILTER (action = 'unchanged') AS unchanged, count(*) FILTER (action = 'payload_update') AS payload_update, count(*) FILTER (action = 'rekey') AS rekey, count(*) FILTER (action = 'embed') AS embed FROM plan GROUP BY 1) FULL JOIN (SELECT source, count(*) FILTER (allowed) AS prunable, count(*) FILTER (NOT allowed) AS blocked FROM prune GROUP BY 1) USING (source)",
-    "prune_plan": f"{_SYNC} SELECT * FROM prune",
-    "retired_sources": f"{_SYNC}, n AS (SELECT source, count(*) AS n_rows FROM own GROUP BY 1), g AS (SELECT * FROM n WHERE source NOT IN (SELECT source FROM documents)) SELECT source, n_rows, NOT (SELECT sum(n_rows) FROM g) > 0.5 * (SELECT sum(n_rows) FROM n) AS allowed FROM g",
+    "sync_actions": f"{SYNC_SQL} SELECT identity, action FROM plan",
+    "vector_reuse": f"{SYNC_SQL}, ids AS (SELECT old_hash, {_pid('identity')} AS pid FROM points) SELECT identity, min(pid) AS reuse_id FROM plan JOIN ids ON old_hash = text_hash WHERE action = 'rekey' GROUP BY 1",
+    "sync_report": f"{SYNC_SQL} SELECT source, coalesce(unchanged, 0)::BIGINT AS unchanged, coalesce(payload_update, 0)::BIGINT AS payload_update, coalesce(rekey, 0)::BIGINT AS rekey, coalesce(embed, 0)::BIGINT AS embed, 0::BIGINT AS failed, coalesce(prunable, 0)::BIGINT AS prunable, coalesce(blocked, 0)::BIGINT AS blocked, CASE WHEN blocked > 0 THEN 2 ELSE 0 END AS exit_class FROM (SELECT source, count(*) FILTER (action = 'unchanged') AS unchanged, count(*) FILTER (action = 'payload_update') AS payload_update, count(*) FILTER (action = 'rekey') AS rekey, count(*) FILTER (action = 'embed') AS embed FROM plan GROUP BY 1) FULL JOIN (SELECT source, count(*) FILTER (allowed) AS prunable, count(*) FILTER (NOT allowed) AS blocked FROM prune GROUP BY 1) USING (source)",
+    "prune_plan": f"{SYNC_SQL} SELECT * FROM prune",
+    "retired_sources": f"{SYNC_SQL}, n AS (SELECT source, count(*) AS n_rows FROM own GROUP BY 1), g AS (SELECT * FROM n WHERE source NOT IN (SELECT source FROM documents)) SELECT source, n_rows, NOT (SELECT sum(n_rows) FROM g) > 0.5 * (SELECT sum(n_rows) FROM n) AS allowed FROM g",
     "stale_compiled": f"WITH {DOCS_SQL}, s AS (SELECT source, identity FROM docs WHERE doc_id % 11 = 0 AND source IN (SELECT source FROM docs WHERE doc_id % 11 <> 0)) SELECT source, identity, n_stale, n_stored, NOT 2 * n_stale > n_stored AS allowed FROM s JOIN (SELECT source, count(*) AS n_stale FROM s GROUP BY 1) USING (source) JOIN (SELECT source, count(*) AS n_stored FROM docs GROUP BY 1) USING (source)",
-    "orphans": f"{_SYNC} SELECT identity FROM points WHERE identity NOT IN (SELECT identity FROM docs)",
+    "orphans": f"{SYNC_SQL} SELECT identity FROM points WHERE identity NOT IN (SELECT identity FROM docs)",
     "coverage_diff": "WITH s AS (SELECT DISTINCT source, length(source) > 4 AS present FROM documents), f AS (SELECT DISTINCT source, lang FROM documents WHERE length(source) > 4), i AS (SELECT DISTINCT source, lang FROM documents WHERE doc_id % 17 = 0), m AS (SELECT source, count(*) AS n_domains, count(*) FILTER ((source, lang) NOT IN (SELECT (source, lang) FROM i)) AS n_missing FROM f GROUP BY 1) SELECT source, CASE WHEN NOT present THEN 'missing-repo' WHEN coalesce(n_domains, 0) = 0 THEN 'no-domains' WHEN n_missing > 0 THEN 'not-indexed' ELSE 'ok' END AS status, coalesce(n_domains, 0) AS n_domains, coalesce(n_missing, 0) AS n_missing FROM s LEFT JOIN m USING (source)",
     "embed_rows": f"WITH {DOCS_SQL} SELECT identity, CASE WHEN NOT starts_with(body_text, 'Au') THEN 2 END::INT AS dim, CASE WHEN starts_with(body_text, 'Au') THEN 'refused' END AS error FROM docs",
     "broken_links": f"WITH {DOCS_SQL}, {_EDGES}, r AS (SELECT source, path, CASE WHEN len(string_split(link, ':')) = 3 THEN link ELSE source || ':' || domain || ':' || link END AS target FROM edge WHERE {_LIVE}) SELECT source, path, 'link target does not resolve: ' || target AS message FROM r WHERE (source, target) NOT IN (SELECT (source, identity) FROM docs)",
     "broken_links_v1": f"WITH {DOCS_SQL}, {_EDGES}, o AS (SELECT doc_id::VARCHAR AS link, list(DISTINCT source) AS owners FROM docs GROUP BY 1) SELECT e.source, path, CASE WHEN contains(link, ':') THEN 'V1-LINK-IDENTITY' WHEN owners IS NOT NULL THEN 'V1-LINK-FOREIGN' ELSE 'V1-LINK-BROKEN' END AS code, CASE WHEN NOT contains(link, ':') AND owners IS NOT NULL THEN 'warning' ELSE 'error' END AS severity FROM edge e LEFT JOIN o USING (link) WHERE {_LIVE} AND kind <> 'decision' AND (contains(link, ':') OR NOT coalesce(list_contains(owners, e.source), false))",
-    "code_pointers": f"WITH {DOCS_SQL}, p AS (SELECT source, source_path AS path, 'en/' || ((doc_id * 3 + 3) % 1200) || '.md' AS pointer FROM docs WHERE {_LIVE}) SELECT source, path, 'KBV2-CODE-BROKEN' AS code FROM p WHERE (source, pointer) NOT IN (SELECT (source, source_path) FROM docs)",
-    "reference_scan": f"WITH {DOCS_SQL}, {_EDGES}, e AS (SELECT link AS target, source, path, true AS meta FROM edge UNION ALL SELECT unnest([((doc_id * 5) % 900)::VARCHAR, ((doc_id + 1) % 900)::VARCHAR, 'x']), source, source_path, false FROM docs) SELECT target, source, path, bool_or(meta) AS metadata, bool_or(NOT meta) AS wikilink FROM e GROUP BY 1, 2, 3",
-    "rewrite_links": f"WITH {DOCS_SQL}, r AS (SELECT *, (doc_id * 7 + 3) % 1500 AS l, (doc_id * 5) % 900 AS a, (doc_id + 1) % 900 AS b, source || ':' || domain || ':' || CASE WHEN doc_id % 3 = 0 THEN doc_id ELSE doc_id + 1 END AS full FROM docs), m AS (SELECT doc_id AS k FROM documents WHERE doc_id % 50 = 7), j AS (SELECT r.*, l IN (SELECT k FROM m) AS ml, a IN (SELECT k FROM m) AS ma, b IN (SELECT k FROM m) AS mb FROM r) SELECT source, source_path AS path, CASE WHEN ml THEN 'new-' ELSE '' END || l || ',' || \"full\" AS new_links, 'see [[' || CASE WHEN ma THEN 'new-' ELSE '' END || a || '#part]], [[' || CASE WHEN mb THEN 'new-' ELSE '' END || b || '|name]] and [[x]]' AS new_content, ml::INT + ma::INT + mb::INT AS n_replaced FROM j WHERE ml OR ma OR mb",
-    "asset_reconcile": f"WITH {DOCS_SQL} SELECT source, source_path AS path, 'repo:r' || (doc_id % 40) || ' is in the metadata but not in the section' AS message FROM docs WHERE doc_id % 40 <> doc_id % 37 UNION ALL SELECT source, source_path, 'repo:r' || (doc_id % 37) || ' is in the section but not in the metadata' FROM docs WHERE doc_id % 40 <> doc_id % 37",
-    "asset_reuse": f"WITH {DOCS_SQL}, a AS (SELECT source_path AS path, unnest(['repo:r' || (doc_id % 40), 'img:base']) AS asset FROM docs WHERE kind = 'decision') SELECT asset, count(DISTINCT path) AS n_notes, string_agg(DISTINCT path, ',' ORDER BY path) AS paths FROM a GROUP BY 1 HAVING n_notes >= 3",
-    "diagram_blocks": "WITH d AS (SELECT source, doc_id::VARCHAR AS path, doc_id, len(string_split(array_to_string(string_split(coalesce(text, ''), chr(10))[1:2], chr(10)), chr(10))) AS n FROM documents) SELECT source, path, (n + 2)::INT AS line, 'graph ' || doc_id AS code, true AS closed FROM d UNION ALL SELECT source, path, (n + 8)::INT, 'open', false FROM d",
+    "code_pointers": f"WITH {DOCS_SQL}, p AS (SELECT source, source_path AS path, 'en/' || (doc_id * 2 + 1) || '.md' AS pointer FROM docs WHERE {_LIVE}) SELECT source, path, 'KBV2-CODE-BROKEN' AS code FROM p WHERE (source, pointer) NOT IN (SELECT (source, source_path) FROM docs)",
+    "reference_scan": f"WITH {DOCS_SQL}, {_EDGES}, e AS (SELECT link AS target, source, path, true AS meta FROM edge UNION ALL SELECT unnest([(doc_id + 5)::VARCHAR, (doc_id + 1)::VARCHAR, 'x']), source, source_path, false FROM docs) SELECT target, source, path, bool_or(meta) AS metadata, bool_or(NOT meta) AS wikilink FROM e GROUP BY 1, 2, 3",
+    "rewrite_links": f"WITH {DOCS_SQL}, r AS (SELECT *, doc_id * 2 + 1 AS l, doc_id + 5 AS a, doc_id + 1 AS b, source || ':' || domain || ':' || CASE WHEN doc_id % 3 = 0 THEN doc_id ELSE doc_id + 1 END AS full FROM docs), m AS (SELECT doc_id AS k FROM documents WHERE doc_id % 50 = 7), j AS (SELECT r.*, l IN (SELECT k FROM m) AS ml, a IN (SELECT k FROM m) AS ma, b IN (SELECT k FROM m) AS mb FROM r) SELECT source, source_path AS path, CASE WHEN ml THEN 'new-' ELSE '' END || l || ',' || \"full\" AS new_links, sha256(body_text || chr(10) || 'see [[' || CASE WHEN ma THEN 'new-' ELSE '' END || a || '#part]], [[' || CASE WHEN mb THEN 'new-' ELSE '' END || b || '|name]] and [[x]]') AS content_sha256, ml::INT + ma::INT + mb::INT AS n_replaced FROM j WHERE ml OR ma OR mb",
+    "asset_reconcile": f"WITH {DOCS_SQL} SELECT source, source_path AS path, 'repo:r' || (doc_id // 8) || ' is in the metadata but not in the section' AS message FROM docs WHERE doc_id // 8 <> doc_id // 9 UNION ALL SELECT source, source_path, 'repo:r' || (doc_id // 9) || ' is in the section but not in the metadata' FROM docs WHERE doc_id // 8 <> doc_id // 9",
+    "asset_reuse": f"WITH {DOCS_SQL}, a AS (SELECT DISTINCT source_path AS path, unnest(['repo:r' || (doc_id // 8), 'img:' || domain]) AS asset FROM docs WHERE kind = 'decision') SELECT asset, n_notes, path FROM a JOIN (SELECT asset, count(*) AS n_notes FROM a GROUP BY 1 HAVING count(*) >= 3) USING (asset)",
+    "diagram_blocks": "WITH d AS (SELECT source, doc_id::VARCHAR AS path, doc_id, len(string_split(coalesce(text, ''), chr(10))) AS n FROM documents) SELECT source, path, (n + 2)::INT AS line, 'graph ' || doc_id AS code, true AS closed FROM d UNION ALL SELECT source, path, (n + 8)::INT, 'open', false FROM d",
     "catalog": f"WITH {DOCS_SQL}, {_CATALOG} SELECT * FROM cat",
     "catalog_drift": f"SELECT DISTINCT source, CASE WHEN {_IDX} = 1 THEN 'KBV2-HUMAN-INDEX-DRIFT' ELSE 'KBV2-HUMAN-INDEX-MARKER' END AS code, CASE {_IDX} WHEN 1 THEN 'human index generated catalog is out of date' WHEN 2 THEN 'human index markers are missing' WHEN 3 THEN 'human index markers must occur exactly once' ELSE 'human index end marker must follow start marker' END AS message FROM documents WHERE {_IDX} > 0",
     "apply_catalog": f"SELECT DISTINCT source, 'applied' AS code FROM documents WHERE {_IDX} < 2",
-    "check_rollup": f"WITH {DOCS_SQL}, {_EDGES}, bad AS (SELECT source, doc_id FROM docs WHERE doc_id % 97 = 0), r AS (SELECT source, CASE WHEN len(string_split(link, ':')) = 3 THEN link ELSE source || ':' || domain || ':' || link END AS target FROM edge WHERE {_LIVE}), u AS (SELECT source, 'X' AS code FROM bad UNION ALL SELECT source, 'KBV2-LINK-BROKEN' FROM r WHERE (source, target) NOT IN (SELECT (source, identity) FROM docs) AND source NOT IN (SELECT source FROM bad) UNION ALL SELECT source, 'KBV2-CODE-BROKEN' FROM docs WHERE {_LIVE} AND (source, 'en/' || ((doc_id * 3 + 3) % 1200) || '.md') NOT IN (SELECT (source, source_path) FROM docs) AND source NOT IN (SELECT source FROM bad)) SELECT source, code, count(*) AS n FROM u GROUP BY 1, 2",
-    "frozen_gate": f"WITH {_HEAD} SELECT path AS old_path, status, CASE status WHEN 'T' THEN 'change of a frozen note is not allowed' WHEN 'M' THEN 'frozen note edited without a record' ELSE 'frozen note moved or deleted without a record' END AS problem FROM c WHERE frozen AND NOT (recorded AND right_blob)",
-    "unused_records": f"WITH {_HEAD} SELECT path AS old_path, CASE WHEN status = 'M' THEN 'amend' ELSE 'relocate' END AS operation FROM c WHERE recorded AND CASE WHEN status = 'M' THEN NOT frozen ELSE NOT right_blob END",
-    "unapproved_edits": f"WITH {_HEAD} SELECT path FROM head WHERE frozen AND k % 2 = 0 AND NOT (k % 6 = 0 AND k % 4 = 0)",
-    "ledger_violations": f"WITH {_HEAD}, r AS (SELECT k, status FROM c WHERE recorded) SELECT k AS line, CASE k % 7 WHEN 0 THEN 'LEDGER-REASON' WHEN 1 THEN 'LEDGER-OID' WHEN 2 THEN 'LEDGER-PATH' ELSE 'LEDGER-CANONICAL' END AS code FROM r WHERE k % 7 < 4 UNION ALL SELECT k, 'LEDGER-AMEND' FROM r WHERE k % 7 = 2 AND status = 'M'",
-    "ledger_pairing": f"WITH {_HEAD} SELECT path AS old_path, 'source' AS side FROM c WHERE recorded AND status = 'M' UNION ALL SELECT path, 'target' FROM c WHERE recorded AND status <> 'M' AND length(path) % 2 <> 0",
+    "check_rollup": f"WITH {DOCS_SQL}, {_EDGES}, bad AS (SELECT source, doc_id FROM docs WHERE doc_id % 97 = 0), r AS (SELECT source, CASE WHEN len(string_split(link, ':')) = 3 THEN link ELSE source || ':' || domain || ':' || link END AS target FROM edge WHERE {_LIVE}), u AS (SELECT source, 'X' AS code FROM bad UNION ALL SELECT source, 'KBV2-LINK-BROKEN' FROM r WHERE (source, target) NOT IN (SELECT (source, identity) FROM docs) AND source NOT IN (SELECT source FROM bad) UNION ALL SELECT source, 'KBV2-CODE-BROKEN' FROM docs WHERE {_LIVE} AND (source, 'en/' || (doc_id * 2 + 1) || '.md') NOT IN (SELECT (source, source_path) FROM docs) AND source NOT IN (SELECT source FROM bad)) SELECT source, code, count(*) AS n FROM u GROUP BY 1, 2",
+    "frozen_gate": f"WITH {HEAD_SQL} SELECT path AS old_path, status, CASE status WHEN 'T' THEN 'change of a frozen note is not allowed' WHEN 'M' THEN 'frozen note edited without a record' ELSE 'frozen note moved or deleted without a record' END AS problem FROM c WHERE frozen AND NOT (recorded AND right_blob)",
+    "unused_records": f"WITH {HEAD_SQL} SELECT path AS old_path, CASE WHEN status = 'M' THEN 'amend' ELSE 'relocate' END AS operation FROM c WHERE recorded AND CASE WHEN status = 'M' THEN NOT frozen ELSE NOT right_blob END",
+    "unapproved_edits": f"WITH {HEAD_SQL} SELECT path FROM head WHERE frozen AND k % 2 = 0 AND NOT (k % 6 = 0 AND k % 4 = 0)",
+    "ledger_violations": f"WITH {HEAD_SQL}, r AS (SELECT k, status FROM c WHERE recorded) SELECT k AS line, CASE k % 7 WHEN 0 THEN 'LEDGER-REASON' WHEN 1 THEN 'LEDGER-OID' WHEN 2 THEN 'LEDGER-PATH' ELSE 'LEDGER-CANONICAL' END AS code FROM r WHERE k % 7 < 4 UNION ALL SELECT k, 'LEDGER-AMEND' FROM r WHERE k % 7 = 2 AND status = 'M'",
+    "ledger_pairing": f"WITH {HEAD_SQL} SELECT path AS old_path, 'source' AS side FROM c WHERE recorded AND status = 'M' UNION ALL SELECT path, 'target' FROM c WHERE recorded AND status <> 'M' AND length(path) % 2 <> 0",
     "append_only": "WITH d AS (SELECT doc_id, source, substr(source, 4)::INT AS i FROM documents) SELECT source, doc_id AS line, 'rewritten' AS problem FROM d WHERE doc_id % 10 = 0 AND i % 2 = 0 UNION ALL SELECT DISTINCT source, NULL::BIGINT, 'nothing added' FROM d WHERE source NOT IN (SELECT source FROM d WHERE doc_id % 2 = 1 AND i % 5 <> 0) AND (doc_id % 2 = 0 OR i % 5 <> 0)",
     "move_plan": f"WITH {DOCS_SQL} SELECT source, source_path AS path, concat_ws('; ', CASE WHEN doc_id % 4 = 3 THEN 'target is not source:domain or source:domain:slug' END, CASE WHEN doc_id % 4 IN (0, 3) THEN 'target domain does not exist' END, CASE WHEN doc_id % 4 = 1 THEN 'target is the note itself' END, CASE WHEN doc_id % 7 = 0 THEN 'note is not committed' END, CASE WHEN doc_id % 2 = 0 AND doc_id % 3 = 0 AND doc_id % 7 <> 0 THEN 'frozen note differs from its commit' END, CASE WHEN (doc_id % 4 = 0 AND FALSE) THEN '' END) AS problems, false AS ok FROM docs",
     "capture_lines": _CAPTURE,

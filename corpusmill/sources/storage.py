@@ -11,9 +11,13 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local temporary one only where the session names none."""
+    """The folder named by ``spark.checkpoint.dir``; where a session of one machine names none, a temporary one. On a
+    cluster a missing setting is an error, as executors don't share local folders."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = _own.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="corpusmill-"))
     return base.rstrip("/")
 

@@ -97,6 +97,15 @@ def test_migration_keeps_everything_else(spark):
     assert got["q"].new_content == "no header" and got["q"].removed == []
 
 
+def test_rewrites_keep_fences_and_line_ends(spark):
+    note = "\ufeff---\r\nstatus: raw\r\nkeep: a\u2028b\r\nevidence:\r\n  - old\r\ntitle: x\r\n---\r\nbody\r\n"
+    value = "map<string,struct<scalar:string,items:array<string>>>"
+    rows = spark.createDataFrame([("s", "p", note, {"status": ("derived", None), "evidence": (None, ["n"]), "new": ("é", None)})], f"source string, path string, content string, updates {value}")
+    got = conform.rewrite_fields(rows).first().new_content
+    assert got == "\ufeff---\r\nstatus: derived\r\nkeep: a\u2028b\r\nevidence: [\"n\"]\r\ntitle: x\r\nnew: \"é\"\r\n---\r\nbody\r\n"
+    assert conform.strip_fields(rows).first().new_content == note.replace("title: x\r\n", "").replace("status: raw\r\n", "")
+
+
 def test_rendered_notes_read_back(spark):
     row = spark.createDataFrame([(("say \"hi\"\t\\ é\x01", ["a", "1x", "no", "x y"], "spec", [], ["b/c.py"], [], None, "frozen"), "\n\nbody\r\nend\n\n")], "meta struct<description:string,keywords:array<string>,kind:string,links:array<string>,code:array<string>,assets:array<string>,supersedes:string,status:string>, body string")
     out = row.select(conform.render_note().alias("t")).first()["t"]
@@ -114,9 +123,8 @@ def test_bm25_by_hand(spark):
 
     docs = docs_table(spark, [("s", "s:d:1", "apple", "", [], "", "x", "spec", None, ["d"]), ("s", "s:d:2", "pear", "", [], "", "x", "note", "frozen", ["d", "d/e"])])
     fields = lexical.lexical_fields(docs)
-    posted = lexical.postings(fields)
     queries = spark.createDataFrame([(1, "apple apple", None, None, None, None, None), (2, "nothing", None, None, None, None, None)], "query_id int, text string, source string, domain string, kind string, tag string, status string")
-    got = lexical.bm25_scores(queries, posted, lexical.field_stats(fields, posted)).collect()
+    got = lexical.bm25_scores(queries, lexical.token_lists(fields)).collect()
     assert len(got) == 1 and got[0].identity == "s:d:1"
     assert got[0].score == pytest.approx(2 * 5 * math.log(1 + 1.5 / 1.5) / (1 + 1.5))
 
@@ -124,9 +132,8 @@ def test_bm25_by_hand(spark):
 def test_facets_never_underfill(spark):
     docs = docs_table(spark, [("s", f"s:d:{i}", "word", "", ["Tag"], "", "x", "spec" if i == 5 else "note", None, ["foo"] if i else ["foo-private"]) for i in range(6)])
     fields = lexical.lexical_fields(docs)
-    posted = lexical.postings(fields)
     q = spark.createDataFrame([(1, "word", None, None, " /spec", None, None), (2, "word", None, "/foo/", None, "TAG", None)], "query_id int, text string, source string, domain string, kind string, tag string, status string")
-    scored = lexical.bm25_scores(q, posted, lexical.field_stats(fields, posted))
+    scored = lexical.bm25_scores(q, lexical.token_lists(fields))
     top = lexical.search(lexical.with_facets(scored, q, docs), 1).collect()
     assert {(r.query_id, r.identity) for r in top} == {(1, "s:d:5"), (2, "s:d:1")}
 
