@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns
 of ``documents``. Between stages the rows are written as Parquet and read again.
+
+Defined cases of every stage: null and empty texts are empty texts and pass like any other (one of them stays after
+exact copies, none links to another text, none is contaminated); rows with a null identifier are judged by their text
+and never dropped as near copies; repeated rows count as copies; very long texts are read whole; an empty table gives an
+empty one; columns that ``documents`` doesn't have are passed on untouched, whatever their names.
 """
 
 from __future__ import annotations

@@ -81,7 +81,7 @@ def staged_findings(changes: DataFrame, head: DataFrame, staged: DataFrame, ledg
     """(source, old_path, status, problem): changes of frozen notes that no ledger record covers.
 
     Deletes and renames need a relocate record of that path, HEAD and committed blob, whose target is staged with the
-    same blob; edits need an amend record of that path, HEAD and staged blob; any other status is an error."""
+    same blob, or isn't staged in this source (a move to another one, which ``unpaired_records`` checks); edits need an amend record of that path, HEAD and staged blob; any other status is an error."""
     frozen = frozen_notes(head).select("source", F.col("path").alias("old_path"), blob_sha256(F.col("content")).alias("old_blob"))
     blobs = staged.select("source", F.col("path").alias("new_path"), blob_sha256(F.col("content")).alias("new_blob"))
     hit = changes.select("source", "status", "old_path").join(frozen, ["source", "old_path"])
@@ -113,11 +113,22 @@ def unused_records(ledger: DataFrame, changes: DataFrame, staged: DataFrame, hea
 PAIRED = ["old_identity", "new_identity", "old_path", "new_path", "canonical_git_blob_sha256", "reason"]
 
 
-def unpaired_records(source_ledger: DataFrame, target_ledger: DataFrame) -> DataFrame:
-    """Moves between sources: records of one side without an equal one (in six fields) on the other."""
+def unpaired_records(source_ledger: DataFrame, target_ledger: DataFrame, target_oid: DataFrame | None = None, target_staged: DataFrame | None = None) -> DataFrame:
+    """Moves between sources: records of one side without an equal one (in six fields) on the other, with ``side``.
+
+    With target_oid(source, oid) also target records of another commit (``target head``), with target_staged(source,
+    path, content) those whose new path isn't staged with the recorded blob (``target blob``)."""
     a = source_ledger.select(*PAIRED).distinct()
     b = target_ledger.select(*PAIRED).distinct()
-    return a.join(b, PAIRED, "left_anti").withColumn("side", F.lit("source")).unionByName(b.join(a, PAIRED, "left_anti").withColumn("side", F.lit("target")))
+    out = a.join(b, PAIRED, "left_anti").withColumn("side", F.lit("source")).unionByName(b.join(a, PAIRED, "left_anti").withColumn("side", F.lit("target")))
+    if target_oid is not None:
+        at_head = target_ledger.join(target_oid.select("source", F.col("oid").alias("head_oid")), ["source", "head_oid"], "left_anti")
+        out = out.unionByName(at_head.select(*PAIRED).distinct().withColumn("side", F.lit("target head")))
+    if target_staged is not None:
+        blobs = target_staged.select("source", F.col("path").alias("new_path"), blob_sha256(F.col("content")).alias("canonical_git_blob_sha256"))
+        unlike = target_ledger.join(blobs, ["source", "new_path", "canonical_git_blob_sha256"], "left_anti")
+        out = out.unionByName(unlike.select(*PAIRED).distinct().withColumn("side", F.lit("target blob")))
+    return out
 
 
 def plan_moves(moves: DataFrame, notes: DataFrame, domains: DataFrame, head: DataFrame) -> DataFrame:

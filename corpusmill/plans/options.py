@@ -195,6 +195,16 @@ def amend_plan(spark, sf_dir):
     return found.select("path", F.array_join("problems", "; ").alias("problems"), F.col("canonical_git_blob_sha256").alias("blob_sha256"))
 
 
+def ledger_pairing_checked(spark, sf_dir):
+    """Target records against the target's commit and staged files; a seventh of them name another commit."""
+    _, staged, _, ledger = up.history(spark, sf_dir)
+    moved = ledger.filter("operation = 'relocate'")
+    k = F.regexp_extract("old_path", r"(\d+)", 1).cast("long")
+    target = moved.withColumn("head_oid", F.when(k % 7 == 0, "1" * 40).otherwise(F.col("head_oid")))
+    oid = spark.createDataFrame([("s", up.OID)], "source string, oid string")
+    return audit.unpaired_records(ledger, target, oid, staged).select("old_path", "side")
+
+
 def ledger_v1(spark, sf_dir):
     """First records of old ledgers of six tab-separated fields; a line in eleven is too short."""
     k = F.col("o_orderkey")
@@ -287,7 +297,7 @@ def recent_faults(spark, sf_dir):
     return telemetry.recent_faults(calls).select("verb", F.col("message").alias("event_id"), "n")
 
 
-QUERIES = {f.__name__: f for f in (narrowed_search, unknown_sources, knn_managed, knn_depth, knn_narrowed, old_collections, recall_lexical, recall_semantic, lane_health, recall_enriched, written_hits, gold_violations, gold_drift, gold_fixture, hybrid_gates, gates_pass, foreign_units, fleet_report, fleet_exit, retired_by_sources, amend_plan, ledger_v1, code_pointers_v1, duplicate_domains_v1, name_violations, index_kinds, legacy_docs, keyword_folds, commit_times, scanned_paths, old_artifacts, persisted_sources, recent_faults)}
+QUERIES = {f.__name__: f for f in (narrowed_search, unknown_sources, knn_managed, knn_depth, knn_narrowed, old_collections, recall_lexical, recall_semantic, lane_health, recall_enriched, written_hits, gold_violations, gold_drift, gold_fixture, hybrid_gates, gates_pass, foreign_units, fleet_report, fleet_exit, retired_by_sources, amend_plan, ledger_pairing_checked, ledger_v1, code_pointers_v1, duplicate_domains_v1, name_violations, index_kinds, legacy_docs, keyword_folds, commit_times, scanned_paths, old_artifacts, persisted_sources, recent_faults)}
 
 _ASKED = "asking AS (SELECT item_id AS query_id, CASE item_id % 3 WHEN 0 THEN 'src' || (item_id % 25) END AS asked FROM benchmark)"
 _MARKED = "marked AS (SELECT vec_id, label, 's' || label || ':' || vec_id AS identity, embedding FROM embeddings)"
@@ -333,6 +343,7 @@ ORACLE_SQL = {
     "fleet_exit": f"{_FLEET} SELECT coalesce(CASE WHEN bool_or(exit_class = 1) THEN 1 WHEN bool_or(exit_class = 2) THEN 2 WHEN bool_or(exit_class = 3) THEN 3 END, 0) AS exit_class FROM classed",
     "retired_by_sources": f"{up.SYNC_SQL}, n AS (SELECT source, count(*) AS n_rows FROM own GROUP BY 1), g AS (SELECT * FROM n WHERE source NOT IN (SELECT source FROM documents)) SELECT source, n_rows, NOT (SELECT count(*) FROM g) > 0.5 * (SELECT count(*) FROM n) AS allowed FROM g",
     "amend_plan": f"WITH {up.HEAD_SQL}, x AS (SELECT *, CASE WHEN k % 4 = 0 THEN content ELSE content || '!' END AS new FROM head WHERE k % 3 = 0) SELECT path, {_AMEND} AS problems, sha256(encode('blob ' || octet_length(encode(new))) || '\\x00'::BLOB || encode(new)) AS blob_sha256 FROM x",
+    "ledger_pairing_checked": f"WITH {up.HEAD_SQL}, rec AS (SELECT * FROM c WHERE recorded) SELECT path AS old_path, 'source' AS side FROM rec WHERE status = 'M' UNION ALL SELECT path, 'target head' FROM rec WHERE status <> 'M' AND k % 7 = 0 UNION ALL SELECT path, 'target blob' FROM rec WHERE status <> 'M' AND NOT right_blob",
     "ledger_v1": "WITH l AS (SELECT 's' || (o_orderkey % 5) AS source, o_orderkey AS line, 'd/' || (o_orderkey % 97) AS old_path, 'b' || (o_orderkey % 3) AS blob, 'r' || o_orderkey AS reason FROM orders WHERE o_orderkey % 11 <> 0) SELECT * FROM l WHERE (source, old_path, blob) IN (SELECT (source, old_path, blob) FROM l WHERE line % 2 = 0) QUALIFY row_number() OVER (PARTITION BY source, old_path, blob ORDER BY line) = 1",
     "code_pointers_v1": f"WITH {DOCS_SQL} SELECT source, source_path AS path, CASE WHEN doc_id % 4 = 1 THEN 'V1-CODE-ELLIPSIS' ELSE 'KBV2-CODE-BROKEN' END AS code FROM docs WHERE coalesce(status, '') <> 'frozen' AND (doc_id % 4 = 1 OR (doc_id % 4 = 0 AND (source, 'en/' || (doc_id + 1) || '.md') NOT IN (SELECT (source, source_path) FROM docs)))",
     "duplicate_domains_v1": f"WITH {PATHS_SQL}, m AS (SELECT source, dir, domain FROM dom UNION ALL SELECT source, 'z/' || dir, domain FROM dom WHERE length(dir) % 2 = 0) SELECT source, domain, string_agg(dir, ',' ORDER BY dir) AS dirs FROM m GROUP BY 1, 2 HAVING count(*) >= 2",

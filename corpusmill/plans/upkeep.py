@@ -199,7 +199,7 @@ def orders(spark, sf_dir):
 OID = "0" * 40
 
 
-def _history(spark, sf_dir):
+def history(spark, sf_dir):
     """(head, staged, changes, ledger): every third order changes, by kind of its key; records for some of them."""
     head = orders(spark, sf_dir)
     k = F.col("o_orderkey")
@@ -219,13 +219,13 @@ def _history(spark, sf_dir):
 
 
 def frozen_gate(spark, sf_dir):
-    head, staged, changes, ledger = _history(spark, sf_dir)
+    head, staged, changes, ledger = history(spark, sf_dir)
     oid = spark.createDataFrame([("s", OID)], "source string, oid string")
     return audit.staged_findings(changes, head, staged, ledger, oid).select("old_path", "status", "problem")
 
 
 def unused_records(spark, sf_dir):
-    head, staged, changes, ledger = _history(spark, sf_dir)
+    head, staged, changes, ledger = history(spark, sf_dir)
     return audit.unused_records(ledger, changes, staged, head).select("old_path", "operation")
 
 
@@ -237,7 +237,7 @@ def unapproved_edits(spark, sf_dir):
 
 
 def ledger_violations(spark, sf_dir):
-    _, _, _, ledger = _history(spark, sf_dir)
+    _, _, _, ledger = history(spark, sf_dir)
     k = F.substring_index(F.substring_index("old_path", "/", -1), ".", 1).cast("long")
     bad = ledger.withColumn("k", k).withColumns({"reason": F.when(F.col("k") % 7 == 0, " ").otherwise(F.col("reason")), "head_oid": F.when(F.col("k") % 7 == 1, "xyz").otherwise(F.col("head_oid")), "new_path": F.when(F.col("k") % 7 == 2, "../out.md").otherwise(F.col("new_path"))})
     lines = bad.select("source", F.col("k").alias("line"), F.concat(F.to_json(F.struct(*audit.LEDGER_COLUMNS)), F.when(F.col("k") % 7 == 3, " ").otherwise("")).alias("value"))
@@ -245,7 +245,7 @@ def ledger_violations(spark, sf_dir):
 
 
 def ledger_pairing(spark, sf_dir):
-    _, _, _, ledger = _history(spark, sf_dir)
+    _, _, _, ledger = history(spark, sf_dir)
     left, right = ledger.filter("length(old_path) % 2 = 0 or operation = 'amend'"), ledger.filter("operation = 'relocate'")
     return audit.unpaired_records(left, right).select("old_path", "side")
 
@@ -418,6 +418,12 @@ ORACLE_SQL = {
     "move_plan": f"WITH {DOCS_SQL} SELECT source, source_path AS path, concat_ws('; ', CASE WHEN doc_id % 4 = 3 THEN 'target is not source:domain or source:domain:slug' END, CASE WHEN doc_id % 4 IN (0, 3) THEN 'target domain does not exist' END, CASE WHEN doc_id % 4 = 1 THEN 'target is the note itself' END, CASE WHEN doc_id % 7 = 0 THEN 'note is not committed' END, CASE WHEN doc_id % 2 = 0 AND doc_id % 3 = 0 AND doc_id % 7 <> 0 THEN 'frozen note differs from its commit' END, CASE WHEN (doc_id % 4 = 0 AND FALSE) THEN '' END) AS problems, false AS ok FROM docs",
     "capture_lines": _CAPTURE,
     "stream_capture": _CAPTURE,
+    "capture_notes": r"""WITH c AS (SELECT role AS source, to_timestamp(1700000000 + conv_id % 5) AT TIME ZONE 'UTC' AS ts, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS title, trim(coalesce(text, '')) AS body FROM conversations),
+s AS (SELECT *, regexp_replace(regexp_replace(title, '[^\p{L}\p{M}\p{N}\p{Pc}\-.]+', '-', 'g'), '^[-._]+|[-._]+$', '', 'g') AS slug FROM c),
+n AS (SELECT *, '000-raw/' || strftime(ts, '%Y/%m/%d/%H%M%S') || '-' || left(CASE WHEN slug = '' THEN 'untitled' ELSE slug END, 80) AS base FROM s),
+i AS (SELECT *, row_number() OVER (PARTITION BY source, base ORDER BY title, body) AS i FROM n)
+SELECT source, CASE WHEN title <> '' THEN base || CASE WHEN i = 1 THEN '' ELSE '-' || CASE WHEN i < 100 THEN lpad(i::VARCHAR, 2, '0') ELSE i::VARCHAR END END || '.md' END AS path,
+  CASE WHEN title <> '' THEN sha256('---' || chr(10) || 'status: raw' || chr(10) || 'captured_at: "' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '"' || chr(10) || 'source: "manual"' || chr(10) || '---' || chr(10) || chr(10) || '# ' || title || chr(10) || chr(10) || body || chr(10)) END AS content_sha256 FROM i""",
     "promotion_gate": "WITH c AS (SELECT role AS source, conv_id || '/' || turn AS path, conv_id + turn AS i FROM conversations), x AS (SELECT *, CASE i % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 0 END AS held, CASE i % 3 WHEN 0 THEN 2 WHEN 1 THEN 3 END AS wanted FROM c) SELECT source, path, CASE WHEN wanted IS NULL THEN 'target status must be raw, derived, or canonical' WHEN held IS NULL THEN 'source status must be explicitly declared' WHEN wanted <> held + 1 THEN 'invalid lifecycle transition' WHEN wanted = 3 AND i % 5 < 2 THEN 'canonical promotion requires last_verified=YYYY-MM-DD' WHEN wanted = 3 AND i % 2 <> 0 THEN 'canonical promotion requires at least one evidence item' END AS problem FROM x",
     "call_stats": "SELECT event_type AS verb, count(*) AS n, quantile_disc(value, 0.5) AS p50_ms, quantile_disc(value, 0.95) AS p95_ms, max(value) AS max_ms, CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END::DOUBLE AS error_rate FROM events WHERE event_type <> '' GROUP BY 1",
     "stream_sync": f"WITH {DOCS_SQL}, {_T}, seen AS (SELECT DISTINCT text_hash FROM th WHERE doc_id % 2 = 0 OR doc_id % 3 = 0) SELECT identity, CASE WHEN doc_id % 2 = 0 OR doc_id % 3 = 0 THEN 'unchanged' WHEN text_hash IN (SELECT text_hash FROM seen) THEN 'rekey' ELSE 'embed' END AS action FROM th",
