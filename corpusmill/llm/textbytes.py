@@ -63,24 +63,25 @@ _powers: dict[tuple[int, int], np.ndarray] = {}
 
 
 def powers(n: int, base: int, prime: int) -> np.ndarray:
-    """The first n powers of a base modulo a prime."""
-    got = _powers.get((base, prime), np.ones(1, U64))
+    """The first n powers of a base modulo a prime, in 32 bits each."""
+    got = _powers.get((base, prime), np.ones(1, np.uint32))
     while len(got) < n:
-        got = np.concatenate([got, got * U64(pow(base, len(got), prime)) % U64(prime)])
-    if len(got) <= 1 << 22:
+        got = np.concatenate([got, (got * U64(pow(base, len(got), prime)) % U64(prime)).astype(np.uint32)])
+    if len(got) <= 1 << 20:
         _powers[base, prime] = got
     return got[:n]
 
 
 class Fingerprints:
-    """Polynomial fingerprints of every substring of a byte array, in constant time each: a pair modulo two primes, as
-    polynomials modulo a power of two can't tell some regular strings apart."""
+    """Polynomial fingerprints of every substring of an array of bytes, or of hashes, in constant time each: a pair modulo
+    two primes, as polynomials modulo a power of two can't tell some regular strings apart."""
 
     def __init__(self, data: np.ndarray, which: int = 0):
         self.parts, n = [], len(data)
         for k, (prime, base) in enumerate(zip(PRIMES, BASES[which])):
             sums = np.zeros(n + 1, U64)  # of numbers below 2**31: no overflow below 2**33 bytes
-            np.cumsum(_table(which, k)[data] * powers(n, base, prime) % U64(prime), out=sums[1:])
+            values = _table(which, k)[data] if data.dtype == np.uint8 else (data >> U64(32 * k)) % U64(prime)
+            np.cumsum(values * powers(n, base, prime) % U64(prime), out=sums[1:])
             self.parts.append((sums, powers(n + 1, pow(base, -1, prime), prime), U64(prime)))
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corpusmill.llm import bpe, chat, decontaminate, exact_dedup, near_dedup, pretokens, quality, suffix_dedup, textbytes, token_counts, token_files, tokens, warc
+from corpusmill.llm import bpe, chat, decontaminate, exact_dedup, narrowing, near_dedup, pretokens, quality, suffix_dedup, textbytes, token_counts, token_files, tokens, warc
 from corpusmill.llm.components import connected_components
 from corpusmill.llm.pretokens import Pieces
 from corpusmill.llm.store import new_path
@@ -325,6 +325,38 @@ def test_repeats_equal_brute_force(spark, docs, empty, rows):
     assert sorted((r.n_removed for r in edge.collect())) == sorted(r[1] for r in removed_by_force([t for _, t in rows], 400))
 
 
+def passages_by_force(texts, words):
+    lists = [WORD.findall(lower(t)) for t in texts]
+    seen = Counter(tuple(w[p : p + words]) for w in lists for p in range(len(w) - words + 1))
+    return [len({q for p in range(len(w) - words + 1) if seen[tuple(w[p : p + words])] > 1 for q in range(p, p + words)}) for w in lists]
+
+
+def test_passages_equal_brute_force(spark, rows):
+    passage = [prose(20, 70).upper(), prose(24, 71), prose(25, 72), prose(60, 73)]
+    texts = [t for _, t in rows] + [prose(30, 80 + i) + "\n" + p + " -- " + prose(30, 90 + i) for i in range(3) for p in passage] + ["ab " * 300, passage[3], passage[1]]
+    table = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, n string")
+    got = suffix_dedup.remove_repeats_and_count_passages(table).orderBy("doc_id").collect()
+    assert [r.n_passage_words for r in got] == passages_by_force(texts, 51) and max(r.n_passage_words for r in got) > 60
+    assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == removed_by_force(texts, 400)
+    short = suffix_dedup.passage_words(table, words=7).collect()
+    assert sorted(r.n for r in short) == sorted(n for n in passages_by_force(texts, 7) if n)
+
+
+def test_covered_units():
+    spans = [[(0, 5), (3, 7), (9, 10)], [], [(2, 4), (2, 4), (0, 1)], None, [(5, 50), (6, 7), (49, 60)]]
+    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    array = pa.array([None if x is None else [{"start": a, "end": b} for a, b in x] for x in spans], kind)
+    assert suffix_dedup.covered(array).tolist() == [8, 0, 3, 0, 55] and suffix_dedup.covered(array[:0]).tolist() == []
+
+
+def test_narrowing_drops_nothing_wanted(spark):
+    rows, wanted = spark.range(0, 4000), spark.range(0, 4000, 7)
+    assert wanted.exceptAll(narrowing.perhaps_among(rows, "id", wanted)).isEmpty()
+    some, others = narrowing.split_among(rows, "id", wanted)
+    assert some.count() + others.count() == 4000 and others.intersect(wanted).isEmpty() and others.count() > 3000
+    assert narrowing.perhaps_among(rows, "id", wanted.limit(0)).isEmpty()
+
+
 # 7
 
 
