@@ -7,8 +7,8 @@ the owner inserts whole byte strings into a compressed radix trie. A trie holds
 prefix) at a time: it is emitted and dropped when the sort order leaves it, so memory is bounded by a subtree.
 
 Defined cases: null identifiers rank below all others (``kept`` compares null-safely, so a group with null identifiers
-only keeps those rows); rows repeated with the same identifier and text are all ``kept``; an empty table gives an empty
-result; other columns are ignored.
+only keeps those rows); rows repeated with the same identifier and text are all ``kept`` (``keep_distinct`` leaves one);
+a very long text is inserted whole, as one string; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from .narrowing import split_among
 from .store import materialise
 from .textbytes import slices
 
@@ -161,5 +162,9 @@ def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.string())], [*batch.schema.names, sha])
 
     rows = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(sha, StringType())]))
-    rows = rows.join(owners.select(F.col("text_sha256").alias(sha), F.col("keep_id").alias(keep)), sha)
-    return rows.filter(F.col(id_col).cast("long").eqNullSafe(F.col(keep))).dropDuplicates([sha]).select(docs.columns)
+    groups = owners.filter("group_size > 1").select(F.col("text_sha256").alias(sha), F.col("keep_id").alias(keep))
+    # only texts that may have copies are shuffled; each of the others stays where it is
+    copies, single = split_among(rows, sha, groups)
+    joined = copies.join(groups.withColumn("__copied", F.lit(True)), sha, "left")
+    kept = joined.filter(F.col("__copied").isNull() | F.col(id_col).cast("long").eqNullSafe(F.col(keep))).dropDuplicates([sha])
+    return single.select(docs.columns).union(kept.select(docs.columns))
