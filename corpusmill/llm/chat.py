@@ -10,9 +10,10 @@ those of the template. Each rendered message is one row of output, in order of (
 characters under the loss mask (the assistant's text); a conversation's text is its rows joined. Digests over whole
 conversations are folded from sorted rows as a stream, so a conversation of any length takes constant memory.
 
-Defined cases: a null text is empty, a null role is an empty role (never an assistant's), null conversation ids form a
-conversation of their own, null turns come first, rows that share conversation and turn are parts in order of role and
-text, each a turn of its own; an empty table gives only what is added to it; other columns are ignored.
+Defined cases: a very long text is one row; a null text is empty, a null role is an empty role (never an assistant's),
+null conversation ids form a conversation of their own, null turns come first, rows that share conversation and turn are
+parts in order of role and text, each a turn of its own; an empty table gives only what is added to it; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -44,10 +45,21 @@ def unescape(text: Column) -> Column:
 
 
 def message_events(conversations: DataFrame) -> DataFrame:
-    """conversations(conv_id, turn, role, text), one row per finished message, as a log."""
-    rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
+    """conversations(conv_id, turn, role, text), one row per finished message, as the log of a chat that streams: half
+    of a text begins a message and a delta brings the rest; a quarter of the messages begin as a draft that an edit
+    replaces, and a quarter are regenerated."""
+    rows = conversations.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     part = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
-    return rows.select("conv_id", "turn", part.cast("long").alias("part"), F.lit(0).cast("long").alias("seq"), F.lit("message").alias("kind"), "role", "text")
+    half = F.floor(F.length("text") / 2).cast("int")
+    left, rest = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))
+    events = lambda *es: F.array(*(F.struct(F.lit(i).cast("long").alias("seq"), F.lit(kind).alias("kind"), (F.col("role") if i == 0 else F.lit(None).cast("string")).alias("role"), text.alias("text")) for i, (kind, text) in enumerate(es)))
+    kind = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(4))
+    log = (
+        F.when(kind == 0, events(("message", rest), ("edit", F.col("text"))))
+        .when(kind == 1, events(("message", rest), ("regenerate", F.lit(None).cast("string")), ("delta", left), ("delta", rest)))
+        .otherwise(events(("message", left), ("delta", rest)))
+    )
+    return rows.withColumn("part", part.cast("long")).select("conv_id", "turn", "part", F.inline(log)).select(*MESSAGE, "seq", "kind", "role", "text")
 
 
 def fold_events(events: DataFrame) -> DataFrame:
