@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .store import materialise
 
 #: Bits of a map: at most BITS / 64 rows are broadcast, whatever the input.
-BITS = 1 << 24
+BITS = 1 << 22
 
 
 def _place(column: str) -> tuple[Column, Column]:
