@@ -182,7 +182,7 @@ class BpeEncoder:
 
     def __init__(self, path: str):
         self.path, self.bpe, self.values = path, bpe(path), []
-        self.cache = PieceCache(lambda pieces: self.values.extend(self._values(pieces)), self.values.clear, most=3 << 19)
+        self.cache = PieceCache(lambda pieces: self.values.extend(self._values(pieces)), self.values.clear, most=1 << 20)
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.bpe.added, key=len, reverse=True))) + ")") if self.bpe.added else None
 
     def _value(self, ids: list[int]) -> tuple[int, bytes, bytes]:
