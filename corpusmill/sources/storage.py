@@ -30,4 +30,13 @@ def materialise(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back."""
     path = new_path(df.sparkSession, label)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._written_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialise`` wrote, once nothing that is still to run reads them."""
+    for table in tables:
+        path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._written_at)
+        path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
