@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, exact_dedup, near_dedup, quality, suffix_dedup, token_counts, token_files, warc
+from . import bpe, centroids, chat, decontaminate, exact_dedup, merkle, near_dedup, quality, suffix_dedup, token_counts, token_files, warc
 from .store import new_path
 
 
@@ -67,6 +67,14 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.written(chat.format_conversations(rows)))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(merkle.build(table(spark, sf_dir, "documents"), {"text": merkle.tampered_text()}))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_quality": op2_quality,
@@ -78,10 +86,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8_bpe,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_chat": op10_chat,
+    "op11_centroids": op11_centroids,
+    "op12_merkle": op12_merkle,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+def _centroid_round(i: int) -> str:
+    """Common table expressions of one round: a assigns vectors to the centroids c, m sums them, and the next c follows."""
+    return f"""
+        a{i} AS MATERIALIZED (SELECT r, any_value(q) AS q, arg_min(cluster, d * 1000 + cluster) AS cluster
+            FROM (SELECT r, q, cluster, list_sum(list_transform(range(1, 65), lambda j: (q[j] - c[j]) * (q[j] - c[j]))) AS d FROM v, c{i}) GROUP BY r),
+        m{i} AS (SELECT cluster, j, sum(q[j]) AS s, count(*) AS n FROM a{i}, (SELECT unnest(range(1, 65)) AS j) GROUP BY cluster, j),
+        c{i + 1} AS MATERIALIZED (SELECT cluster, coalesce(any_value(moved), any_value(c)) AS c FROM c{i}
+            LEFT JOIN (SELECT cluster, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY j) AS moved FROM m{i} GROUP BY cluster) USING (cluster) GROUP BY cluster)"""
+
+
+def _leaf(text: str) -> str:
+    framed = (f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}, '-')" for c in ("doc_id", "source", "lang", "n_chars", text))
+    return f"sha256({' || '.join(framed)})"
+
+
+_LOWER_OR_NULL = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: The checksum bit by bit, as DuckDB has no function for it.
+_CRC32 = """xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+            lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))))"""
+
 ORACLE_SQL: dict[str, str] = {
     "op5_warc": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
@@ -121,4 +152,36 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(ids, '')) AS items_sha256,
                coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
         FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN items USING (doc_id)""",
+    "op11_centroids": f"""
+        WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+            WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND coalesce(isfinite(x), false)))),
+        c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), q) - 1 AS cluster, q AS c FROM v QUALIFY cluster < 16),
+        {','.join(_centroid_round(i) for i in range(3))},
+        a AS (SELECT r, arg_min(cluster, d * 1000 + cluster) AS cluster, min(d) AS d
+            FROM (SELECT r, cluster, list_sum(list_transform(range(1, 65), lambda j: (q[j] - c[j]) * (q[j] - c[j]))) AS d FROM v, c3) GROUP BY r)
+        SELECT vec_id, cluster::INTEGER AS cluster, d::BIGINT AS distance, sum(d) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia,
+               sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+        FROM a JOIN v USING (r) JOIN c3 USING (cluster)""",
+    "op12_merkle": f"""
+        WITH RECURSIVE l AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce('=' || source, '') AS k, {_leaf('text')} AS leaf,
+            CASE WHEN {_CRC32} % 5 = 0 THEN {_leaf(_LOWER_OR_NULL)} ELSE {_leaf('text')} END AS altered FROM documents),
+        p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l),
+        t AS (SELECT k, 0 AS lvl, pos, leaf AS h, count(*) OVER (PARTITION BY k) AS n FROM p
+              UNION ALL
+              SELECT k, lvl + 1, run, h, count(*) OVER (PARTITION BY k) FROM (SELECT k, lvl, pos // 16 AS run, sha256(string_agg(h, '' ORDER BY pos)) AS h FROM t WHERE n > 1 GROUP BY k, lvl, pos // 16)),
+        sub AS MATERIALIZED (SELECT k, h AS subroot, row_number() OVER (ORDER BY k) - 1 AS pos FROM t WHERE n = 1),
+        u AS (SELECT 100 AS lvl, pos, subroot AS h, count(*) OVER () AS n FROM sub
+              UNION ALL
+              SELECT lvl + 1, run, h, count(*) OVER () FROM (SELECT lvl, pos // 16 AS run, sha256(string_agg(h, '' ORDER BY pos)) AS h FROM u WHERE n > 1 GROUP BY lvl, pos // 16)),
+        root AS (SELECT h AS root FROM u WHERE n = 1),
+        runs AS MATERIALIZED (SELECT k, lvl, pos // 16 AS run, string_agg(h, '' ORDER BY pos) AS hs FROM t WHERE n > 1 GROUP BY ALL
+              UNION ALL SELECT NULL, lvl, pos // 16, string_agg(h, '' ORDER BY pos) FROM u WHERE n > 1 GROUP BY ALL),
+        seg AS (SELECT r, lvl, left(hs, 64 * (node % 16)) AS b, substr(hs, 64 * (node % 16) + 65) AS a
+              FROM (SELECT r, lvl, hs, pos // (16 ** lvl)::BIGINT AS node FROM p JOIN runs ON p.k = runs.k AND runs.run = pos // (16 ** (lvl + 1))::BIGINT
+                    UNION ALL SELECT r, lvl, hs, sub.pos // (16 ** (lvl - 100))::BIGINT FROM p JOIN sub ON p.k = sub.k JOIN runs ON runs.k IS NULL AND runs.run = sub.pos // (16 ** (lvl - 99))::BIGINT)),
+        proofs AS (SELECT r, string_agg(b || a, '' ORDER BY lvl) AS proof, list(b || '.' || a ORDER BY lvl) AS segs FROM seg GROUP BY r)
+        SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256,
+               list_reduce(list_concat([altered], coalesce(segs, [])), lambda h, s: sha256(replace(s, '.', h))) AS folded_root,
+               list_reduce(list_concat([altered], coalesce(segs, [])), lambda h, s: sha256(replace(s, '.', h))) = root AS verified
+        FROM p JOIN sub USING (k) LEFT JOIN proofs USING (r), root""",
 }

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusmill.sources.storage import materialise, new_path, shared_dir
+from corpusmill.sources.storage import discard, materialise, new_path, shared_dir
 
-__all__ = ["file_system", "materialise", "new_path", "shared_dir"]
+__all__ = ["discard", "file_system", "materialise", "new_path", "shared_dir"]
 
 
 def file_system(uri: str):
