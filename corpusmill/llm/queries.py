@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, centroids, chat, decontaminate, exact_dedup, merkle, near_dedup, quality, suffix_dedup, token_counts, token_files, warc
+from . import bpe, centroids, chat, decontaminate, exact_dedup, merkle, near_dedup, passage_dedup, quality, suffix_dedup, token_counts, token_files, warc
 from .store import new_path
 
 
@@ -75,6 +75,10 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(merkle.build(table(spark, sf_dir, "documents"), {"text": merkle.tampered_text()}))
 
 
+def op13_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passage_dedup.remove_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op2_quality": op2_quality,
@@ -88,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat": op10_chat,
     "op11_centroids": op11_centroids,
     "op12_merkle": op12_merkle,
+    "op13_passages": op13_passages,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -184,4 +189,15 @@ ORACLE_SQL: dict[str, str] = {
                list_reduce(list_concat([altered], coalesce(segs, [])), lambda h, s: sha256(replace(s, '.', h))) AS folded_root,
                list_reduce(list_concat([altered], coalesce(segs, [])), lambda h, s: sha256(replace(s, '.', h))) = root AS verified
         FROM p JOIN sub USING (k) LEFT JOIN proofs USING (r), root""",
+    "op13_passages": r"""
+        WITH d AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        g AS (SELECT r, i, sha256(array_to_string(w[i:i + 19], ' ')) AS h FROM (SELECT r, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+        later AS (SELECT r, i FROM g QUALIFY row_number() OVER (PARTITION BY h ORDER BY r, i) > 1),
+        edges AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS p FROM later),
+        gone AS (SELECT DISTINCT r, unnest(range(greatest(i, coalesce(p + 20, 0)), i + 20)) AS j FROM edges),
+        lost AS (SELECT r, count(*) AS n FROM gone GROUP BY r),
+        runs AS (SELECT r, count(*) FILTER (p IS NULL OR i > p + 20) AS n FROM edges GROUP BY r),
+        kept AS (SELECT r, string_agg(word, ' ' ORDER BY j) AS t FROM (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d) ANTI JOIN gone USING (r, j) GROUP BY r)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(lost.n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256, coalesce(runs.n, 0)::BIGINT AS n_passages
+        FROM d LEFT JOIN lost USING (r) LEFT JOIN runs USING (r) LEFT JOIN kept USING (r)""",
 }
