@@ -136,4 +136,5 @@ def natural_tokens(text: Column, lexicon: frozenset[str] | None = None, longest:
         single = lambda run, kept: F.filter(F.transform(F.sequence(F.lit(1), F.length(run)), lambda i: run.substr(i, F.lit(1))), lambda c: ~F.exists(kept, lambda g: F.contains(g, c)))
         cut = lambda run: F.concat(hits(run), single(run, hits(run)))
     tokens = F.flatten(F.transform(word, lambda w: F.when(w.rlike(rf"^{CJK}"), cut(w)).otherwise(F.array(w))))
-    return F.filter(tokens, lambda t: (F.length(t) <= MAX_TOKEN) & (F.trim(t) != ""))
+    tokens = F.when(text.rlike(CJK), tokens).otherwise(slug_tokens(text))  # most texts have no run to cut
+    return F.filter(tokens, lambda t: F.length(t) <= MAX_TOKEN)

@@ -6,7 +6,7 @@ queries is joined to the postings by term, summed by field weight, masked by fac
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,10 +21,10 @@ K1, B = 1.5, 0.75
 GLOBAL = "*"
 
 
-def lexical_fields(docs: DataFrame) -> DataFrame:
-    """(source, identity, title, body, source_path): body is description, keywords and text together."""
+def lexical_fields(docs: DataFrame, others: Sequence[str] = ()) -> DataFrame:
+    """(source, identity, title, body, source_path, others): body is description, keywords and text together."""
     body = F.concat_ws(" ", "description", F.array_join("keywords", " "), "body_text")
-    return docs.select("source", "identity", "title", body.alias("body"), "source_path")
+    return docs.select("source", "identity", "title", body.alias("body"), "source_path", *others)
 
 
 def postings(fields: DataFrame, profile: str = "v1", natural: Callable[[Column], Column] = natural_tokens, weights: dict[str, float] = WEIGHTS) -> DataFrame:

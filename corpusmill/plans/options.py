@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import point_id
-from ..operators import audit, checks, compile as compile_, conform, corpus, evaluate, fusion, lexical, semantic, sync, telemetry
+from ..operators import audit, bounded, checks, compile as compile_, conform, corpus, evaluate, fusion, lexical, semantic, sync, telemetry
 from ..schemas import GOLD
 from ..sources import ndjson
 from ..sources import notes as note_trees
@@ -33,7 +33,8 @@ def _asking(spark, sf_dir):
 
 
 def narrowed_search(spark, sf_dir):
-    return lexical.search(lexical.narrow(r.rounded(r.scored(spark, sf_dir)), _asking(spark, sf_dir)), K)
+    needs = _asking(spark, sf_dir).withColumn("needs", bounded.facet_needs("source"))
+    return bounded.best(r.matched(spark, sf_dir, needs), K, digits=6)
 
 
 def unknown_sources(spark, sf_dir):

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import evaluate, fusion, lexical, semantic
+from ..operators import bounded, evaluate, fusion, lexical, semantic
 from ..sources.export import export_hits
 from ..sources.storage import materialise
 from .standins import DOCS_SQL, docs, table
@@ -42,34 +42,29 @@ def field_stats(spark, sf_dir):
     return lexical.field_stats(fields, lexical.postings(fields)).select("corpus", "field", "n_docs", F.round("avgdl", 6).alias("avgdl"))
 
 
-def scored(spark, sf_dir, profile="v1", tokens=None):
-    return lexical.bm25_scores(asked(spark, sf_dir), tokens or _tokens(spark, sf_dir), profile)
-
-
-def _tokens(spark, sf_dir):
-    return materialise(lexical.token_lists(_fields(spark, sf_dir)), "tokens")
-
-
-def rounded(hits):
-    return hits.withColumn("score", F.round("score", 6))
+def matched(spark, sf_dir, queries=None):
+    """The query terms counted in all documents, once for every profile and cut."""
+    d = docs(spark, sf_dir)
+    fields = lexical.lexical_fields(d.withColumn("facets", bounded.facet_keys()), ["facets"])
+    return bounded.match(asked(spark, sf_dir) if queries is None else queries, fields)
 
 
 def bm25_topk(spark, sf_dir):
     """Ten best of all sources, each scored within its source."""
-    return lexical.search(rounded(scored(spark, sf_dir)), K)
+    return bounded.best(matched(spark, sf_dir), K, digits=6)
 
 
 def bm25_per_source(spark, sf_dir):
-    return lexical.top_k(rounded(scored(spark, sf_dir)), 3, ["source"])
+    return bounded.best(matched(spark, sf_dir), 3, per_source=True, digits=6)
 
 
 def bm25_global(spark, sf_dir):
-    return lexical.top_k(rounded(scored(spark, sf_dir, "v2")), K)
+    return bounded.best(matched(spark, sf_dir), K, "v2", digits=6)
 
 
 def bm25_facets(spark, sf_dir):
-    found = rounded(scored(spark, sf_dir))
-    return lexical.search(lexical.with_facets(found, asked(spark, sf_dir), docs(spark, sf_dir)), K)
+    needs = asked(spark, sf_dir).withColumn("needs", bounded.facet_needs("domain", "kind", "status", "tag"))
+    return bounded.best(matched(spark, sf_dir, needs), K, digits=6)
 
 
 def query_features(spark, sf_dir):
@@ -101,9 +96,9 @@ def knn_dedup(spark, sf_dir):
 def lanes(spark, sf_dir):
     """Lexical: the per-source profile; the other lane: the global profile, with hashes as an index would hold them. Cut
     where a bounded search cuts: hits beyond these depths can't be fused."""
-    d, tokens = docs(spark, sf_dir), _tokens(spark, sf_dir)
-    a = lexical.top_k(rounded(scored(spark, sf_dir, "v1", tokens)), fusion.DEPTH).drop("rank")
-    b = lexical.top_k(rounded(scored(spark, sf_dir, "v2", tokens)), fusion.RAW_DEPTH).drop("rank")
+    d, found = docs(spark, sf_dir), matched(spark, sf_dir)
+    a = bounded.best(found, fusion.DEPTH, "v1", digits=6).drop("rank")
+    b = bounded.best(found, fusion.RAW_DEPTH, "v2", digits=6).drop("rank")
     n = F.col("doc_id")
     held = d.select(
         "source", "identity",
@@ -167,14 +162,14 @@ def _gold(spark, sf_dir):
 
 def _ranks(gold, found):
     own = gold.select("query_id", "source").distinct()
-    hits = lexical.top_k(rounded(found).join(own, ["query_id", "source"], "left_semi"), K, ["source"])
+    hits = found.join(own, ["query_id", "source"], "left_semi")
     return materialise(evaluate.gold_ranks(gold, hits), "gold-ranks")
 
 
 def both_ranks(spark, sf_dir, profiles=("v1", "v2")):
-    """Ranks of the gold under each profile, from one gold set and one table of tokens."""
-    gold, tokens = _gold(spark, sf_dir), _tokens(spark, sf_dir)
-    return [_ranks(gold, scored(spark, sf_dir, p, tokens)) for p in profiles]
+    """Ranks of the gold under each profile, from one gold set and one table of matches."""
+    gold, found = _gold(spark, sf_dir), matched(spark, sf_dir)
+    return [_ranks(gold, bounded.best(found, K, p, per_source=True, digits=6)) for p in profiles]
 
 
 def gold_metrics(spark, sf_dir):

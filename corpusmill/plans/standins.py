@@ -9,6 +9,7 @@ from ..functions.text import body_text, source_hash, title_of
 from ..operators.compile import compiled_json
 from ..operators.conform import KINDS
 from ..schemas import DOC_COLUMNS, DOC_SCHEMA
+from ..sources.storage import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,7 +51,7 @@ HEADERS = (
 
 def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as notes(doc_id, source, path, content): headers by doc_id, a heading on every second."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))
     body = F.concat(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("# Title "), "doc_id", F.lit("\n"))).otherwise(""), F.coalesce("text", F.lit("")))
     content = F.when(F.col("doc_id") % 6 == 0, body)
     for i, header in enumerate(HEADERS):
@@ -74,7 +75,7 @@ NOTES_SQL = (
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as compiled documents with doc_id: source, domain = lang, slug = doc_id; kind and status by doc_id."""
-    d = table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
+    d = spread(table(spark, sf_dir, "documents")).withColumn("text", F.coalesce("text", F.lit("")))
     kind = F.element_at(F.array(*map(F.lit, KINDS)), (F.col("doc_id") % 7 + 1).cast("int"))
     body = body_text(F.col("text"))
     out = d.select(

@@ -40,3 +40,10 @@ def discard(*tables: DataFrame) -> None:
     for table in tables:
         path = table.sparkSession._jvm.org.apache.hadoop.fs.Path(table._written_at)
         path.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows of a table in fewer files than the session has cores, dealt out evenly for heavy work on each: a file of one
+    row group is one task, however many cores wait. A table of many files is left as it is."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if 0 < len(rows.inputFiles()) < cores else rows
