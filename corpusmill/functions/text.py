@@ -116,7 +116,8 @@ def slug_tokens(text: Column) -> Column:
 
 
 #: The ranges of CJK ideographs that the planner counts.
-CJK = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}\x{2B740}-\x{2B81F}\x{2B820}-\x{2CEAF}\x{2F800}-\x{2FA1F}]"
+CJK_RANGES = ((0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x2A6DF), (0x2A700, 0x2B73F), (0x2B740, 0x2B81F), (0x2B820, 0x2CEAF), (0x2F800, 0x2FA1F))
+CJK = "[" + "".join(rf"\x{{{low:X}}}-\x{{{high:X}}}" for low, high in CJK_RANGES) + "]"
 MAX_TOKEN = 40
 
 

@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.segment import UNIT, segmenter
 from ..operators import bounded, evaluate, fusion, lexical, semantic
 from ..sources.export import export_hits
-from ..sources.storage import materialise
+from ..sources.storage import materialise, spread
 from .standins import DOCS_SQL, docs, table
 
 K = 10
@@ -71,6 +72,22 @@ def query_features(spark, sf_dir):
     return fusion.plan_trace(asked(spark, sf_dir))
 
 
+#: Stand-ins for 26 letters.
+IDEOGRAPHS = "".join(chr(0x4E00 + i) for i in range(26))
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
+
+def cjk_tokens(spark, sf_dir):
+    """Documents with ideographs for letters, cut by a lexicon of their own words of two to four letters (at most 26^2 +
+    26^3 + 26^4): each token with its documents and occurrences."""
+    d = spread(table(spark, sf_dir, "documents")).select("doc_id", F.translate(F.lower(F.coalesce("text", F.lit(""))), LETTERS, IDEOGRAPHS).alias("text"))
+    run = r"([\x{4E00}-\x{4E19}]+)"
+    words = d.select(F.explode(F.regexp_extract_all("text", F.lit(run), 1)).alias("term")).filter("length(term) between 2 and 4")
+    natural = segmenter(words.groupBy("term").agg(F.count("*").alias("freq")))
+    tokens = d.select("doc_id", F.explode(natural(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    return tokens.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
+
+
 def points(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"), "label")
 
@@ -193,7 +210,7 @@ def ab_verdict(spark, sf_dir):
     return evaluate.ab_verdict(candidate, default)
 
 
-QUERIES = {f.__name__: f for f in (postings, postings_rows, field_stats, bm25_topk, bm25_per_source, bm25_global, bm25_facets, query_features, knn_topk, knn_filtered, knn_dedup, stale_gate, rrf_fusion, kind_prior, recall_health, export_ranked, gold_metrics, gold_slices, gates, ab_verdict)}
+QUERIES = {f.__name__: f for f in (postings, postings_rows, field_stats, bm25_topk, bm25_per_source, bm25_global, bm25_facets, query_features, cjk_tokens, knn_topk, knn_filtered, knn_dedup, stale_gate, rrf_fusion, kind_prior, recall_health, export_ranked, gold_metrics, gold_slices, gates, ab_verdict)}
 
 _RUNS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 _TERMS = f"""
@@ -272,6 +289,28 @@ ORACLE_SQL = {
     "bm25_global": f"{_BOTH} SELECT query_id, source, identity, score, row_number() OVER (PARTITION BY query_id {_ORDER}) AS rank FROM v2 QUALIFY rank <= {K}",
     "bm25_facets": f"{V1_SQL}, kept AS (SELECT v1.* FROM v1 JOIN docs USING (source, identity) WHERE {_FACET}) {search_sql('kept', K)}",
     "query_features": r"SELECT item_id AS query_id, len(regexp_extract_all(text, '[\x{4E00}-\x{9FFF}]'))::INT AS n_cjk, len(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_:-]*'))::INT AS n_identifiers, len(code)::INT AS n_code, false AS low_anchor, len(code) >= 2 AS strong_anchor, CASE WHEN len(code) >= 2 THEN 2.0 ELSE 1.0 END::DOUBLE AS w_lexical, 1.0::DOUBLE AS w_semantic, NULL::INT AS semantic_depth FROM (SELECT *, list_filter(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_:-]*'), lambda t: regexp_matches(t, '[0-9_:-]') OR (regexp_matches(t, '[a-z]') AND regexp_matches(t, '[A-Z]')) OR (regexp_matches(t, '[A-Z]') AND NOT regexp_matches(t, '[a-z]') AND length(t) >= 2)) AS code FROM benchmark)",
+    "cjk_tokens": rf"""
+        WITH RECURSIVE t AS (SELECT doc_id, unnest(regexp_extract_all(translate(lower(coalesce(text, '')), '{LETTERS}', '{IDEOGRAPHS}'), '[\p{{L}}\p{{N}}]+')) AS w FROM documents),
+        parts AS MATERIALIZED (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest(regexp_extract_all(w, '[\x{{4E00}}-\x{{4E19}}]+|[^\x{{4E00}}-\x{{4E19}}]+')) AS w FROM t) GROUP BY ALL),
+        runs AS MATERIALIZED (SELECT w, sum(c) AS c FROM parts WHERE w >= '{IDEOGRAPHS[0]}' AND w < chr({0x4E1A}) GROUP BY w),
+        whole AS (SELECT doc_id, unnest(regexp_extract_all(translate(lower(coalesce(text, '')), '{LETTERS}', '{IDEOGRAPHS}'), '[\x{{4E00}}-\x{{4E19}}]+')) AS w FROM documents),
+        f AS (SELECT w AS term, count(*) AS n FROM whole WHERE length(w) BETWEEN 2 AND 4 GROUP BY 1),
+        lex AS MATERIALIZED (SELECT term, floor({UNIT} * ln((SELECT sum(n) FROM f) / n) + 0.5)::BIGINT AS cost FROM f),
+        one AS (SELECT floor({UNIT} * ln((SELECT sum(n) FROM f)) + 0.5)::BIGINT AS cost),
+        dp AS (SELECT w, length(w) AS i, [0, 9e15::BIGINT, 9e15::BIGINT, 9e15::BIGINT] AS c, []::BIGINT[] AS lens FROM runs
+               UNION ALL
+               SELECT w, i - 1, [m] || c[1:3], [CASE m WHEN k4 THEN 4 WHEN k3 THEN 3 WHEN k2 THEN 2 ELSE 1 END] || lens
+               FROM (SELECT *, least(k1, k2, k3, k4) AS m FROM (SELECT w, i, c, lens, one.cost + c[1] AS k1, coalesce(l2.cost + c[2], 9e15::BIGINT) AS k2, coalesce(l3.cost + c[3], 9e15::BIGINT) AS k3, coalesce(l4.cost + c[4], 9e15::BIGINT) AS k4
+                     FROM dp LEFT JOIN lex l2 ON l2.term = substr(w, i, 2) LEFT JOIN lex l3 ON l3.term = substr(w, i, 3) LEFT JOIN lex l4 ON l4.term = substr(w, i, 4), one WHERE i > 0))),
+        walk AS (SELECT w, lens, 1 AS p, NULL::VARCHAR AS word FROM dp WHERE i = 0
+                 UNION ALL
+                 SELECT w, lens, (p + lens[p])::INTEGER, substr(w, p, lens[p]) FROM walk WHERE p <= length(w)),
+        words AS MATERIALIZED (SELECT w, word FROM walk WHERE word IS NOT NULL),
+        grams AS (SELECT w, word AS term FROM words UNION ALL
+                  SELECT w, substr(word, i, n) FROM (SELECT w, word, n, unnest(range(1, length(word) - n + 2)) AS i FROM words, (SELECT unnest([2, 3]) AS n) WHERE length(word) > n) SEMI JOIN lex ON lex.term = substr(word, i, n)),
+        tok AS (SELECT doc_id, term, c FROM parts JOIN grams USING (w) UNION ALL
+                SELECT doc_id, w, c FROM parts ANTI JOIN runs USING (w) WHERE length(w) <= 40)
+        SELECT term, count(DISTINCT doc_id) AS df, sum(c)::BIGINT AS tf FROM tok GROUP BY term""",
     "knn_topk": f"SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank, round(s, 5) AS score FROM ({_knn('')}) QUALIFY rank <= {K}",
     "knn_filtered": f"SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank, round(s, 5) AS score FROM ({_knn('AND p.label IN (1, 3, 5)')}) QUALIFY rank <= {K}",
     "knn_dedup": f"SELECT query_id, label, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, label, vec_id) AS rank, round(s, 5) AS score FROM (SELECT * FROM ({_knn('')}) QUALIFY row_number() OVER (PARTITION BY query_id, label ORDER BY s DESC, vec_id) = 1) QUALIFY rank <= {K}",
