@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import embedding_text, point_id, prefixes, sha256_hex
+from ..sources.keyed import KeyedTable
+from ..sources.storage import materialise
 
 #: Names of the payload.
 PAYLOAD = ("identity", "domain", "domain_prefixes", "kind", "kind_explicit", "status", "keywords", "source_path", "source_hash", "compiled_hash", "index_profile", "embedding_profile", "point_kind", "commit_time", "unit_mode", "text_hash")
@@ -32,11 +36,12 @@ def reusable_vectors(points: DataFrame) -> DataFrame:
     return points.filter("text_hash is not null").groupBy("text_hash", "embedding_profile").agg(F.min("point_id").alias("reuse_id"))
 
 
-def plan_actions(wanted: DataFrame, points: DataFrame) -> DataFrame:
+def plan_actions(wanted: DataFrame, points: DataFrame, everywhere: DataFrame | None = None) -> DataFrame:
     """wanted with ``action`` (unchanged, payload_update, embed, rekey) and ``reuse_id``. Only payload columns of the
-    points are read, never their vectors; null and missing are the same."""
+    points are read, never their vectors; null and missing are the same. Where ``points`` are only those that may have
+    a wanted id, ``everywhere`` are all that a vector may be taken from."""
     old = points.select("point_id", F.lit(True).alias("there"), *(F.col(c).alias(f"old_{c}") for c in PAYLOAD))
-    rows = wanted.join(old, "point_id", "left").join(reusable_vectors(points), ["text_hash", "embedding_profile"], "left")
+    rows = wanted.join(old, "point_id", "left").join(reusable_vectors(points if everywhere is None else everywhere), ["text_hash", "embedding_profile"], "left")
     same = F.lit(True)
     for c in PAYLOAD:
         same = same & F.col(c).eqNullSafe(F.col(f"old_{c}"))
@@ -92,19 +97,43 @@ def orphans(points: DataFrame, docs: DataFrame) -> DataFrame:
     return managed.join(docs.select("identity").distinct(), "identity", "left_anti")
 
 
-def apply_plan(plan: DataFrame, points: DataFrame, embedded: DataFrame, pruned: DataFrame) -> DataFrame:
-    """The new point table: payloads overwritten whole, vectors kept, moved or new; rows whose embedding failed keep
-    their old point, pruned points go, points of other sources stay."""
+def vector_ids(plan: DataFrame) -> DataFrame:
+    """plan with ``vid``, the point whose vector a row takes; null where it is embedded."""
+    return plan.withColumn("vid", F.when(F.col("action") == "rekey", F.col("reuse_id")).when(F.col("action") != "embed", F.col("point_id")))
+
+
+def planned_points(plan: DataFrame, points: DataFrame, embedded: DataFrame) -> DataFrame:
+    """The points of the plan's rows: payloads overwritten whole, vectors kept, moved or new; none for a row whose embedding
+    failed. ``points`` need hold no more than those that a vector is taken from."""
     vectors = points.select(F.col("point_id").alias("vid"), "vector")
     fresh = embedded.filter("error is null").select("identity", F.col("vector").alias("new_vector"))
-    rows = plan.withColumn("vid", F.when(F.col("action") == "rekey", F.col("reuse_id")).when(F.col("action") != "embed", F.col("point_id")))
-    rows = rows.join(vectors, "vid", "left").join(fresh, "identity", "left")
-    rows = rows.withColumn("vector", F.coalesce("new_vector", "vector")).filter("vector is not null").select("point_id", "vector", *PAYLOAD)
+    rows = vector_ids(plan).join(vectors, "vid", "left").join(fresh, "identity", "left")
+    return rows.withColumn("vector", F.coalesce("new_vector", "vector")).filter("vector is not null").select("point_id", "vector", *PAYLOAD)
+
+
+def apply_plan(plan: DataFrame, points: DataFrame, embedded: DataFrame, pruned: DataFrame) -> DataFrame:
+    """The new point table: the plan's points, those of failed rows as they were, pruned points gone, points of other
+    sources as they were."""
+    rows = planned_points(plan, points, embedded)
     gone = pruned.filter("allowed").select("point_id")
     rest = points.join(rows.select("point_id"), "point_id", "left_anti").join(gone, "point_id", "left_anti")
     return rows.unionByName(rest.select("point_id", "vector", *PAYLOAD))
 
 
+def apply_to(table: KeyedTable, wanted: DataFrame, embed: Callable[[DataFrame], DataFrame], prune: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, int]:
+    """(plan, buckets written): plans ``wanted`` against a table of points keyed by point_id and merges what changes. Only
+    the buckets of wanted ids, and of points that lend a vector, are read whole; of all others text hashes, or what
+    ``prune`` looks at. ``embed`` gives (identity, vector, error) of the rows that need it, ``prune`` rows with
+    point_id and allowed."""
+    version = table.version()
+    wanted, everywhere = materialise(wanted, "wanted"), table.read(version)
+    plan = materialise(plan_actions(wanted, table.touched(wanted.select("point_id"), version), everywhere), "plan")
+    embedded = materialise(embed(plan.filter("action = 'embed'")), "embedded")
+    lenders = table.touched(vector_ids(plan).select("vid"), version)
+    gone = None if prune is None else prune(everywhere).filter("allowed").select("point_id")
+    return plan, table.merge(planned_points(plan, lenders, embedded), gone, version)[1]
+
+
 def sync_report(plan: DataFrame, embedded: DataFrame | None = None, pruned: DataFrame | None = None, integrity: DataFrame | None = None, broken: DataFrame | None = None) -> DataFrame:
     """Per source: counts of every action, failures, prunable and blocked points, and the exit class (1 failure over
     2 needs force over 3 integrity over 0).

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import POINT_NAMESPACE, blob_sha256, point_id
 from ..operators import audit, checks, conform, lifecycle, semantic, sync, telemetry
 from ..sources import ndjson, snapshots
+from ..sources.keyed import KeyedTable
 from ..sources.storage import materialise, new_path
 from ..streaming import inbox, incremental
 from .standins import DOCS_SQL, EMBED_SQL, docs, table
@@ -92,6 +93,17 @@ def apply_sync(spark, sf_dir):
     return sync.plan_actions(asked, new).groupBy("action").agg(F.count("*").alias("n"))
 
 
+def synced_points(spark, sf_dir):
+    """The same run on a table kept in buckets, with guarded pruning: each point it holds then, with its vector as whole
+    numbers, and how many buckets the run writes when it is repeated."""
+    held = KeyedTable.create(points(spark, sf_dir).select("point_id", "vector", *sync.PAYLOAD), new_path(spark, "point-table"), "point_id", 32)
+    asked, embed = wanted(spark, sf_dir), lambda rows: semantic.embed_rows(rows, _embed, 2)
+    sync.apply_to(held, asked, embed, lambda all_: sync.prune_plan(all_, asked))
+    again = sync.apply_to(held, asked, embed)[1]
+    vector = F.array_join(F.transform("vector", lambda x: F.round(x.cast("double") * 256).cast("long").cast("string")), ",")
+    return held.read().select("identity", "text_hash", "kind", vector.alias("vector"), F.lit(again).cast("long").alias("written_again"))
+
+
 def _embed(texts: list[str]) -> list[list[float]]:
     """A stand-in model: two numbers from a hash of the text; it refuses texts that start with ``Au``."""
     if any(t.startswith("Au") for t in texts):
@@ -321,18 +333,11 @@ def stream_sync(spark, sf_dir):
     drop = new_path(spark, "changes")
     d.filter("doc_id % 2 = 0").drop("doc_id").coalesce(4).write.parquet(drop)
     d.filter("doc_id % 3 = 0").withColumn("version", F.lit(2)).drop("doc_id").coalesce(4).write.mode("append").parquet(drop)
-    at = {"path": new_path(spark, "points")}
-    empty = sync.desired_points(docs(spark, sf_dir)).limit(0).withColumn("vector", F.array().cast("array<float>")).drop("source", "text")
-    empty.select("point_id", "vector", *sync.PAYLOAD).write.parquet(at["path"])
-
-    def publish(new: DataFrame, batch: int) -> None:
-        path = new_path(spark, f"points-{batch}")
-        new.write.parquet(path)
-        at["path"] = path
-
+    empty = sync.desired_points(docs(spark, sf_dir)).limit(0).withColumn("vector", F.array().cast("array<float>")).select("point_id", "vector", *sync.PAYLOAD)
+    held = KeyedTable.create(empty, new_path(spark, "point-table"), "point_id", 16)
     changes = spark.readStream.schema(d.drop("doc_id").schema).option("maxFilesPerTrigger", 4).parquet(drop)
-    incremental.stream_sync(changes, lambda: spark.read.parquet(at["path"]), publish, lambda t: [[float(len(x))] for x in t], 1, new_path(spark, "sync-checkpoint")).awaitTermination()
-    return sync.plan_actions(sync.desired_points(docs(spark, sf_dir)), spark.read.parquet(at["path"])).select("identity", "action")
+    incremental.stream_sync(changes, held, lambda t: [[float(len(x))] for x in t], 1, new_path(spark, "sync-checkpoint")).awaitTermination()
+    return sync.plan_actions(sync.desired_points(docs(spark, sf_dir)), held.read()).select("identity", "action")
 
 
 def snapshot_publish(spark, sf_dir):
@@ -352,7 +357,7 @@ def ndjson_round_trip(spark, sf_dir):
     return good.select("identity", "source_hash", F.lit("ok").alias("state")).unionByName(bad.select(F.col("code").alias("identity"), F.lit("").alias("source_hash"), F.col("message").alias("state")))
 
 
-QUERIES = {f.__name__: f for f in (point_ids, blob_digests, sync_actions, vector_reuse, sync_report, prune_plan, retired_sources, stale_compiled, orphans, coverage_diff, apply_sync, embed_rows, broken_links, broken_links_v1, code_pointers, reference_scan, rewrite_links, asset_reconcile, asset_reuse, diagram_blocks, catalog, catalog_drift, apply_catalog, check_rollup, frozen_gate, unused_records, unapproved_edits, ledger_violations, ledger_pairing, append_only, move_plan, capture_lines, capture_notes, promotion_gate, rewrite_headers, call_stats, stream_capture, stream_sync, snapshot_publish, ndjson_round_trip)}
+QUERIES = {f.__name__: f for f in (point_ids, blob_digests, sync_actions, vector_reuse, sync_report, prune_plan, retired_sources, stale_compiled, orphans, coverage_diff, apply_sync, synced_points, embed_rows, broken_links, broken_links_v1, code_pointers, reference_scan, rewrite_links, asset_reconcile, asset_reuse, diagram_blocks, catalog, catalog_drift, apply_catalog, check_rollup, frozen_gate, unused_records, unapproved_edits, ledger_violations, ledger_pairing, append_only, move_plan, capture_lines, capture_notes, promotion_gate, rewrite_headers, call_stats, stream_capture, stream_sync, snapshot_publish, ndjson_round_trip)}
 
 
 def _pid(identity: str) -> str:
@@ -389,6 +394,13 @@ ORACLE_SQL = {
     "point_ids": f"WITH {DOCS_SQL} SELECT doc_id, {_pid('identity')} AS point_id FROM docs",
     "blob_digests": "SELECT doc_id, sha256(encode('blob ' || octet_length(encode(coalesce(text, '')))) || '\\x00'::BLOB || encode(coalesce(text, ''))) AS blob_sha256 FROM documents",
     "sync_actions": f"{SYNC_SQL} SELECT identity, action FROM plan",
+    "apply_sync": f"{SYNC_SQL} SELECT 'unchanged' AS action, count(*) AS n FROM wanted",
+    "synced_points": f"""{SYNC_SQL}, held AS (SELECT p.*, o.old_kind FROM points p JOIN old0 o USING (doc_id)),
+      lend AS (SELECT old_hash, arg_min(doc_id, pid) AS lender FROM (SELECT old_hash, doc_id, {_pid('identity')} AS pid FROM points) GROUP BY 1),
+      now AS (SELECT w.identity, w.text_hash, w.kind, CASE action WHEN 'embed' THEN ('0x' || w.text_hash[1:2])::INT || ',' || ('0x' || w.text_hash[3:4])::INT WHEN 'rekey' THEN (lender * 256) || ',256' ELSE (p.doc_id * 256) || ',256' END AS vector
+              FROM wanted w JOIN plan USING (identity) LEFT JOIN lend ON lend.old_hash = w.text_hash LEFT JOIN points p ON p.identity = w.identity)
+      SELECT *, 0::BIGINT AS written_again FROM (SELECT * FROM now UNION ALL SELECT identity, old_hash, old_kind, (doc_id * 256) || ',256' FROM held
+        WHERE identity NOT IN (SELECT identity FROM wanted) AND identity NOT IN (SELECT identity FROM prune WHERE allowed))""",
     "vector_reuse": f"{SYNC_SQL}, ids AS (SELECT old_hash, {_pid('identity')} AS pid FROM points) SELECT identity, min(pid) AS reuse_id FROM plan JOIN ids ON old_hash = text_hash WHERE action = 'rekey' GROUP BY 1",
     "sync_report": f"{SYNC_SQL} SELECT source, coalesce(unchanged, 0)::BIGINT AS unchanged, coalesce(payload_update, 0)::BIGINT AS payload_update, coalesce(rekey, 0)::BIGINT AS rekey, coalesce(embed, 0)::BIGINT AS embed, 0::BIGINT AS failed, coalesce(prunable, 0)::BIGINT AS prunable, coalesce(blocked, 0)::BIGINT AS blocked, CASE WHEN blocked > 0 THEN 2 ELSE 0 END AS exit_class FROM (SELECT source, count(*) FILTER (action = 'unchanged') AS unchanged, count(*) FILTER (action = 'payload_update') AS payload_update, count(*) FILTER (action = 'rekey') AS rekey, count(*) FILTER (action = 'embed') AS embed FROM plan GROUP BY 1) FULL JOIN (SELECT source, count(*) FILTER (allowed) AS prunable, count(*) FILTER (NOT allowed) AS blocked FROM prune GROUP BY 1) USING (source)",
     "prune_plan": f"{SYNC_SQL} SELECT * FROM prune",

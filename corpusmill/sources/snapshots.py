@@ -1,4 +1,4 @@
-"""Versioned snapshots of a table of documents: content-addressed, validated, published by one rename."""
+"""Versioned snapshots of a table of documents: content-addressed, validated, published by a compare-and-swap."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import pointer
+
 CONTRACT = "corpus-generation-v2"
 SHARDS = 256
 
@@ -50,13 +52,6 @@ def _overwrite(spark: SparkSession):
     return array
 
 
-def _read_text(spark: SparkSession, path: str) -> str | None:
-    path_of, fs = _fs(spark, path)
-    if not fs.exists(path_of(path)):
-        return None
-    return "\n".join(r[0] for r in spark.read.text(path).collect())  # one line
-
-
 def build(docs: DataFrame, root: str, key: str = "identity", profile: str = "default") -> str:
     """Writes a snapshot under ``generations/<id>`` unless it exists; returns its id."""
     spark = docs.sparkSession
@@ -64,7 +59,7 @@ def build(docs: DataFrame, root: str, key: str = "identity", profile: str = "def
         raise ValueError(f"{key} stands more than once")
     name, rows = snapshot_id(docs, key, profile)
     at = f"{root}/generations/{name}"
-    if _read_text(spark, f"{at}/MANIFEST") is None:
+    if pointer.read_text(spark, f"{at}/MANIFEST") is None:
         docs.write.mode("overwrite").parquet(f"{at}/rows")
         _write_text(spark, f"{at}/MANIFEST", json.dumps({"contract": CONTRACT, "id": name, "profile": profile, "key": key, "rows": rows}))
     return name
@@ -72,7 +67,7 @@ def build(docs: DataFrame, root: str, key: str = "identity", profile: str = "def
 
 def validate(spark: SparkSession, root: str, name: str) -> dict:
     """Counts and hashes a snapshot again; raises where it differs from its manifest."""
-    text = _read_text(spark, f"{root}/generations/{name}/MANIFEST")
+    text = pointer.read_text(spark, f"{root}/generations/{name}/MANIFEST")
     if text is None:
         raise ValueError(f"snapshot {name} has no manifest")
     manifest = json.loads(text)
@@ -82,12 +77,20 @@ def validate(spark: SparkSession, root: str, name: str) -> dict:
     return manifest
 
 
-def publish(spark: SparkSession, root: str, name: str) -> None:
-    """Validates, then switches the pointer; a snapshot that fails leaves the old one current."""
+def published(spark: SparkSession, root: str) -> tuple[int, str | None]:
+    """(number of the publication, id of the current snapshot); (0, None) before the first."""
+    return pointer.latest(spark, root)
+
+
+def publish(spark: SparkSession, root: str, name: str, replaces: int | None = None) -> int:
+    """Validates, then moves the pointer on from publication ``replaces`` (the one current at the call, if not given); a
+    snapshot that fails leaves the old one current, and of two publishers that replace the same one the second gets a
+    ``pointer.Conflict``. Gives the number of the new publication."""
+    before = published(spark, root)[0] if replaces is None else replaces
     validate(spark, root, name)
-    _write_text(spark, f"{root}/CURRENT", name)
+    return pointer.advance(spark, root, before, name)
 
 
 def current(spark: SparkSession, root: str) -> DataFrame | None:
-    name = _read_text(spark, f"{root}/CURRENT")
+    name = published(spark, root)[1]
     return None if name is None else spark.read.parquet(f"{root}/generations/{name}/rows")

@@ -1,7 +1,8 @@
 """Incremental synchronisation driven by a stream of changed documents.
 
-Each micro-batch plans only its own documents against the current points and publishes a new version of the point
-table. A replayed batch plans nothing but ``unchanged``, as ids follow from identities and hashes from texts.
+Each micro-batch plans only its own documents and rewrites only the buckets of points that it changes, published as a new
+version of the point table. A replayed batch plans nothing but ``unchanged``, as ids follow from identities and hashes from
+texts, and writes nothing.
 """
 
 from __future__ import annotations
@@ -14,7 +15,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
 from ..operators.semantic import embed_rows
-from ..operators.sync import apply_plan, desired_points, plan_actions
+from ..operators.sync import apply_to, desired_points
+from ..sources.keyed import KeyedTable
 
 
 def latest(changes: DataFrame) -> DataFrame:
@@ -23,19 +25,16 @@ def latest(changes: DataFrame) -> DataFrame:
     return changes.withColumn("n", F.row_number().over(order)).filter("n = 1").drop("n", "version")
 
 
-def sync_batch(changes: DataFrame, points: DataFrame, embed: Callable, dim: int) -> tuple[DataFrame, DataFrame]:
-    """(plan, new points) for one batch of changed documents; deletions aren't part of a change stream."""
-    plan = plan_actions(desired_points(latest(changes)), points)
-    embedded = embed_rows(plan.filter("action = 'embed'"), embed, dim)
-    none = points.select("point_id").limit(0).withColumn("allowed", F.lit(True))
-    return plan, apply_plan(plan, points, embedded, none)
+def sync_batch(changes: DataFrame, points: KeyedTable, embed: Callable, dim: int) -> tuple[DataFrame, int]:
+    """(plan, buckets written) for one batch of changed documents; deletions aren't part of a change stream."""
+    return apply_to(points, desired_points(latest(changes)), lambda rows: embed_rows(rows, embed, dim))
 
 
-def stream_sync(changes: DataFrame, read_points: Callable[[], DataFrame], write_points: Callable[[DataFrame, int], None], embed: Callable, dim: int, checkpoint: str) -> StreamingQuery:
-    """read_points gives the current version, write_points(new, batch) publishes the next one."""
+def stream_sync(changes: DataFrame, points: KeyedTable, embed: Callable, dim: int, checkpoint: str) -> StreamingQuery:
+    """Keeps ``points`` (keyed by point_id) in step with a stream of changed documents."""
 
     def batch(rows: DataFrame, number: int) -> None:
         if not rows.isEmpty():
-            write_points(sync_batch(rows, read_points(), embed, dim)[1], number)
+            sync_batch(rows, points, embed, dim)
 
     return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
