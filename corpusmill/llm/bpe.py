@@ -4,12 +4,14 @@ The encoding of a prefix is that of a shorter prefix plus one last token, and ex
 compatible with the last token before it. So for every prefix of a word only its last token is stored. Candidates are
 the tokens that end at a position, from an automaton over the vocabulary (its suffix links list them); two tokens are
 compatible when the merges along the border between them never join across it. All distinct words of a slice advance
-together, position by position, in array operations; back-pointers then give the ids.
+together, position by position, in array operations, and words of more than ``LONG`` letters one by one, with remembered
+tests of pairs; back-pointers then give the ids.
 
 Files: BPE with an end-of-word suffix, NFC and lower case first, words by the usual contraction/letter/digit/other
 pattern, white space dropped, no decoder. Strings of added tokens in a text stand for those tokens. Decoding joins the
 tokens' strings with one space. Defined cases: a null or empty text has no tokens; very long texts are encoded in parts
-cut at white space, with the same ids; texts with code points that Python's Unicode tables don't know are normalised and
+cut at white space, with the same ids; a long word takes time in proportion to its letters; texts with code points that
+Python's Unicode tables don't know, or order, compose or lower otherwise than the library's, are normalised and
 cut by the library; an empty table gives an empty result; other columns are ignored; repeated rows are encoded each.
 """
 
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretokens import PART, PieceCache, Pieces, parts
+from .pretokens import PART, UNKNOWN, PieceCache, Pieces, classes, parts
 from .textbytes import slices
 
 #: Separates words in the automaton's input; a byte is chr(byte), at a word's end chr(256 + byte).
@@ -36,6 +38,10 @@ BREAK = chr(0x200)
 NEVER = np.iinfo(np.int64).max
 #: Words that advance together.
 TOGETHER = 20_000
+#: Letters of words that advance together, at most, and remembered pairs.
+LONG, REMEMBERED = 512, 1 << 20
+#: Marks of the least and of a very high combining class: a mark that has a class changes places with one of them.
+LOW_MARK, HIGH_MARK = "\u0334", "\u0345"
 
 
 @functools.cache
@@ -90,6 +96,7 @@ class Bpe:
             if alone[i]:
                 self.automaton.add_word(s, i)
         self.automaton.make_automaton()
+        self.remembered: dict[tuple[int, int], bool] = {}
 
     def joined_at(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of the merge of two tokens; NEVER where there is none."""
@@ -125,7 +132,36 @@ class Bpe:
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Ids of words (pieces of normalised text, none empty)."""
-        return list(chain.from_iterable(self._together(words[i : i + TOGETHER]) for i in range(0, len(words), TOGETHER)))
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        short = words if not long else [w for w in words if len(w) <= LONG]
+        ids = list(chain.from_iterable(self._together(short[i : i + TOGETHER]) for i in range(0, len(short), TOGETHER)))
+        for i in long:
+            ids.insert(i, self._alone(words[i]))
+        return ids
+
+    def apart(self, a: int, b: int) -> bool:
+        """``compatible`` of one pair of tokens, remembered."""
+        known = self.remembered.get((a, b))
+        if known is None:
+            if len(self.remembered) >= REMEMBERED:
+                self.remembered.clear()
+            known = self.remembered[a, b] = bool(self.compatible(np.array([a]), np.array([b]))[0])
+        return known
+
+    def _alone(self, word: str) -> list[int]:
+        """Ids of one long word: the last token of each prefix, one after another."""
+        raw = word.encode().decode("latin-1")
+        last, sizes, apart = [-1] * (len(raw) + 1), self.size.tolist(), self.apart
+        for at, token in self.automaton.iter(raw[:-1] + chr(256 + ord(raw[-1]))):
+            # exactly one token that ends here is compatible, in whatever order they come
+            start = at + 1 - sizes[token]
+            if last[at + 1] < 0 and (not start or apart(last[start], token)):
+                last[at + 1] = token
+        ids, at = [], len(raw)
+        while at:
+            ids.append(last[at])
+            at -= sizes[last[at]]
+        return ids[::-1]
 
     def _together(self, words: list[str]) -> list[list[int]]:
         raw = [w.encode().decode("latin-1") for w in words]
@@ -181,7 +217,7 @@ class BpeEncoder:
     """Encodes slices of texts; of each distinct word it keeps (number of ids, ids as text, tokens as text)."""
 
     def __init__(self, path: str):
-        self.path, self.bpe, self.values = path, bpe(path), []
+        self.path, self.bpe, self.values, self.kinds = path, bpe(path), [], kinds_of(path)
         self.cache = PieceCache(lambda pieces: self.values.extend(self._values(pieces)), self.values.clear, most=1 << 20)
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.bpe.added, key=len, reverse=True))) + ")") if self.bpe.added else None
 
@@ -192,7 +228,7 @@ class BpeEncoder:
         return list(map(self._value, self.bpe.encode_words(pieces)))
 
     def _library_words(self, text: str) -> list[str]:
-        """Words by the library's own Unicode tables, for texts with code points that Python's don't know."""
+        """Words by the library's own Unicode tables, for texts with code points on which Python's differ."""
         normaliser, cutter, byte_of = library_cutter(self.path)
         return [bytes(map(byte_of.__getitem__, letters)).decode() for letters, _ in cutter.pre_tokenize_str(normaliser.normalize_str(text))]
 
@@ -212,7 +248,7 @@ class BpeEncoder:
 
     def _put(self, waiting: list[tuple[list, str | int]]) -> None:
         """Appends the values of each part to its list; a number is an added token."""
-        pieces = Pieces(["" if isinstance(part, int) else self.bpe.normalise(part) for _, part in waiting], leading_space=False)
+        pieces = Pieces(["" if isinstance(part, int) else self.bpe.normalise(part) for _, part in waiting], False, self.kinds)
         number, first, value = self.cache.look_up(pieces).tolist(), pieces.first.tolist(), self.values.__getitem__
         unknown = set(pieces.unknown)
         for k, (out, part) in enumerate(waiting):
@@ -233,6 +269,30 @@ def library_cutter(path: str):
     return tokenizer.normalizer, tokenizer.pre_tokenizer, {letter: byte for byte, letter in enumerate(byte_letters())}
 
 
+@functools.cache
+def kinds_of(path: str) -> np.ndarray:
+    """The class of every code point; UNKNOWN also where Python and the library order, compose or lower differently.
+
+    Derived from both: every mark is put beside one of the lowest and one of the highest class, every canonical
+    decomposition is composed again, every letter with a lower case is lowered."""
+    kinds, own = classes().copy(), bpe(path).normalise
+    tests: list[tuple[int, str]] = []
+    for point in map(int, np.flatnonzero(kinds != UNKNOWN)):
+        c = chr(point)
+        if unicodedata.combining(c):
+            tests += [(point, "a" + c + LOW_MARK), (point, "a" + HIGH_MARK + c), (point, LOW_MARK + c)]
+        taken_apart = unicodedata.decomposition(c)
+        if taken_apart and not taken_apart.startswith("<"):
+            whole = "".join(chr(int(x, 16)) for x in taken_apart.split())
+            tests += [(p, x) for p in (point, *map(ord, whole[1:])) for x in (c, whole)]
+        if c.lower() != c:
+            tests.append((point, c))
+    library = library_cutter(path)[0].normalize_str("|".join(x for _, x in tests)).split("|")
+    odd = {y for (point, x), got in zip(tests, library) if own(x) != got for y in (point, *map(ord, chr(point).lower()))}
+    kinds[list(odd)] = UNKNOWN
+    return kinds
+
+
 @functools.cache
 def encoder(path: str) -> BpeEncoder:
     """The process's encoder of a file, with the words it knows."""

@@ -54,15 +54,15 @@ class Pieces:
     """Tokens of some texts: ``starts``/``ends`` in ``points``, ``first`` token of each text, a hash of each, and
     ``unknown``, the texts with code points that have no class here (their tokens don't count)."""
 
-    def __init__(self, texts: list[str], leading_space: bool):
+    def __init__(self, texts: list[str], leading_space: bool, kinds: np.ndarray | None = None):
         """leading_space: whitespace is kept and one space joins the piece after it; else whitespace is dropped and
-        each digit stands alone."""
+        each digit stands alone. kinds: the class of every code point, if not ``classes``."""
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         #: A zero after each text keeps texts apart.
         self.joined = "\0".join(texts) + "\0"
         self.points = points = np.frombuffer(self.joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         begin = np.cumsum(sizes + 1) - sizes - 1
-        kind = classes()[points]
+        kind = (classes() if kinds is None else kinds)[points]
         self.unknown = np.unique(np.searchsorted(begin, np.flatnonzero(kind == UNKNOWN), "right") - 1).tolist()
         kind[begin + sizes] = END
         n = len(points)
