@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,6 +76,49 @@ def slices(ranks: DataFrame, by: list[str]) -> DataFrame:
     return rows.select(name.alias("slice"), *names)
 
 
+def make_baseline(gold: DataFrame, lanes: dict[str, DataFrame]) -> DataFrame:
+    """(fixture_id, fixture_hash, lane, slice, gold_at_10): the slices of each lane, bound to the gold set they were
+    measured on."""
+    rows = None
+    for lane, found in lanes.items():
+        one = found.select(F.lit(lane).alias("lane"), "slice", "gold_at_10")
+        rows = one if rows is None else rows.unionByName(one)
+    fixture = gold.agg(F.min("fixture_id").alias("fixture_id")).crossJoin(fixture_hash(gold).select("fixture_hash"))  # one row
+    return rows.crossJoin(F.broadcast(fixture)).select("fixture_id", "fixture_hash", "lane", "slice", "gold_at_10")
+
+
+def baseline_violations(baseline: DataFrame, gold: DataFrame, lanes: Sequence[str] = ("lexical", "hybrid")) -> DataFrame:
+    """(code, message) of a baseline that must not judge runs on ``gold``: another fixture or hash, a lane without an
+    overall slice, a slice that stands twice, a value outside 0 to 1. No row lets it in."""
+    fixture = F.broadcast(gold.agg(F.min("fixture_id").alias("own_id")).crossJoin(fixture_hash(gold).select(F.col("fixture_hash").alias("own_hash"))))  # one row
+    rows = baseline.crossJoin(fixture)
+    whole = rows.groupBy("own_id", "own_hash").agg(
+        F.count_if(~F.col("fixture_id").eqNullSafe(F.col("own_id"))).alias("other_id"),
+        F.count_if(~F.col("fixture_hash").eqNullSafe(F.col("own_hash"))).alias("other_hash"),
+        F.count_if(~F.coalesce(F.col("gold_at_10").between(0, 1), F.lit(False))).alias("bad"),
+        F.collect_set(F.when((F.col("slice") == "overall") & F.col("lane").isin(*lanes), F.col("lane"))).alias("held"),
+    )
+    twice = baseline.groupBy("lane", "slice").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("twice"))  # one row
+    facts = fixture.crossJoin(F.broadcast(twice)).join(F.broadcast(whole), ["own_id", "own_hash"], "left")
+    missing = F.array_except(F.array(*map(F.lit, lanes)), F.coalesce("held", F.array().cast("array<string>")))
+    rules = F.array(
+        diagnostic("BASELINE-FIXTURE", None, "baseline is of another fixture", F.coalesce(F.col("other_id") > 0, F.lit(False))),
+        diagnostic("BASELINE-HASH", None, "baseline was measured on other gold rows", F.coalesce(F.col("other_hash") > 0, F.lit(False))),
+        diagnostic("BASELINE-LANE", None, "a lane has no overall value", F.size(missing) > 0),
+        diagnostic("BASELINE-SLICE", None, "a slice stands more than once", F.col("twice") > 0),
+        diagnostic("BASELINE-VALUE", None, "values must lie between 0 and 1", F.coalesce(F.col("bad") > 0, F.lit(False))),
+    )
+    return facts.select(F.inline(only_hits(rules))).select("code", "message")
+
+
+def baseline_for(baseline: DataFrame, gold: DataFrame, lane: str, lanes: Sequence[str] = ("lexical", "hybrid")) -> DataFrame:
+    """The lane's (slice, gold_at_10) for a gate; refuses a baseline that isn't of this gold set."""
+    bad = baseline_violations(baseline, gold, lanes).collect()  # one row a rule at most
+    if bad:
+        raise ValueError("baseline refused: " + "; ".join(sorted(r.message for r in bad)))
+    return baseline.filter(F.col("lane") == lane).select("slice", "gold_at_10")
+
+
 def lexical_gate(current: DataFrame, baseline: DataFrame, margin: float = MARGIN) -> DataFrame:
     """(slice, value, base, ok, rebaseline): at least the baseline less the margin; a baseline of zero asks for a new one."""
     rows = baseline.select("slice", F.col("gold_at_10").alias("base")).join(current.select("slice", F.col("gold_at_10").alias("value")), "slice", "left")

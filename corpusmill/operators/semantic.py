@@ -50,6 +50,7 @@ def cosine_top(query_vectors: DataFrame, points: DataFrame, k: int, keys: list[s
                     batch = batch[batch[per_object].fillna("").astype(str) != ""]
                 if not len(batch) or not names:
                     continue
+                batch = batch.sort_values(keys, na_position="first")  # so that the order of rows decides between equal scores
                 vectors = np.array(batch["vector"].tolist(), np.float64)
                 vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
                 keep, found = batch[keys].reset_index(drop=True), [best] if best is not None else []
@@ -57,15 +58,17 @@ def cosine_top(query_vectors: DataFrame, points: DataFrame, k: int, keys: list[s
                 for low in range(0, len(names), step):
                     scores = matrix[low : low + step] @ vectors.T
                     if not per_object and scores.shape[1] > k:
-                        # all points as good as the k-th best of a query, ties with it too
-                        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
-                        query, point = np.nonzero(scores >= least[:, None])
+                        # the points better than the k-th best of a query, and of those as good as it the first by key
+                        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k, None]
+                        better, equal = scores > least, scores == least
+                        room = k - better.sum(1, keepdims=True)
+                        query, point = np.nonzero(better | (equal & (np.cumsum(equal, 1, dtype=np.int32) <= room)))
                     else:
                         query, point = (x.ravel() for x in np.indices(scores.shape))
                     found.append(keep.iloc[point].assign(score=scores[query, point], query_id=[names[low + i] for i in query.tolist()]))
                     if per_object:
-                        found[-1] = found[-1].sort_values(order, ascending=ascending).drop_duplicates(["query_id", per_object]).groupby("query_id").head(k)
-                best = pd.concat(found).sort_values(order, ascending=ascending)
+                        found[-1] = found[-1].sort_values(order, ascending=ascending, na_position="first").drop_duplicates(["query_id", per_object]).groupby("query_id").head(k)
+                best = pd.concat(found).sort_values(order, ascending=ascending, na_position="first")
                 if per_object:
                     best = best.drop_duplicates(["query_id", per_object])
                 best = best.groupby("query_id").head(k)

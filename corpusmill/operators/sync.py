@@ -134,6 +134,30 @@ def apply_to(table: KeyedTable, wanted: DataFrame, embed: Callable[[DataFrame],
     return plan, table.merge(planned_points(plan, lenders, embedded), gone, version)[1]
 
 
+def sync_fleet(table: KeyedTable, compiled: DataFrame, failures: DataFrame, embed: Callable[[DataFrame], DataFrame], force: bool = False, integrity: DataFrame | None = None) -> DataFrame:
+    """Synchronises what compiled against a table of points keyed by point_id, and reports on every source. Sources in
+    ``failures``(source, step, error) prune nothing and lose nothing; each is a row of class 1 and stops no other."""
+    wanted, errors, kept = materialise(desired_points(compiled), "wanted"), [], []
+
+    def embedded(rows: DataFrame) -> DataFrame:
+        errors.append(materialise(embed(rows), "embedded"))
+        return errors[0]
+
+    def prune(points: DataFrame) -> DataFrame:
+        kept.append(materialise(prune_plan(points, wanted, failures, force), "prune-plan"))
+        return kept[0]
+
+    plan = apply_to(table, wanted, embedded, prune)[0]
+    return sync_report(plan, errors[0], kept[0], integrity, failures.groupBy("source").agg(F.min("error").alias("error")))
+
+
+def note_index(points: DataFrame) -> DataFrame:
+    """points(identity, source_path) -> (source, identity, source_path): each note once, whatever its units; identities
+    without a source are left out, a missing path is empty."""
+    named = points.filter(F.col("identity").contains(":"))
+    return named.groupBy(source_of(F.col("identity")).alias("source"), "identity").agg(F.max(F.coalesce("source_path", F.lit(""))).alias("source_path"))
+
+
 def sync_report(plan: DataFrame, embedded: DataFrame | None = None, pruned: DataFrame | None = None, integrity: DataFrame | None = None, broken: DataFrame | None = None) -> DataFrame:
     """Per source: counts of every action, failures, prunable and blocked points, and the exit class (1 failure over
     2 needs force over 3 integrity over 0).

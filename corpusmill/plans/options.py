@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 from ..functions.text import point_id
 from ..operators import audit, bounded, checks, compile as compile_, conform, corpus, evaluate, fusion, lexical, semantic, sync, telemetry
 from ..schemas import GOLD
-from ..sources import ndjson
+from ..sources import isolated, ndjson, paged, pointer
 from ..sources import notes as note_trees
 from ..sources.export import export_hits, write_hits
+from ..sources.keyed import KeyedTable
 from ..sources.storage import materialise, new_path
 from . import retrieval as r
 from . import structure as st
@@ -136,6 +137,29 @@ def gold_fixture(spark, sf_dir):
     return evaluate.fixture_hash(gold).select("n", F.length("fixture_hash").alias("hash_chars"))
 
 
+def _gold_rows(spark, sf_dir, fixture="fx"):
+    return table(spark, sf_dir, "benchmark").select(F.lit(fixture).alias("fixture_id"), F.coalesce("text", F.lit("")).alias("query"), F.concat(F.lit("s:d:"), "item_id").alias("gold_key"), F.lit("t").alias("qtype"), F.lit("s").alias("_slice"))
+
+
+def fixture_digest(spark, sf_dir):
+    """The hash of a gold set."""
+    return evaluate.fixture_hash(_gold_rows(spark, sf_dir))
+
+
+def baseline_binding(spark, sf_dir):
+    """What keeps three baselines from judging a gold set: one of its own rows, one of rows without the first item, one of
+    another fixture without a hybrid lane."""
+    gold = _gold_rows(spark, sf_dir)
+    found = table(spark, sf_dir, "benchmark").select(F.lit("overall").alias("slice"), F.lit(0.5).alias("gold_at_10")).limit(1)
+    both = {"lexical": found, "hybrid": found}
+    cases = {"own": (gold, both), "other rows": (gold.filter("gold_key <> 's:d:0'"), both), "other fixture": (_gold_rows(spark, sf_dir, "fy"), {"lexical": found})}
+    out = None
+    for name, (rows, lanes) in cases.items():
+        bad = evaluate.baseline_violations(evaluate.make_baseline(rows, lanes), gold).agg(F.array_join(F.array_sort(F.collect_list("code")), ",").alias("codes")).select(F.lit(name).alias("baseline"), "codes")
+        out = bad if out is None else out.unionByName(bad)
+    return out
+
+
 def _gates(spark, sf_dir):
     s1, s2 = (evaluate.slices(ranks, r.BY) for ranks in r.both_ranks(spark, sf_dir))
     return evaluate.hybrid_gate(s2, s1, s2, s1)
@@ -153,6 +177,71 @@ def gates_pass(spark, sf_dir):
 # synchronisation
 
 
+class _PageFiles:
+    """A paging service over one file a page; every third page fails when it is first asked for."""
+
+    def __init__(self, folder: str, pages: list[int], columns: list[str]):
+        self.folder, self.pages, self.columns, self.asked = folder, pages, columns, set()
+
+    def following(self, offset: str | None) -> str | None:
+        at = 0 if offset is None else self.pages.index(int(offset)) + 1
+        return str(self.pages[at]) if at < len(self.pages) else None
+
+    def fetch(self, offset: str) -> list[tuple]:
+        from pyarrow import dataset, fs
+
+        if int(offset) % 3 == 0 and offset not in self.asked:
+            self.asked.add(offset)
+            raise TimeoutError(f"page {offset} took too long")
+        system, folder = fs.FileSystem.from_uri(self.folder)
+        page = dataset.dataset(f"{folder}/page={offset}", filesystem=system, format="parquet").to_table(self.columns)
+        return list(zip(*page.to_pydict().values()))
+
+
+def paged_points(spark, sf_dir):
+    """The index read page by page from a service that fails now and then: the notes that it holds."""
+    folder, columns = new_path(spark, "pages"), ["point_id", "identity", "source_path"]
+    up.points(spark, sf_dir).select(*columns, F.pmod(F.xxhash64("point_id"), F.lit(20)).alias("page")).repartition("page").write.partitionBy("page").parquet(folder)
+    pages = [r.page for r in spark.read.parquet(folder).select("page").distinct().orderBy("page").collect()]
+    points = paged.read_pages(spark, _PageFiles(folder, pages, columns), "point_id string, identity string, source_path string", attempts=2, wait_seconds=0)
+    return sync.note_index(points)
+
+
+#: Sources whose files the stand-in fleet breaks.
+_BROKEN = ("src3", "src7")
+
+
+def _broken_fleet(spark, sf_dir):
+    """Each source's compiled documents as files of its own, those of two sources cut short; read source by source."""
+    folder, d = new_path(spark, "fleet"), docs(spark, sf_dir).filter("doc_id % 11 <> 0").drop("doc_id")
+    d.withColumn("of", F.col("source")).repartition("of").write.partitionBy("of").parquet(folder)
+    names = sorted(r.of for r in spark.read.parquet(folder).select("of").distinct().collect())
+    for name in set(_BROKEN) & set(names):
+        for file in pointer.names(spark, f"{folder}/of={name}"):
+            at, fs = pointer.located(spark, f"{folder}/of={name}/{file}")
+            out = fs.create(at, True)
+            out.write(bytearray(b"PAR1 cut short"))
+            out.close()
+    steps = {name: (lambda name=name: spark.read.schema(d.schema).parquet(f"{folder}/of={name}")) for name in names}
+    return isolated.run_isolated(spark, "read", steps, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.schema.fields))
+
+
+def isolated_rows(spark, sf_dir):
+    """What is read of each source, and which sources failed."""
+    rows, failures = _broken_fleet(spark, sf_dir)
+    return rows.groupBy("source").agg(F.count("*").alias("n")).join(failures, "source", "full").select("source", F.coalesce("n", F.lit(0)).alias("n"), F.col("error").isNotNull().alias("failed"))
+
+
+def isolated_fleet(spark, sf_dir):
+    """A run over all sources of which two can't be read: its report, beside the points that each source has then."""
+    rows, failures = _broken_fleet(spark, sf_dir)
+    held = KeyedTable.create(up.points(spark, sf_dir).select("point_id", "vector", *sync.PAYLOAD), new_path(spark, "point-table"), "point_id", 16)
+    report = sync.sync_fleet(held, rows, failures, lambda missing: semantic.embed_rows(missing, up._embed, 2))
+    report = materialise(report, "fleet-report")
+    left = held.read().groupBy(sync.source_of(F.col("identity")).alias("source")).agg(F.count("*").alias("n_points"))
+    return report.join(left, "source", "full").select("source", "embed", "rekey", "prunable", "blocked", F.col("error").isNotNull().alias("failed"), "exit_class", "n_points")
+
+
 def foreign_units(spark, sf_dir):
     d = docs(spark, sf_dir)
     mode = F.when(_n() % 9 == 0, "chunk").when(_n() % 9 != 1, "whole")
@@ -298,7 +387,7 @@ def recent_faults(spark, sf_dir):
     return telemetry.recent_faults(calls).select("verb", F.col("message").alias("event_id"), "n")
 
 
-QUERIES = {f.__name__: f for f in (narrowed_search, unknown_sources, knn_managed, knn_depth, knn_narrowed, old_collections, recall_lexical, recall_semantic, lane_health, recall_enriched, written_hits, gold_violations, gold_drift, gold_fixture, hybrid_gates, gates_pass, foreign_units, fleet_report, fleet_exit, retired_by_sources, amend_plan, ledger_pairing_checked, ledger_v1, code_pointers_v1, duplicate_domains_v1, name_violations, index_kinds, legacy_docs, keyword_folds, commit_times, scanned_paths, old_artifacts, persisted_sources, recent_faults)}
+QUERIES = {f.__name__: f for f in (narrowed_search, unknown_sources, knn_managed, knn_depth, knn_narrowed, old_collections, recall_lexical, recall_semantic, lane_health, recall_enriched, written_hits, gold_violations, gold_drift, gold_fixture, fixture_digest, baseline_binding, hybrid_gates, gates_pass, foreign_units, paged_points, isolated_rows, isolated_fleet, fleet_report, fleet_exit, retired_by_sources, amend_plan, ledger_pairing_checked, ledger_v1, code_pointers_v1, duplicate_domains_v1, name_violations, index_kinds, legacy_docs, keyword_folds, commit_times, scanned_paths, old_artifacts, persisted_sources, recent_faults)}
 
 _ASKED = "asking AS (SELECT item_id AS query_id, CASE item_id % 3 WHEN 0 THEN 'src' || (item_id % 25) END AS asked FROM benchmark)"
 _MARKED = "marked AS (SELECT vec_id, label, 's' || label || ':' || vec_id AS identity, embedding FROM embeddings)"
@@ -339,6 +428,19 @@ ORACLE_SQL = {
     "gold_fixture": "SELECT count(*) AS n, 64 AS hash_chars FROM benchmark",
     "hybrid_gates": f"{r.EVAL_SQL} SELECT s2.slice, s2.gold_at_10 AS value, greatest(s1.gold_at_10, s2.gold_at_10) AS best, s1.gold_at_10 AS floor, s2.gold_at_10 >= greatest(s1.gold_at_10, s2.gold_at_10) - 0.01 AND s2.gold_at_10 >= s1.gold_at_10 - 0.01 AS ok FROM s2 JOIN s1 USING (slice)",
     "gates_pass": f"{r.EVAL_SQL} SELECT coalesce(bool_and(s2.gold_at_10 >= greatest(s1.gold_at_10, s2.gold_at_10) - 0.01), true) AS ok FROM s2 JOIN s1 USING (slice)",
+    "fixture_digest": """SELECT sha256(string_agg(h, '' ORDER BY h)) AS fixture_hash, count(*) AS n FROM (SELECT sha256(to_json({'_slice': 's', 'fixture_id': 'fx', 'gold_key': 's:d:' || item_id, 'qtype': 't', 'query': coalesce(text, '')})) AS h FROM benchmark)""",
+    "baseline_binding": "SELECT * FROM (VALUES ('own', ''), ('other rows', CASE WHEN (SELECT count(*) FROM benchmark WHERE item_id = 0) > 0 THEN 'BASELINE-HASH' ELSE '' END), ('other fixture', 'BASELINE-FIXTURE,BASELINE-HASH,BASELINE-LANE')) t(baseline, codes)",
+    "paged_points": f"{up.SYNC_SQL} SELECT split_part(p.identity, ':', 1) AS source, p.identity, lang || '/' || doc_id || '.md' AS source_path FROM points p JOIN th USING (doc_id)",
+    "isolated_rows": f"SELECT source, CASE WHEN source IN {_BROKEN} THEN 0 ELSE count(*) END AS n, source IN {_BROKEN} AS failed FROM documents WHERE doc_id % 11 <> 0 GROUP BY source",
+    "isolated_fleet": f"""{up.SYNC_SQL}, seen AS (SELECT * FROM plan WHERE source NOT IN {_BROKEN}),
+        gone AS (SELECT * FROM prune WHERE source NOT IN {_BROKEN}),
+        per AS (SELECT source, count(*) FILTER (action = 'embed') AS embed, count(*) FILTER (action = 'rekey') AS rekey FROM seen GROUP BY 1),
+        pr AS (SELECT source, count(*) FILTER (allowed) AS prunable, count(*) FILTER (NOT allowed) AS blocked FROM gone GROUP BY 1),
+        bad AS (SELECT DISTINCT source FROM wanted WHERE source IN {_BROKEN}),
+        rep AS (SELECT source, coalesce(embed, 0) AS embed, coalesce(rekey, 0) AS rekey, coalesce(prunable, 0) AS prunable, coalesce(blocked, 0) AS blocked, bad.source IS NOT NULL AS failed,
+                CASE WHEN bad.source IS NOT NULL THEN 1 WHEN blocked > 0 THEN 2 ELSE 0 END AS exit_class FROM per FULL JOIN pr USING (source) FULL JOIN bad USING (source)),
+        now AS (SELECT source, count(*) AS n_points FROM (SELECT split_part(identity, ':', 1) AS source, identity FROM points WHERE identity NOT IN (SELECT identity FROM gone WHERE allowed) UNION SELECT source, identity FROM seen) GROUP BY 1)
+        SELECT source, embed, rekey, prunable, blocked, coalesce(failed, false) AS failed, exit_class, n_points FROM rep FULL JOIN now USING (source)""",
     "foreign_units": f"WITH {DOCS_SQL} SELECT identity, CASE WHEN doc_id % 9 = 0 THEN 'chunk' END AS unit_mode FROM docs WHERE doc_id % 9 < 2",
     "fleet_report": f"{_FLEET} SELECT source, embed, failed, prunable, blocked, n_integrity, error, exit_class FROM classed",
     "fleet_exit": f"{_FLEET} SELECT coalesce(CASE WHEN bool_or(exit_class = 1) THEN 1 WHEN bool_or(exit_class = 2) THEN 2 WHEN bool_or(exit_class = 3) THEN 3 END, 0) AS exit_class FROM classed",

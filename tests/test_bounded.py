@@ -63,3 +63,14 @@ def test_nothing_to_find(spark, corpus):
     fields = lexical.lexical_fields(docs)
     assert bounded.best(bounded.match(queries.limit(0), fields), 3).collect() == []
     assert bounded.best(bounded.match(queries, fields.limit(0)), 3).collect() == []
+
+
+def test_points_that_tie_are_cut_at_once(spark):
+    """Copies and zero vectors: k rows a query leave a task, the first by key."""
+    from corpusmill.operators import semantic
+
+    points = spark.createDataFrame([(f"p{i:04d}", [1.0, 0.0] if i % 2 else [0.0, 0.0], i) for i in range(3000)] + [(None, [1.0, 0.0], 1)], "pid string, vector array<float>, n int").coalesce(1)
+    queries = spark.createDataFrame([(q, [1.0, 0.0]) for q in range(20)] + [(99, [0.0, 0.0])], "query_id int, vector array<float>")
+    got = semantic.cosine_top(queries, points, 3, ["pid"])
+    assert {(r.query_id, r.pid, r["rank"]) for r in got.collect() if r.query_id in (0, 99)} == {(0, None, 1), (0, "p0001", 2), (0, "p0003", 3), (99, None, 1), (99, "p0000", 2), (99, "p0001", 3)}
+    assert got.count() == 63
