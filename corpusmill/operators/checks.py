@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -141,31 +144,38 @@ def asset_reuse(notes: DataFrame, least: int = REUSE) -> DataFrame:
     return rows.join(rows.groupBy("asset").agg(F.count("*").alias("n_notes")).filter(F.col("n_notes") >= least), "asset").select("asset", "n_notes", "path")
 
 
+_OPENING = re.compile(r"\s*(`{3,}|~{3,})\s*([A-Za-z0-9_-]*)", re.ASCII)
+
+
+def fenced(content: str, language: str) -> list[tuple[int, str, bool]]:
+    """(first line of code, code, closed) of the language's blocks, in time in proportion to the text: only lines that may
+    open or close a fence change the state (fence that is open, its language, first line)."""
+    lines, found = re.split(r"\r?\n", content), []
+    fence, lang, first = "", "", 0
+    for i, text in enumerate(lines):
+        if not fence:
+            opening = _OPENING.match(text)
+            if opening:
+                fence, lang, first = opening[1], opening[2].lower(), i + 1
+        elif text.lstrip(" ").startswith(fence):
+            if lang == language:
+                found.append((first + 1, "\n".join(lines[first:i]), True))
+            fence = ""
+    if fence and lang == language:
+        found.append((first + 1, "\n".join(lines[first:]), False))
+    return found
+
+
 def diagram_blocks(notes: DataFrame, language: str = "mermaid") -> DataFrame:
     """(source, path, line, code, closed): fenced blocks of the language with the first line of their code. A fence
-    inside a block of another language opens nothing."""
-    opening = r"^\s*(`{3,}|~{3,})\s*([A-Za-z0-9_-]*)"
-    lines = F.split("content", r"\r?\n")
-    # a small state per note: (fence that is open, its language, first line, code so far, blocks)
-    block = "array<struct<line:int,code:string,closed:boolean>>"
-    zero = F.struct(F.lit("").alias("fence"), F.lit("").alias("lang"), F.lit(0).alias("line"), F.array().cast(STRINGS).alias("code"), F.array().cast(block).alias("found"), F.lit(0).alias("n"))
-    made = lambda a, closed: F.concat(a["found"], F.array(F.struct(a["line"].alias("line"), F.array_join(a["code"], "\n").alias("code"), F.lit(closed).alias("closed"))))
-
-    def step(a: Column, text: Column) -> Column:
-        n = a["n"] + 1
-        fence, lang = F.regexp_extract(text, opening, 1), F.lower(F.regexp_extract(text, opening, 2))
-        open_, closes = a["fence"] != "", F.startswith(F.ltrim(text), a["fence"])
-        state = lambda f, g, i, c, r: F.struct(f.alias("fence"), g.alias("lang"), i.alias("line"), c.alias("code"), r.alias("found"), n.alias("n"))
-        none = F.array().cast(STRINGS)
-        return (
-            F.when(~open_ & (fence != ""), state(fence, lang, n + 1, none, a["found"]))
-            .when(open_ & closes, state(F.lit(""), F.lit(""), F.lit(0), none, F.when(a["lang"] == language, made(a, True)).otherwise(a["found"])))
-            .when(open_, state(a["fence"], a["lang"], a["line"], F.concat(a["code"], F.array(text)), a["found"]))
-            .otherwise(state(a["fence"], a["lang"], a["line"], a["code"], a["found"]))
-        )
-
-    folded = F.aggregate(lines, zero, step, lambda a: F.when((a["fence"] != "") & (a["lang"] == language), made(a, False)).otherwise(a["found"]))
-    return notes.select("source", "path", F.inline(folded))
+    inside a block of another language opens nothing. Python sees only notes with a line that opens one."""
+
+    @F.pandas_udf("array<struct<line:int,code:string,closed:boolean>>")
+    def blocks(content: pd.Series) -> pd.Series:
+        return content.map(lambda text: [{"line": n, "code": code, "closed": closed} for n, code, closed in fenced(text, language)])
+
+    opens = notes.filter(F.col("content").rlike(rf"(?mi)^\s*(`{{3,}}|~{{3,}})\s*\Q{language}\E"))
+    return opens.select("source", "path", F.inline(blocks("content")))
 
 
 def catalog(notes: DataFrame) -> DataFrame:

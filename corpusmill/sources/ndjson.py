@@ -10,6 +10,7 @@ from ..functions.text import sha256_hex
 from ..operators.compile import compiled_json
 from ..operators.diagnostics import diagnostic, only_hits
 from ..schemas import DOC_COLUMNS, DOC_SCHEMA, DOCS
+from .storage import materialise
 
 
 def read_docs(spark: SparkSession, path: str, schema_id: str = DOC_SCHEMA) -> DataFrame:
@@ -34,19 +35,23 @@ def safe_path(path: Column) -> Column:
     return ~path.rlike(r"(^|/)(\.{0,2})(/|$)|\\|[\x00-\x1F]")
 
 
+#: Lines that one task orders: a file of any size is checked by as many tasks as it has such blocks.
+BLOCK_LINES = 1 << 16
+
+
 def validate_lines(lines: DataFrame) -> DataFrame:
-    """lines(file, line, value) -> (file, line, code, message): every way a canonical file can be wrong."""
+    """lines(file, line, value) -> (file, line, code, message): every way a canonical file can be wrong.
+
+    What a line shows alone is found where it lies. For what lines show together only (file, line, identity) move:
+    repeated identities by an aggregate and a join, order by blocks of lines, whose ends are compared in turn."""
     rows = lines.withColumn("d", F.from_json("value", DOCS, {"mode": "PERMISSIVE"})).withColumn("keys", F.json_object_keys("value"))
     d = rows.select("file", "line", "value", "keys", "d.*")
-    n = F.count("*").over(Window.partitionBy("file", "identity"))
-    last = F.lag("identity").over(Window.partitionBy("file").orderBy("line"))
-    d = d.withColumns({"n": n, "last": last})
     want = F.array(*map(F.lit, DOC_COLUMNS))
     required = [c for c in DOC_COLUMNS if c not in ("status", "commit_time")]
     absent = F.exists(F.array(*(F.col(c).isNull() for c in required)), lambda x: x)
     hash_ = r"^[0-9a-f]{64}$"
     canonical = F.to_json(F.struct(*DOC_COLUMNS), {"ignoreNullFields": "false"})
-    rules = F.array(
+    alone = F.array(
         diagnostic("NOT-JSON", None, "line is not a JSON object", F.col("keys").isNull()),
         diagnostic("FIELDS", None, "fields differ from the schema", F.col("keys") != want),
         diagnostic("TYPE", None, "a field has the wrong type", (F.col("keys") == want) & absent),
@@ -56,16 +61,39 @@ def validate_lines(lines: DataFrame) -> DataFrame:
         diagnostic("COMPILED-HASH", "compiled_hash", "compiled hash does not match", F.col("compiled_hash") != sha256_hex(compiled_json())),
         diagnostic("IDENTITY", "identity", "identity is not source:domain:slug", ~F.startswith("identity", F.concat("source", F.lit(":"), "domain", F.lit(":")))),
         diagnostic("CANONICAL", None, "line is not in canonical form", (F.col("keys") == want) & ~absent & (F.col("value") != canonical)),
-        diagnostic("DUPLICATE", "identity", "identity stands more than once", F.col("n") > 1),
-        diagnostic("ORDER", "identity", "identities are not ascending", F.col("last") > F.col("identity")),
     )
-    return d.select("file", "line", F.inline(only_hits(rules))).select("file", "line", "code", "message")
+    found = d.select("file", "line", F.inline(only_hits(alone)))
+    slim = materialise(d.select("file", "line", "identity"), "line-identities")
+    again = slim.groupBy("file", "identity").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("file").alias("f"), F.col("identity").alias("i"))
+    again = slim.join(again, (F.col("file") == F.col("f")) & F.col("identity").eqNullSafe(F.col("i"))).select("file", "line")
+    together = F.array(diagnostic("DUPLICATE", "identity", "identity stands more than once", F.lit(True)))
+    falling = F.array(diagnostic("ORDER", "identity", "identities are not ascending", F.lit(True)))
+    found = found.unionByName(again.select("file", "line", F.inline(only_hits(together)))).unionByName(out_of_order(slim).select("file", "line", F.inline(only_hits(falling))))
+    return found.select("file", "line", "code", "message")
+
+
+def out_of_order(rows: DataFrame) -> DataFrame:
+    """rows(file, line, identity) -> (file, line) of lines whose identity is less than that of the line before. Each block is
+    ordered by itself; (last line, its identity) of a block goes to the one after it."""
+    cut = rows.withColumn("block", F.floor((F.col("line") - 1) / BLOCK_LINES))
+    ends = cut.groupBy("file", "block").agg(F.max_by("identity", "line").alias("end"))
+    before = Window.partitionBy("file").orderBy("block")  # one row a block
+    ends = ends.select("file", "block", F.lag("end").over(before).alias("end"))
+    inside = Window.partitionBy("file", "block").orderBy("line")
+    linked = cut.join(ends, ["file", "block"])
+    last = F.when(F.row_number().over(inside) == 1, F.col("end")).otherwise(F.lag("identity").over(inside))
+    return linked.withColumn("last", last).filter(F.col("last") > F.col("identity")).select("file", "line")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, value): numbered in each file by position, which text splits keep in row order."""
-    rows = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
-    return rows.select("file", F.row_number().over(Window.partitionBy("file").orderBy("at")).alias("line"), "value")
+    """(file, line, value): lines numbered in each file. Every split of a file counts its lines; sums of the counts of the
+    splits before it number them, so no file is one task."""
+    at = F.monotonically_increasing_id()
+    rows = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("split"), at.alias("at"))
+    counts = rows.groupBy("file", "split").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    upto = Window.partitionBy("file").orderBy("split")  # one row a split
+    counts = counts.select("file", "split", (F.sum("n").over(upto) - F.col("n") - F.col("first") + 1).alias("shift"))
+    return rows.join(counts, ["file", "split"]).select("file", (F.col("at") + F.col("shift")).alias("line"), "value")
 
 
 def write_canonical(docs: DataFrame, path: str) -> None:
