@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import POINT_NAMESPACE, blob_sha256, point_id
-from ..operators import audit, checks, conform, lifecycle, semantic, sync, telemetry
+from ..operators import audit, catalogs, checks, conform, lifecycle, semantic, sync, telemetry
 from ..sources import ndjson, snapshots
 from ..sources.keyed import KeyedTable
 from ..sources.storage import materialise, new_path
@@ -195,6 +195,32 @@ def apply_catalog(spark, sf_dir):
     return checks.catalog_findings(new, c).select("source", "code").union(new.select("source", F.lit("applied")))
 
 
+def catalog_lines(spark, sf_dir):
+    """Catalogs as ordered lines."""
+    return catalogs.catalog_lines(_linked(spark, sf_dir))
+
+
+def _index_lines(spark, sf_dir):
+    """Lines of the index files, and of the catalogs that they should hold."""
+    return catalogs.split_lines(_indexes(spark, sf_dir)[0]), materialise(catalog_lines(spark, sf_dir), "catalog-lines")
+
+
+def catalog_line_drift(spark, sf_dir):
+    return catalogs.line_findings(*_index_lines(spark, sf_dir)).select("source", "code", "message")
+
+
+def catalog_line_writes(spark, sf_dir):
+    """Index files with their regions replaced, written in parts and read back: size and content of each, and the findings
+    that are left."""
+    lines, catalog = _index_lines(spark, sf_dir)
+    lines, root = materialise(lines, "index-lines"), new_path(spark, "index-parts")
+    catalogs.write_lines(catalogs.apply_lines(catalogs.plan_lines(lines), lines, catalog)[0], root)
+    back = materialise(catalogs.read_lines(spark, root), "written-lines")
+    left = catalogs.line_findings(back, catalog).groupBy("source").agg(F.count("*").alias("n_findings"))
+    per = back.groupBy("source").agg(F.count("*").alias("n_lines"), F.sum(F.conv(F.substring(F.md5(F.concat_ws(":", F.col("n").cast("string"), "value")), 1, 8), 16, 10).cast("long")).alias("checksum"))
+    return per.join(left, "source", "left").select("source", "n_lines", "checksum", F.coalesce("n_findings", F.lit(0).cast("long")).alias("n_findings"))
+
+
 def check_rollup(spark, sf_dir):
     linked = _linked(spark, sf_dir)
     failed = linked.filter("doc_id % 97 = 0").select("source", F.lit("X").alias("code"), F.lit("error").alias("severity"), "path", F.lit(None).cast("string").alias("field"), F.lit("").alias("message"))
@@ -357,7 +383,7 @@ def ndjson_round_trip(spark, sf_dir):
     return good.select("identity", "source_hash", F.lit("ok").alias("state")).unionByName(bad.select(F.col("code").alias("identity"), F.lit("").alias("source_hash"), F.col("message").alias("state")))
 
 
-QUERIES = {f.__name__: f for f in (point_ids, blob_digests, sync_actions, vector_reuse, sync_report, prune_plan, retired_sources, stale_compiled, orphans, coverage_diff, apply_sync, synced_points, embed_rows, broken_links, broken_links_v1, code_pointers, reference_scan, rewrite_links, asset_reconcile, asset_reuse, diagram_blocks, catalog, catalog_drift, apply_catalog, check_rollup, frozen_gate, unused_records, unapproved_edits, ledger_violations, ledger_pairing, append_only, move_plan, capture_lines, capture_notes, promotion_gate, rewrite_headers, call_stats, stream_capture, stream_sync, snapshot_publish, ndjson_round_trip)}
+QUERIES = {f.__name__: f for f in (point_ids, blob_digests, sync_actions, vector_reuse, sync_report, prune_plan, retired_sources, stale_compiled, orphans, coverage_diff, apply_sync, synced_points, embed_rows, broken_links, broken_links_v1, code_pointers, reference_scan, rewrite_links, asset_reconcile, asset_reuse, diagram_blocks, catalog, catalog_drift, apply_catalog, catalog_lines, catalog_line_drift, catalog_line_writes, check_rollup, frozen_gate, unused_records, unapproved_edits, ledger_violations, ledger_pairing, append_only, move_plan, capture_lines, capture_notes, promotion_gate, rewrite_headers, call_stats, stream_capture, stream_sync, snapshot_publish, ndjson_round_trip)}
 
 
 def _pid(identity: str) -> str:
@@ -419,6 +445,9 @@ ORACLE_SQL = {
     "diagram_blocks": "WITH d AS (SELECT source, doc_id::VARCHAR AS path, doc_id, len(string_split(coalesce(text, ''), chr(10))) AS n FROM documents) SELECT source, path, (n + 2)::INT AS line, 'graph ' || doc_id AS code, true AS closed FROM d UNION ALL SELECT source, path, (n + 8)::INT, 'open', false FROM d",
     "catalog": f"WITH {DOCS_SQL}, {_CATALOG} SELECT * FROM cat",
     "catalog_drift": f"SELECT DISTINCT source, CASE WHEN {_IDX} = 1 THEN 'KBV2-HUMAN-INDEX-DRIFT' ELSE 'KBV2-HUMAN-INDEX-MARKER' END AS code, CASE {_IDX} WHEN 1 THEN 'human index generated catalog is out of date' WHEN 2 THEN 'human index markers are missing' WHEN 3 THEN 'human index markers must occur exactly once' ELSE 'human index end marker must follow start marker' END AS message FROM documents WHERE {_IDX} > 0",
+    "catalog_lines": f"WITH {DOCS_SQL}, {_CATALOG}, s AS (SELECT source, string_split(catalog, chr(10)) AS v FROM cat) SELECT source, unnest(range(1, len(v) + 1)) AS n, unnest(v) AS line FROM s",
+    "catalog_line_drift": f"SELECT DISTINCT source, CASE WHEN {_IDX} = 1 THEN 'KBV2-HUMAN-INDEX-DRIFT' ELSE 'KBV2-HUMAN-INDEX-MARKER' END AS code, CASE {_IDX} WHEN 1 THEN 'human index generated catalog is out of date' WHEN 2 THEN 'human index markers are missing' WHEN 3 THEN 'human index markers must occur exactly once' ELSE 'human index end marker must follow start marker' END AS message FROM documents WHERE {_IDX} > 0",
+    "catalog_line_writes": f"WITH {DOCS_SQL}, {_CATALOG}, s AS (SELECT source, string_split(CASE {_IDX} WHEN 0 THEN 'top' || chr(10) || catalog || chr(10) || 'end' ELSE catalog || chr(10) END, chr(10)) AS v FROM cat WHERE {_IDX} < 2), l AS (SELECT source, unnest(range(1, len(v) + 1)) AS n, unnest(v) AS line FROM s) SELECT source, count(*) AS n_lines, sum(('0x' || md5(n || ':' || line)[1:8])::BIGINT)::BIGINT AS checksum, 0::BIGINT AS n_findings FROM l GROUP BY 1",
     "apply_catalog": f"SELECT DISTINCT source, 'applied' AS code FROM documents WHERE {_IDX} < 2",
     "check_rollup": f"WITH {DOCS_SQL}, {_EDGES}, bad AS (SELECT source, doc_id FROM docs WHERE doc_id % 97 = 0), r AS (SELECT source, CASE WHEN len(string_split(link, ':')) = 3 THEN link ELSE source || ':' || domain || ':' || link END AS target FROM edge WHERE {_LIVE}), u AS (SELECT source, 'X' AS code FROM bad UNION ALL SELECT source, 'KBV2-LINK-BROKEN' FROM r WHERE (source, target) NOT IN (SELECT (source, identity) FROM docs) AND source NOT IN (SELECT source FROM bad) UNION ALL SELECT source, 'KBV2-CODE-BROKEN' FROM docs WHERE {_LIVE} AND (source, 'en/' || (doc_id * 2 + 1) || '.md') NOT IN (SELECT (source, source_path) FROM docs) AND source NOT IN (SELECT source FROM bad)) SELECT source, code, count(*) AS n FROM u GROUP BY 1, 2",
     "frozen_gate": f"WITH {HEAD_SQL} SELECT path AS old_path, status, CASE status WHEN 'T' THEN 'change of a frozen note is not allowed' WHEN 'M' THEN 'frozen note edited without a record' ELSE 'frozen note moved or deleted without a record' END AS problem FROM c WHERE frozen AND NOT (recorded AND right_blob)",

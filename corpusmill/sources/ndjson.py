@@ -86,14 +86,18 @@ def out_of_order(rows: DataFrame) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, value): lines numbered in each file. Every split of a file counts its lines; sums of the counts of the
-    splits before it number them, so no file is one task."""
-    at = F.monotonically_increasing_id()
-    rows = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("split"), at.alias("at"))
-    counts = rows.groupBy("file", "split").agg(F.count("*").alias("n"), F.min("at").alias("first"))
-    upto = Window.partitionBy("file").orderBy("split")  # one row a split
-    counts = counts.select("file", "split", (F.sum("n").over(upto) - F.col("n") - F.col("first") + 1).alias("shift"))
-    return rows.join(counts, ["file", "split"]).select("file", (F.col("at") + F.col("shift")).alias("line"), "value")
+    """(file, line, value): lines numbered in each file, which no task need read whole."""
+    return number_lines(spark.read.text(path).withColumn("file", F.input_file_name()), ["file"]).select("file", "line", "value")
+
+
+def number_lines(rows: DataFrame, key: list[str]) -> DataFrame:
+    """A scan of text files with ``line``, from 1 in each file; ``key`` are columns that tell files apart. Every split of a file
+    counts its lines, and sums of the counts of the splits before it number them."""
+    rows = rows.withColumns({"split": F.col("_metadata.file_block_start"), "at": F.monotonically_increasing_id()})
+    counts = rows.groupBy(*key, "split").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    upto = Window.partitionBy(*key).orderBy("split")  # one row a split
+    counts = counts.select(*key, "split", (F.sum("n").over(upto) - F.col("n") - F.col("first") + 1).alias("shift"))
+    return rows.join(counts, [*key, "split"]).withColumn("line", F.col("at") + F.col("shift")).drop("split", "at", "shift")
 
 
 def write_canonical(docs: DataFrame, path: str) -> None:
