@@ -226,11 +226,13 @@ def held_out(id_col: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Field:
-    """Fits on labelled documents that are not held out, at most SAMPLE_DOCS of them."""
+    """Fits on labelled documents that are not held out, at most SAMPLE_DOCS of them; of rows that repeat an id one counts."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter("label is not null")
     known = known.filter(~held_out("doc_id")).groupBy("doc_id").agg(F.max("label").alias("label"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)  # the bound that makes the broadcast safe
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), F.col("text").alias("text"))).alias("one")
+    rows = rows.groupBy("doc_id").agg(F.max("label").alias("label"), one).select("doc_id", "label", "one.text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -242,7 +244,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     got = rows.select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, size array<long>, features binary").toArrow().sort_by("doc_id")
     sizes = [np.asarray(x, np.int64) for x in got.column("size").to_pylist()]
     first = np.concatenate([[0], np.cumsum([len(x) for x in sizes])]).astype(np.int64)
-    features = np.frombuffer(b"".join(got.column("features").to_pylist()), "<f4").reshape(-1, N_FEATURES).astype(np.float64)
+    features = np.zeros((first[-1], N_FEATURES))
+    for a, b, data in zip(first[:-1], first[1:], got.column("features")):
+        features[a:b] = np.frombuffer(data.as_buffer(), "<f4").reshape(-1, N_FEATURES)
     return fit(features, np.concatenate([np.zeros(0, np.int64), *sizes]), first, np.asarray(got.column("label").to_pylist(), np.int64))
 
 

@@ -11,6 +11,7 @@ play no part, so repeated rows count as often as they stand; very long texts are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -58,7 +59,10 @@ def cut_totals(histogram: DataFrame, limits: list[int]) -> DataFrame:
     return totals.select("context_limit", over.alias("docs_over"), (F.col("t") - F.coalesce("o", F.lit(0)) + over * F.col("context_limit")).alias("tokens_cut"))
 
 
-def length_quantile(histogram: DataFrame, share: float) -> DataFrame:
-    """The least length L such that at least ``share`` of the documents are not longer than L."""
-    upto = F.col("docs_total") - F.col("docs_at_least") + F.col("n_docs")
-    return histogram.filter(upto >= F.ceil(F.lit(share) * F.col("docs_total"))).agg(F.min("length").alias("length"))
+def length_quantile(histogram: DataFrame, share: float | str) -> DataFrame:
+    """The least length L such that at least ``share`` of the documents are not longer than L. The share counts as it is
+    written (0.07 is 7 of 100), in whole numbers."""
+    part = Fraction(str(share))
+    upto = (F.col("docs_total") - F.col("docs_at_least") + F.col("n_docs")).cast("decimal(38,0)")
+    enough = upto * F.lit(part.denominator).cast("decimal(38,0)") >= F.col("docs_total").cast("decimal(38,0)") * F.lit(part.numerator).cast("decimal(38,0)")
+    return histogram.filter(enough).agg(F.min("length").alias("length"))

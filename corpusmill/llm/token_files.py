@@ -69,7 +69,8 @@ def write_token_files(docs: DataFrame, out: str, tokenizer_path: str, end_id: in
             yield pa.RecordBatch.from_pydict({"shard": pa.array([context.partitionId()], pa.int32()), "name": [name], "n_docs": [sum(map(len, ids))], "n_tokens": [int(offsets[-1][-1])]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, MANIFEST).withColumn("id_type", F.lit(kind)).write.parquet(f"{out}/manifest")
+    # null and repeated ids are spread by a hash of the text
+    rows.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", "text").mapInArrow(run, MANIFEST).withColumn("id_type", F.lit(kind)).write.parquet(f"{out}/manifest")
 
 
 def shards(spark: SparkSession, out: str) -> DataFrame:

@@ -73,14 +73,17 @@ def split_records(chunks: Iterator[bytes]) -> Iterator[bytes]:
 
 
 def inflate(source) -> Iterator[bytes]:
-    """The bytes of a gzip file of one or more members, in chunks of bounded size."""
-    engine = zlib.decompressobj(31)
+    """The bytes of a gzip file of one or more members, in chunks of bounded size; a file that ends inside one is an error."""
+    engine, whole = zlib.decompressobj(31), True
     while data := source.read(CHUNK):
         while data:
+            whole = False
             yield engine.decompress(data, CHUNK)
             data = engine.unconsumed_tail
             if engine.eof:
-                data, engine = engine.unused_data, zlib.decompressobj(31)
+                data, engine, whole = engine.unused_data, zlib.decompressobj(31), True
+    if not whole:
+        raise ValueError("the archive ends inside a gzip member")
 
 
 def deflate(data: bytes) -> bytes:
@@ -134,12 +137,13 @@ def one_task_each(files: DataFrame) -> DataFrame:
 
 def normalise_archives(files: DataFrame, source: str, out: str) -> DataFrame:
     """Rewrites each file of ``source`` with one gzip member per record, and an index file beside it: a line of offset,
-    length and record id per record. Returns (name, n_records)."""
+    length and record id per record. Returns (name, n_records). A file with another number of records than ``files`` says
+    (null: not known) is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (fs, here), (to, there) = file_system(source), file_system(out)
         for batch in batches:
-            for name in batch.column("name").to_pylist():
+            for name, expected in zip(batch.column("name").to_pylist(), batch.column("n_records").to_pylist()):
                 to.create_dir(there, recursive=True)
                 new = f"{name}-{TaskContext.get().taskAttemptId()}"
                 with fs.open_input_stream(f"{here}/{name}.warc.gz", compression=None) as data, to.open_output_stream(f"{there}/{new}.warc.gz", compression=None) as sink, to.open_output_stream(f"{there}/{new}.idx") as index:
@@ -150,6 +154,8 @@ def normalise_archives(files: DataFrame, source: str, out: str) -> DataFrame:
                         head = _headers(record[: record.index(b"\r\n\r\n")])
                         index.write(f"{at} {len(member)} {head.get('warc-record-id', '-')}\n".encode())
                         at, n = at + len(member), n + 1
+                if expected is not None and n != expected:
+                    raise ValueError(f"{name}: {n} records where {expected} were written")
                 yield pa.RecordBatch.from_pydict({"name": [new], "n_records": [n]})
 
     return materialise(one_task_each(files).mapInArrow(run, FILES), "archives")
