@@ -20,12 +20,23 @@ QUERY_BYTES = 64 << 20
 TILE = 4 << 20
 
 
-def _blocks(queries: DataFrame, dim_bytes: int) -> list[DataFrame]:
-    n = queries.count()
-    blocks = max(1, -(-n * dim_bytes // QUERY_BYTES))
+def query_blocks(queries: DataFrame, bytes_each: int, most: int = QUERY_BYTES) -> list[DataFrame]:
+    """Queries in parts of about ``most`` bytes."""
+    blocks = max(1, -(-queries.count() * bytes_each // most))
     return [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i) for i in range(blocks)] if blocks > 1 else [queries]
 
 
+def first_best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, point) of the k best points of each row of scores: those better than the k-th, and of those as good as it the
+    first ones."""
+    if scores.shape[1] <= k:
+        return tuple(x.ravel() for x in np.indices(scores.shape))
+    least = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k, None]
+    better, equal = scores > least, scores == least
+    room = k - better.sum(1, keepdims=True)
+    return np.nonzero(better | (equal & (np.cumsum(equal, 1, dtype=np.int32) <= room)))
+
+
 def cosine_top(query_vectors: DataFrame, points: DataFrame, k: int, keys: list[str], per_object: str | None = None) -> DataFrame:
     """(query_id, *keys, score, rank): the k nearest points of each query by cosine, ties by the keys.
 
@@ -33,7 +44,7 @@ def cosine_top(query_vectors: DataFrame, points: DataFrame, k: int, keys: list[s
     task are kept only where an object has several points, so the cut stays exact."""
     size = points.select(F.max(F.size("vector"))).first()[0] or 1
     out = None
-    for block in _blocks(query_vectors, 8 * size):
+    for block in query_blocks(query_vectors, 8 * size):
         rows = block.select("query_id", "vector").collect()  # at most QUERY_BYTES
         names = [r[0] for r in rows]
         matrix = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
@@ -57,14 +68,7 @@ def cosine_top(query_vectors: DataFrame, points: DataFrame, k: int, keys: list[s
                 step = max(1, TILE // len(vectors))
                 for low in range(0, len(names), step):
                     scores = matrix[low : low + step] @ vectors.T
-                    if not per_object and scores.shape[1] > k:
-                        # the points better than the k-th best of a query, and of those as good as it the first by key
-                        least = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k, None]
-                        better, equal = scores > least, scores == least
-                        room = k - better.sum(1, keepdims=True)
-                        query, point = np.nonzero(better | (equal & (np.cumsum(equal, 1, dtype=np.int32) <= room)))
-                    else:
-                        query, point = (x.ravel() for x in np.indices(scores.shape))
+                    query, point = first_best(scores, k) if not per_object else (x.ravel() for x in np.indices(scores.shape))
                     found.append(keep.iloc[point].assign(score=scores[query, point], query_id=[names[low + i] for i in query.tolist()]))
                     if per_object:
                         found[-1] = found[-1].sort_values(order, ascending=ascending, na_position="first").drop_duplicates(["query_id", per_object]).groupby("query_id").head(k)

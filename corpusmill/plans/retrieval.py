@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.segment import UNIT, segmenter
-from ..operators import bounded, evaluate, fusion, lexical, semantic
+from ..operators import bounded, cells, evaluate, fusion, lexical, semantic
 from ..sources.export import export_hits
 from ..sources.storage import materialise, spread
 from .standins import DOCS_SQL, docs, table
@@ -105,6 +105,12 @@ def knn_topk(spark, sf_dir):
     return semantic.cosine_top(vectors(spark, sf_dir), points(spark, sf_dir), K, ["vec_id"]).select("query_id", "vec_id", "rank", F.round("score", 5).alias("score"))
 
 
+def knn_cells(spark, sf_dir):
+    """``knn_topk`` by way of cells of points."""
+    index = cells.build_index(points(spark, sf_dir).select("vec_id", "vector"), ["vec_id"])
+    return cells.pruned_top(vectors(spark, sf_dir), index, K, ["vec_id"]).hits.select("query_id", "vec_id", "rank", F.round("score", 5).alias("score"))
+
+
 def knn_filtered(spark, sf_dir):
     return semantic.cosine_top(vectors(spark, sf_dir), points(spark, sf_dir).filter("label in (1, 3, 5)"), K, ["vec_id"]).select("query_id", "vec_id", "rank", F.round("score", 5).alias("score"))
 
@@ -239,7 +245,7 @@ def ab_verdict(spark, sf_dir):
     return evaluate.ab_verdict(candidate, default)
 
 
-QUERIES = {f.__name__: f for f in (postings, postings_rows, field_stats, bm25_topk, bm25_per_source, bm25_global, bm25_facets, query_features, cjk_tokens, knn_topk, knn_filtered, knn_dedup, stale_gate, rrf_fusion, kind_prior, recall_health, export_ranked, gold_metrics, gold_slices, gates, ab_verdict)}
+QUERIES = {f.__name__: f for f in (postings, postings_rows, field_stats, bm25_topk, bm25_per_source, bm25_global, bm25_facets, query_features, cjk_tokens, knn_topk, knn_cells, knn_filtered, knn_dedup, stale_gate, rrf_fusion, kind_prior, recall_health, export_ranked, gold_metrics, gold_slices, gates, ab_verdict)}
 
 _RUNS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
 _TERMS = f"""
@@ -341,6 +347,7 @@ ORACLE_SQL = {
                 SELECT doc_id, w, c FROM parts ANTI JOIN runs USING (w) WHERE length(w) <= 40)
         SELECT term, count(DISTINCT doc_id) AS df, sum(c)::BIGINT AS tf FROM tok GROUP BY term""",
     "knn_topk": f"SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank, round(s, 5) AS score FROM ({_knn('')}) QUALIFY rank <= {K}",
+    "knn_cells": f"SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank, round(s, 5) AS score FROM ({_knn('')}) QUALIFY rank <= {K}",
     "knn_filtered": f"SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank, round(s, 5) AS score FROM ({_knn('AND p.label IN (1, 3, 5)')}) QUALIFY rank <= {K}",
     "knn_dedup": f"SELECT query_id, label, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, label, vec_id) AS rank, round(s, 5) AS score FROM (SELECT * FROM ({_knn('')}) QUALIFY row_number() OVER (PARTITION BY query_id, label ORDER BY s DESC, vec_id) = 1) QUALIFY rank <= {K}",
     "stale_gate": f"{LANES_SQL} SELECT query_id, identity, reason FROM gated",
