@@ -45,7 +45,7 @@ class Encoder:
         self.bytes = np.zeros(max(vocab.values()) + 1, np.int64)
         for name, i in vocab.items():
             self.bytes[i] = len(name)
-        self.cache = PieceCache(self._learn, self._forget)
+        self.cache = PieceCache(self._learn, self._forget, most=3 << 20)
         self._forget()
 
     def _forget(self) -> None:
