@@ -5,6 +5,7 @@ All run inside Spark tasks on slices of bounded size. A null text is an empty te
 
 from __future__ import annotations
 
+import ctypes
 import functools
 from collections.abc import Iterator
 
@@ -44,6 +45,15 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 2
             end = max(begin + 1, int(np.searchsorted(ends, before + most, "right")))
             yield batch.slice(begin, end - begin)
             begin = end
+    release()
+
+
+def release() -> None:
+    """Gives back to the system what a task has freed: its worker lives on, for tasks of other stages too."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
