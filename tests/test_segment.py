@@ -70,3 +70,41 @@ def test_long_runs(spark):
     lexicon = segment.Lexicon([("南京", 3), ("京南京", 2)])
     assert len("".join(lexicon.cut("南京" * 200_000))) == 400_000
     assert CJK.startswith(r"[\x{3400}-\x{4DBF}")
+
+
+def test_cutting_takes_memory_by_the_words_not_by_their_copies(monkeypatch):
+    """A batch as Spark gives it, of few words that stand many times; lists over edges of parts, null and empty ones."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    lexicon = segment.Lexicon([("南京", 3), ("长江", 2), ("长江大桥", 9)])
+    batch = pa.array([["南京长江大桥", "abc", "长江", "江" * 3] * 5000] * 20, pa.list_(pa.string()))
+    tracemalloc.start()
+    got = segment.cut_lists(batch, lexicon)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 << 20
+    assert got[19].as_py()[:9] == ["南京", "长江", "长江大桥", "abc", "长江", "江", "江", "江", "南京"] and len(got[0]) == 40_000
+    monkeypatch.setattr(segment, "AT_ONCE", 3)
+    rows = [["南京", "x"], None, [], ["长江大桥"], ["a"] * 7, None]
+    want = [None if ws is None else [t for w in ws for t in lexicon.tokens(w)] for ws in rows]
+    for part in (pa.array(rows, pa.list_(pa.string())), pa.array([["y"], *rows], pa.list_(pa.string())).slice(1)):
+        assert segment.cut_lists(part, lexicon).to_pylist() == want
+    assert segment.cut_lists(pa.array([], pa.list_(pa.string())), lexicon).to_pylist() == []
+
+
+def test_long_terms_are_found_whole():
+    long = "".join(chr(0x4E00 + i % 50) for i in range(3 * segment.PREFIX))
+    lexicon = segment.Lexicon([(long, 5), (long[:2], 1)])
+    assert lexicon.cut("京" + long + "京") == ["京", long, "京"] and len(lexicon.begins) == segment.PREFIX
+
+
+def test_texts_in_pieces_give_the_same_tokens(spark):
+    table = spark.createDataFrame([("南京", 3), ("长江", 2)], "term string, freq long")
+    rows = spark.createDataFrame([(1, "南京长江 ab " * 300), (2, ""), (3, None), (4, "长江")], "id long, text string")
+    natural, cut = segment.segmenter(table), segment.cutter(table)
+    parts = segment.pieces(rows.select("id", segment.words(F.col("text")).alias("words")))
+    assert parts.agg(F.max(F.size("words"))).first()[0] <= segment.PIECE
+    count = lambda d: {tuple(r) for r in d.groupBy("id", "t").count().collect()}
+    assert count(parts.select("id", F.explode(cut(F.col("words"))).alias("t"))) == count(rows.select("id", F.explode(natural(F.col("text"))).alias("t"))) != set()
