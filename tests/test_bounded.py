@@ -74,3 +74,15 @@ def test_points_that_tie_are_cut_at_once(spark):
     got = semantic.cosine_top(queries, points, 3, ["pid"])
     assert {(r.query_id, r.pid, r["rank"]) for r in got.collect() if r.query_id in (0, 99)} == {(0, None, 1), (0, "p0001", 2), (0, "p0003", 3), (99, None, 1), (99, "p0000", 2), (99, "p0001", 3)}
     assert got.count() == 63
+
+
+def test_a_batch_is_worked_on_in_parts():
+    """A batch as Spark gives it, of up to 64 MB, goes through in parts of bounded size that hold the same rows."""
+    size = np.array([0, 5, 3, 100, 0, 1, 1, 1])
+    assert list(bounded._ranges(size, 8)) == [(0, 3), (3, 4), (4, 8)]
+    assert list(bounded._ranges(size, 1000, 3)) == [(0, 3), (3, 6), (6, 8)] and list(bounded._ranges(size[:0], 8)) == []
+    lists = pa.array([["w"] * (bounded.TOKENS // 4)] * 10 + [None, []] + [["w"] * (2 * bounded.TOKENS)], pa.list_(pa.string()))
+    batch = pa.record_batch({"id": pa.array(range(13)), "t0": lists, "t1": pa.array([["x"]] * 13)})
+    parts = list(bounded._parts(iter([batch]), 2))
+    assert pa.Table.from_batches(parts)["id"].to_pylist() == list(range(13))
+    assert all(p.num_rows == 1 or sum(len(p.column(c).flatten()) for c in ("t0", "t1")) <= bounded.TOKENS for p in parts) and len(parts) > 3
