@@ -22,12 +22,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.storage import materialise
-from .semantic import QUERY_BYTES, TILE, first_best, query_blocks
+from .semantic import QUERY_BYTES, ROWS, TILE, candidates, found_rows, hit_schema, matrix_of, offer, query_blocks, running_best, unit
 
 #: Vectors of the sample that centres are fitted on, cells at most, points to look at before the first bound, times k.
 SAMPLE, MOST_CELLS, SEED = 1 << 14, 1024, 4
@@ -37,10 +38,6 @@ SLACK = 1e-6
 ZERO = -1
 
 
-def unit(vectors: np.ndarray) -> np.ndarray:
-    return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
-
-
 def angles(cosines: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(cosines, -1, 1))
 
@@ -82,7 +79,7 @@ def build_index(points: DataFrame, keys: list[str], cells: int | None = None) ->
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         centres = held.value
-        for batch in batches:
+        for batch in (whole.iloc[low : low + ROWS] for whole in batches for low in range(0, len(whole), ROWS)):
             batch = batch[batch["vector"].notna()]
             if not len(batch):
                 continue
@@ -106,43 +103,30 @@ class Found:
     visited: float
 
 
-def _score(index: Index, names: list, matrix: np.ndarray, look: np.ndarray, k: int, keys: list[str], per_object: str | None, query_type: str) -> DataFrame:
+def _score(index: Index, names: pa.Array, matrix: np.ndarray, look: np.ndarray, k: int, keys: list[str], per_object: str | None, schema: str) -> DataFrame:
     """Scores of each query with the points of the cells that it looks into (a row of ``look``); a task's best k a query."""
-    plan = {int(c): np.flatnonzero(look[:, j]) for j, c in enumerate(index.cell)}
+    plan = {int(c): np.flatnonzero(look[:, j]).astype(np.int32) for j, c in enumerate(index.cell)}
     held = index.points.sparkSession.sparkContext.broadcast((names, matrix, plan))
-    order, ascending = ["query_id", "score", *keys], [True, False, *[True] * len(keys)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, matrix, plan = held.value
-        best: pd.DataFrame | None = None
-        for batch in batches:
-            if per_object:
-                batch = batch[batch[per_object].fillna("").astype(str) != ""]
-            batch = batch.sort_values(keys, na_position="first").reset_index(drop=True)
-            found = [best] if best is not None else []
-            for cell, rows in batch.groupby("cell").indices.items():
-                asking = plan.get(int(cell), ())
+        top = running_best(k, keys, per_object)
+        for batch in candidates(batches, keys, per_object):
+            cell = batch.column("cell").to_numpy()
+            for c in np.unique(cell).tolist():
+                asking = plan.get(c, ())
                 if not len(asking):
                     continue
-                vectors = unit(np.array(batch["vector"].iloc[rows].tolist(), np.float64))
-                step = max(1, TILE // len(rows))
+                points = batch.take(pa.array(np.flatnonzero(cell == c)))
+                vectors = unit(matrix_of(points.column("vector")))
+                step = max(1, TILE // len(vectors))
                 for low in range(0, len(asking), step):
-                    who = asking[low : low + step]
-                    scores = np.round(matrix[who] @ vectors.T, 12)
-                    query, point = first_best(scores, k) if not per_object else (x.ravel() for x in np.indices(scores.shape))
-                    found.append(batch[keys].iloc[rows[point]].assign(score=scores[query, point], query_id=[names[i] for i in who[query].tolist()]))
-            if found:
-                best = pd.concat(found).sort_values(order, ascending=ascending, na_position="first")
-                if per_object:
-                    best = best.drop_duplicates(["query_id", per_object])
-                best = best.groupby("query_id").head(k)
-        if best is not None:
-            yield best[["query_id", *keys, "score"]]
-
-    kinds = dict(index.points.dtypes)
-    schema = f"query_id {query_type}, " + ", ".join(f"`{c}` {kinds[c]}" for c in keys) + ", score double"
+                    who = asking[low : low + step].astype(np.int64)
+                    offer(top, who, np.round(matrix[who] @ vectors.T, 12), points, keys, per_object)
+        yield from found_rows(top, names, keys)
+
     wanted = [int(c) for c, asked in plan.items() if len(asked)]
-    return index.points.filter(F.col("cell").isin(wanted)).select(*keys, "vector", "cell").mapInPandas(run, schema)
+    return index.points.filter(F.col("cell").isin(wanted)).select(*keys, "vector", "cell").mapInArrow(run, schema)
 
 
 def _cut(hits: DataFrame, k: int, keys: list[str], per_object: str | None) -> DataFrame:
@@ -154,14 +138,14 @@ def _cut(hits: DataFrame, k: int, keys: list[str], per_object: str | None) -> Da
 
 def pruned_top(query_vectors: DataFrame, index: Index, k: int, keys: list[str], per_object: str | None = None) -> Found:
     """What ``semantic.cosine_top`` gives, from the cells that can matter. Queries go in blocks of ``QUERY_BYTES``."""
-    kind, scored, pairs = dict(query_vectors.dtypes)["query_id"], 0, 0
+    kind, schema, scored, pairs = dict(query_vectors.dtypes)["query_id"], hit_schema(query_vectors, index.points, keys), 0, 0
     out = index.points.limit(0).select(F.lit(None).cast(kind).alias("query_id"), *keys, F.lit(0.0).alias("score"))
     for block in query_blocks(query_vectors, 8 * max(1, index.centres.shape[1]) + 8 * max(1, len(index.cell)), QUERY_BYTES):
-        rows = block.select("query_id", "vector").collect()  # at most QUERY_BYTES
-        if not rows:
+        rows = block.select("query_id", "vector").toArrow()  # at most QUERY_BYTES
+        if not rows.num_rows:
             continue
-        names = [r[0] for r in rows]
-        matrix = unit(np.array([r[1] for r in rows], np.float64))
+        names = rows["query_id"].combine_chunks()
+        matrix = unit(matrix_of(rows["vector"].combine_chunks()))
         free = (index.cell == ZERO)[None, :] | ~matrix.any(1)[:, None]  # where no bound holds
         apart = angles(matrix @ index.centres.T) if (index.cell != ZERO).any() else np.zeros((len(rows), len(index.cell)))
         order = np.argsort(np.where(index.cell == ZERO, -1.0, apart), 1, kind="stable")
@@ -169,10 +153,10 @@ def pruned_top(query_vectors: DataFrame, index: Index, k: int, keys: list[str],
         seed = np.zeros(apart.shape, bool)
         np.put_along_axis(seed, order, before < SEED * k, 1)
         seed |= free
-        first = materialise(_cut(_score(index, names, matrix, seed, k, keys, per_object, kind), k, keys, per_object).drop("rank"), "seed-hits")
+        first = materialise(_cut(_score(index, names, matrix, seed, k, keys, per_object, schema), k, keys, per_object).drop("rank"), "seed-hits")
         least = {r.query_id: r.score for r in first.groupBy("query_id").agg(F.min("score").alias("score"), F.count("*").alias("n")).filter(F.col("n") == k).collect()}
-        reach = angles(np.array([least.get(name, -1.0) for name in names]))
+        reach = angles(np.array([least.get(name, -1.0) for name in names.to_pylist()]))
         rest = ~seed & (apart - index.radius[None, :] <= reach[:, None] + SLACK)
-        out = out.unionByName(first).unionByName(_score(index, names, matrix, rest, k, keys, per_object, kind))
+        out = out.unionByName(first).unionByName(_score(index, names, matrix, rest, k, keys, per_object, schema))
         scored, pairs = scored + int((seed | rest).astype(np.int64).dot(index.size).sum()), pairs + len(names) * int(index.size.sum())
     return Found(_cut(out, k, keys, per_object), scored / pairs if pairs else 0.0)
