@@ -278,3 +278,13 @@ def test_legacy_documents(spark):
     row = spark.createDataFrame([("s", "a/b.md", "text", None)], "source string, path string, content string, body string").withColumn("fields", F.lit(None).cast("map<string,struct<type:string,scalar:string,items:array<string>>>"))
     doc = compile_.compile_legacy(corpus.legacy_notes(row)).first()
     assert doc.identity == "s:legacy:a/b" and doc.keywords == ["legacy", "raw", "unverified"] and doc.body_text.endswith("text")
+
+
+def test_headers_are_rewritten_without_their_bodies(spark):
+    """Python gets the headers alone: no plan step hands over whole notes."""
+    value = "map<string,struct<scalar:string,items:array<string>>>"
+    notes = spark.createDataFrame([(i, f"---\nstatus: raw\n---\nbody {i}", None if i % 2 else {"status": ("derived", None)}) for i in range(5)], f"id int, content string, updates {value}")
+    out = conform.rewrite_fields(notes)
+    assert {r.id: r.new_content for r in out.collect()} == {i: f"---\nstatus: {'raw' if i % 2 else 'derived'}\n---\nbody {i}" for i in range(5)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInPandas" not in plan
