@@ -37,12 +37,17 @@ def wanted(spark, sf_dir):
 def points(spark, sf_dir):
     """The index before: no point for every tenth document, other texts, kinds and units for some; two sources retired
     under new names and points without documents."""
-    d = docs(spark, sf_dir)
-    p = sync.desired_points(d).join(d.select("identity", "doc_id"), "identity").filter("doc_id % 10 <> 0")
+    p = sync.desired_points(docs(spark, sf_dir), others=["doc_id"]).filter("doc_id % 10 <> 0")
     p = p.withColumns({"text_hash": F.when(_n() % 7 == 1, F.sha2(F.concat(F.lit("old"), "text"), 256)).otherwise(F.col("text_hash")), "kind": F.when(_n() % 5 == 2, F.lit("spec")).otherwise(F.col("kind"))})
-    extra = p.filter("doc_id % 4 = 0").withColumn("identity", F.concat_ws(":", "source", F.lit("gone"), "doc_id")).withColumn("point_id", point_id(F.col("identity")))
-    retired = p.filter("doc_id % 9 = 0").withColumn("source", F.concat(F.lit("retired"), _n() % 2)).withColumn("identity", F.concat_ws(":", "source", "domain", "doc_id")).withColumn("point_id", point_id(F.col("identity")))
-    return p.unionByName(extra).unionByName(retired).withColumn("vector", F.array(_n().cast("float"), F.lit(1.0).cast("float"))).drop("text", "source", "doc_id")
+    extra = F.when(_n() % 4 == 0, F.concat_ws(":", "source", F.lit("gone"), "doc_id"))
+    retired = F.when(_n() % 9 == 0, F.concat_ws(":", F.concat(F.lit("retired"), _n() % 2), "domain", "doc_id"))
+    p = p.withColumn("identity", F.explode(F.array_compact(F.array("identity", extra, retired))))
+    return p.select(point_id(F.col("identity")).alias("point_id"), *sync.PAYLOAD, F.array(_n().cast("float"), F.lit(1.0).cast("float")).alias("vector"))
+
+
+def planned(spark, sf_dir):
+    """What is wanted, without texts, and the index before: written once, as plans and guards read them many times."""
+    return materialise(wanted(spark, sf_dir).drop("text"), "wanted"), materialise(points(spark, sf_dir), "points")
 
 
 def sync_actions(spark, sf_dir):
@@ -54,7 +59,7 @@ def vector_reuse(spark, sf_dir):
 
 
 def sync_report(spark, sf_dir):
-    new, old = wanted(spark, sf_dir), points(spark, sf_dir)
+    new, old = planned(spark, sf_dir)
     return sync.sync_report(sync.plan_actions(new, old), None, sync.prune_plan(old, new))
 
 
@@ -86,9 +91,9 @@ def coverage_diff(spark, sf_dir):
 
 def apply_sync(spark, sf_dir):
     """The point table after a run with an embedder of two numbers: a second run finds nothing to do."""
-    asked, old = wanted(spark, sf_dir), materialise(points(spark, sf_dir), "points")
-    plan = sync.plan_actions(asked, old)
-    done = materialise(semantic.embed_rows(plan.filter("action = 'embed'"), _embed, 2), "embedded")
+    asked, old = planned(spark, sf_dir)
+    plan = materialise(sync.plan_actions(asked, old), "plan")
+    done = materialise(semantic.embed_rows(sync.to_embed(plan, wanted(spark, sf_dir)), _embed, 2), "embedded")
     new = materialise(sync.apply_plan(plan, old, done, sync.prune_plan(old, asked, force=True)), "points")
     return sync.plan_actions(asked, new).groupBy("action").agg(F.count("*").alias("n"))
 

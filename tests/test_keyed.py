@@ -104,3 +104,21 @@ def test_a_stream_writes_buckets_of_its_changes(spark, tmp_path):
     assert len(held) == 41 and held["s:d:5"] == [5.0] and held["s:d:99"] == held["s:d:7"] == [6.0]
     assert run(doc(3, "text 3"), doc(5, "newer", 2), doc(99, "text 7"))[1] == 0
     assert calls.value == 41
+
+
+def test_texts_are_neither_shuffled_for_a_plan_nor_written(spark, tmp_path):
+    """The stand-in index is made without a shuffle; plans carry no text, and only rows to embed get theirs."""
+    from corpusmill.plans import upkeep
+    from corpusmill.sources import storage
+
+    texts = [(i, f"text {i}", "en", f"src{i % 3}", 6) for i in range(60)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long").repartition(30).write.parquet(str(tmp_path / "documents.parquet"))
+    points = upkeep.points(spark, str(tmp_path))
+    assert "hashpartitioning" not in points._jdf.queryExecution().executedPlan().toString()
+    assert points.count() == len({r.identity for r in points.collect()}) == sum(1 + (i % 4 == 0) + (i % 9 == 0) for i in range(60) if i % 10)
+    asked = upkeep.wanted(spark, str(tmp_path))
+    seen = []
+    held = KeyedTable.create(points.select("point_id", "vector", *sync.PAYLOAD), storage.new_path(spark, "slim"), "point_id", 4)
+    plan, written = sync.apply_to(held, asked, lambda rows: seen.append(rows) or semantic.embed_rows(rows, upkeep._embed, 2))
+    assert "text" not in plan.columns and written > 0
+    assert {(r.identity, r.text) for r in seen[0].select("identity", "text").collect()} == {(r.identity, r.text) for r in plan.filter("action = 'embed'").join(asked.select("identity", "text"), "identity").collect()} != set()
