@@ -245,12 +245,12 @@ def isolated_fleet(spark, sf_dir):
 def foreign_units(spark, sf_dir):
     d = docs(spark, sf_dir)
     mode = F.when(_n() % 9 == 0, "chunk").when(_n() % 9 != 1, "whole")
-    return sync.foreign_units(sync.desired_points(d).drop("unit_mode").join(d.select("identity", mode.alias("unit_mode")), "identity")).select("identity", "unit_mode")
+    return sync.foreign_units(sync.desired_points(d, others=["doc_id"]).withColumn("unit_mode", mode)).select("identity", "unit_mode")
 
 
 def _fleet(spark, sf_dir):
     """A run over all sources: one fails as a whole, some embeddings fail, some sources have integrity findings."""
-    all_, points = up.wanted(spark, sf_dir), up.points(spark, sf_dir)
+    all_, points = up.planned(spark, sf_dir)
     broken = all_.filter("source = 'src3'").select("source", F.lit("unreadable").alias("error")).distinct()
     wanted = all_.join(broken, "source", "left_anti")
     plan = materialise(sync.plan_actions(wanted, points), "plan")
