@@ -75,27 +75,27 @@ def old_collections(spark, sf_dir):
 
 
 def _recall(spark, sf_dir, lane):
-    d, a, b = r.lanes(spark, sf_dir)
+    d, a, b = r.lanes(spark, sf_dir, lane != "lexical")
     hits, health = fusion.recall(r.asked(spark, sf_dir), a, b, r.published(d), K, lane)
-    return d, hits.withColumn("score", F.round("score", 9)), health
+    return hits.withColumn("score", F.round("score", 9)), health
 
 
 def recall_lexical(spark, sf_dir):
-    return _recall(spark, sf_dir, "lexical")[1]
+    return _recall(spark, sf_dir, "lexical")[0]
 
 
 def recall_semantic(spark, sf_dir):
-    return _recall(spark, sf_dir, "semantic")[1]
+    return _recall(spark, sf_dir, "semantic")[0]
 
 
 def lane_health(spark, sf_dir):
     """Lexical lane asked for: vectors are off, and that is no degradation."""
-    return _recall(spark, sf_dir, "lexical")[2].select("query_id", "status", "semantic_on", "freshness", "n_hits")
+    return _recall(spark, sf_dir, "lexical")[1].select("query_id", "status", "semantic_on", "freshness", "n_hits")
 
 
 def recall_enriched(spark, sf_dir):
     """Fused hits with what a reader of them sees; every third document has a point."""
-    d, hits, _ = _recall(spark, sf_dir, "hybrid")
+    d, (hits, _) = docs(spark, sf_dir), _recall(spark, sf_dir, "hybrid")
     d = d.withColumn("keywords", F.when(_n() % 4 == 0, F.array(F.lit("raw"))).otherwise(F.col("keywords")))
     sources = d.select("source", F.concat(F.lit("/data/"), "source").alias("root"), (F.length("source") > 4).alias("legacy")).distinct()
     known = d.filter("doc_id % 3 = 0").select(point_id(F.col("identity")).alias("point_id"))

@@ -288,3 +288,19 @@ def test_headers_are_rewritten_without_their_bodies(spark):
     assert {r.id: r.new_content for r in out.collect()} == {i: f"---\nstatus: {'raw' if i % 2 else 'derived'}\n---\nbody {i}" for i in range(5)}
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan and "MapInPandas" not in plan
+
+
+def test_lengths_and_facts_need_no_postings_and_no_second_hashing(spark):
+    """Field statistics shuffle no terms; what gates compare is hashed once and read from a table."""
+    from corpusmill.operators import lexical
+    from corpusmill.plans import retrieval
+
+    where = "/root/testdata/sf0.001"
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    stats = retrieval.field_stats(spark, where)
+    assert "tf" in plan(stats) and "explode" not in plan(stats)
+    fields = retrieval._fields(spark, where)
+    both = [{(r.corpus, r.field): (r.n_docs, round(r.avgdl, 9)) for r in lexical.field_stats(fields, rows, p).collect()} for p in ("v1", "v2") for rows in (lexical.field_lengths(fields, p), lexical.postings(fields, p))]
+    assert both[0] == both[1] and both[2] == both[3] and both[0]
+    facts = retrieval.lanes(spark, where)[0]
+    assert "sha2" not in plan(facts) and facts.count() > 0
