@@ -212,9 +212,10 @@ _BROKEN = ("src3", "src7")
 
 
 def _broken_fleet(spark, sf_dir):
-    """Each source's compiled documents as files of its own, those of two sources cut short; read source by source."""
+    """Each source's compiled documents as files of its own, those of two sources cut short; read source by source. Every
+    task writes files of the sources it meets: texts are not shuffled, and no task holds a whole source."""
     folder, d = new_path(spark, "fleet"), docs(spark, sf_dir).filter("doc_id % 11 <> 0").drop("doc_id")
-    d.withColumn("of", F.col("source")).repartition("of").write.partitionBy("of").parquet(folder)
+    d.withColumn("of", F.col("source")).write.option("compression", "zstd").partitionBy("of").parquet(folder)
     names = sorted(r.of for r in spark.read.parquet(folder).select("of").distinct().collect())
     for name in set(_BROKEN) & set(names):
         for file in pointer.names(spark, f"{folder}/of={name}"):

@@ -31,7 +31,7 @@ def run_isolated(spark: SparkSession, step: str, steps: Mapping[str, Callable[[]
         path = f"{root}/{number}"
         try:
             rows = steps[source]()
-            rows.select(*(f.name for f in wanted.fields)).to(wanted).write.mode("overwrite").parquet(path)
+            rows.select(*(f.name for f in wanted.fields)).to(wanted).write.mode("overwrite").option("compression", "zstd").parquet(path)
         except Exception as e:  # the failure is a row
             text = str(e).strip() or type(e).__name__
             return source, text[:ERROR_CHARS]

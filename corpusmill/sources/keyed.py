@@ -126,7 +126,7 @@ class KeyedTable:
     def _write(self, rows: DataFrame, version: Version) -> dict[int, str]:
         """Writes rows by bucket; gives the write of each bucket that has any."""
         name = uuid.uuid4().hex
-        rows.select(*version.schema.names, BUCKET).repartition(BUCKET).write.partitionBy(BUCKET).parquet(f"{self.root}/data/{name}")
+        rows.select(*version.schema.names, BUCKET).repartition(BUCKET).write.option("compression", "zstd").partitionBy(BUCKET).parquet(f"{self.root}/data/{name}")
         made = (n.removeprefix(f"{BUCKET}=") for n in pointer.names(self.spark, f"{self.root}/data/{name}") if n.startswith(f"{BUCKET}="))
         return {int(b): name for b in made}
 

@@ -119,3 +119,17 @@ def test_a_baseline_of_another_fixture_is_refused(spark):
 def test_note_index(spark):
     points = spark.createDataFrame([("s:d:1", "p"), ("s:d:1", None), ("loose", "q"), (None, "r"), ("t:d:2", None)], "identity string, source_path string")
     assert sorted(map(tuple, sync.note_index(points).collect())) == [("s", "s:d:1", "p"), ("t", "t:d:2", "")]
+
+
+def test_a_source_of_any_size_is_more_than_one_task(spark, tmp_path, monkeypatch):
+    """The stand-in fleet is dealt without a shuffle: a source of nine rows in ten is written, and read again, in parts."""
+    from corpusmill.plans import options
+
+    texts = [(i, f"text {i}", "en", "src3" if i % 10 == 0 else "src0", 6) for i in range(200)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long").repartition(30).write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(options, "new_path", lambda spark, label: str(tmp_path / label))
+    rows, failures = options._broken_fleet(spark, str(tmp_path))
+    files = [f.name for f in (tmp_path / "fleet" / "of=src0").glob("*.parquet")]
+    assert len(files) > 1 and all(f.endswith(".zstd.parquet") for f in [*files, *rows.inputFiles()])
+    assert sorted(r.identity for r in rows.collect()) == sorted(f"src0:en:{i}" for i in range(200) if i % 10 and i % 11)
+    assert [(r.source, r.step) for r in failures.collect()] == [("src3", "read")]

@@ -122,3 +122,20 @@ def test_texts_are_neither_shuffled_for_a_plan_nor_written(spark, tmp_path):
     plan, written = sync.apply_to(held, asked, lambda rows: seen.append(rows) or semantic.embed_rows(rows, upkeep._embed, 2))
     assert "text" not in plan.columns and written > 0
     assert {(r.identity, r.text) for r in seen[0].select("identity", "text").collect()} == {(r.identity, r.text) for r in plan.filter("action = 'embed'").join(asked.select("identity", "text"), "identity").collect()} != set()
+
+
+def test_other_texts_end_before_the_join(spark, tmp_path):
+    """Where the rows to embed are too many to broadcast, texts of others are left out before they are shuffled; a text that is
+    none, repeated or of a missing row changes nothing."""
+    ids = [f"s:d:{i}" for i in range(500)]
+    wanted = spark.createDataFrame([(i, None if n % 7 == 0 else f"text {n % 40}") for n, i in enumerate(ids)], "identity string, text string")
+    plan = spark.createDataFrame([(i, "embed" if n % 5 == 0 else "unchanged") for n, i in enumerate(ids)] + [("s:d:gone", "embed"), (None, "embed")], "identity string, action string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = sync.to_embed(plan, wanted)
+        joins = rows._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r.identity, r.action, r.text or "") for r in rows.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == sorted((i, "embed", "" if n % 7 == 0 else f"text {n % 40}") for n, i in enumerate(ids) if n % 5 == 0)
+    assert joins.index("SortMergeJoin") < joins.index("BroadcastHashJoin")
